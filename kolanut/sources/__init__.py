@@ -1,0 +1 @@
+"""Readers and writers for JSON and Parquet tables of seeds, records, examples and scores."""
