@@ -55,14 +55,25 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: str, value: str, chunk: Column, out: str) -> DataFrame:
-    """The value of the row before, per key; the first row of a chunk takes the last one of the
-    chunk before it."""
+    """The value of the row before, per key, and ``<out>_exists`` to tell a null from no row.
+
+    The first row of a chunk takes the last one of the chunk before it.
+    """
     last = F.max_by(F.struct(value), order)
     tagged, carry = _carry(df, keys, chunk, last, lambda w: F.lag("_part").over(w))
     local = Window.partitionBy(*keys, "_chunk").orderBy(order)
     return (join_on(tagged, carry, [*keys, "_chunk"])
-            .withColumn(out, F.coalesce(F.lag(F.struct(value)).over(local), F.col("_carry"))[value])
-            .drop("_chunk", "_carry"))
+            .withColumn("_before", F.coalesce(F.lag(F.struct(value)).over(local), F.col("_carry")))
+            .withColumn(out, F.col("_before")[value]).withColumn(f"{out}_exists", F.col("_before").isNotNull())
+            .drop("_chunk", "_carry", "_before"))
+
+
+def lang_switches(df: DataFrame, conv: str, turn: str, lang: str, chunk: Column | None = None) -> DataFrame:
+    """Adjacent turns of a conversation whose languages differ, counted per conversation."""
+    chunk = position_chunk(F.col(turn)) if chunk is None else chunk
+    seen = previous_value(df.select(conv, turn, lang), [conv], turn, lang, chunk, "prev")
+    moved = F.col("prev_exists") & ~F.col(lang).eqNullSafe(F.col("prev"))
+    return seen.groupBy(conv).agg(F.count(F.lit(1)).alias("turns"), F.count_if(moved).alias("switches"))
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: Column | int, chunk: Column,

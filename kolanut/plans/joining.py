@@ -79,8 +79,8 @@ def holdout_guard(spark, sf):
 
 
 def missing_keys(spark, sf):
-    """Customers without any order, the guard's left anti join at full size."""
-    have = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
+    """Customers without a finished order, the guard's left anti join at full size."""
+    have = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
     return missing(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), have, "id")
 
 
@@ -113,5 +113,5 @@ ORACLE = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "holdout_guard": """SELECT l_partkey AS id, count(*) AS n FROM lineitem
         WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1') GROUP BY 1""",
-    "missing_keys": """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+    "missing_keys": """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
 }

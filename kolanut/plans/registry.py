@@ -1,8 +1,8 @@
 """All queries and SQL twins, by name."""
 
-from kolanut.plans import extraction, joining, rendering, validation
+from kolanut.plans import extraction, joining, rendering, scoring, validation
 
-_PARTS = (extraction, validation, joining, rendering)
+_PARTS = (extraction, validation, joining, rendering, scoring)
 
 QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
