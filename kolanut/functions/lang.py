@@ -8,41 +8,55 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kolanut import tables as t
-from kolanut.functions.common import let
+from kolanut.functions.common import let, lits
 
 
 def spaced(text: Column) -> Column:
     """Lower-cased text with everything but letters and digits as a space, and one at each end."""
-    body = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", " "))
+    body = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N} ]", " "))
     return F.concat(F.lit(" "), body, F.lit(" "))
 
 
-def word_hits(padded: Column, words: Iterable[str]) -> Column:
-    """Occurrences of ' word ' for all words, each counted without overlap with itself."""
-    hits = [F.floor((F.length(padded) - F.length(F.replace(padded, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2))
-            for w in words]
-    return sum(hits[1:], hits[0])
+def squeezed(padded: Column) -> Column:
+    """A run of one word counts every other time, as counting ' word ' without overlap does."""
+    return F.regexp_replace(padded, r" ([^ ]+) \1(?= )", " $1")
+
+
+def _one_of(words: Iterable[str]) -> str:
+    """An alternation grouped by first letter, so most words are refused at their first letter."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[0], []).append(w[1:])
+    return "|".join(h + (f"(?:{'|'.join(rest)})" if rest != [""] else "") for h, rest in heads.items())
+
+
+def known_words(squeezed_text: Column, words: Iterable[str]) -> Column:
+    """The given words as they occur in squeezed text, in one scan."""
+    return F.regexp_extract_all(squeezed_text, F.lit(f" ({_one_of(words)})(?= )"), F.lit(1))
 
 
 def detect_lang(text: Column, rules: Mapping[str, Iterable[str]] = t.VIDEO_WORDS) -> Column:
     """Language code by rule cascade; null when nothing matches. The first rule wins a tie."""
     raw = F.coalesce(text, F.lit(""))
     has = lambda marks: raw.rlike(f"[{marks}]")
-
-    def by_words(padded: Column) -> Column:
-        marked = lambda words: padded.rlike(" (?:" + "|".join(words) + ") ")
-        counts = [F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("r"),
-                           F.lit(None).cast("string").alias("lang"))]
-        counts += [F.struct(word_hits(padded, words).alias("n"), F.lit(-i).alias("r"), F.lit(lang).alias("lang"))
-                   for i, (lang, words) in enumerate(rules.items())]
-        return (F.when(marked(t.PIDGIN_STRONG), "pcm").when(marked(t.HAUSA_STRONG), "hau")
+    every = [w for words in (*rules.values(), t.PIDGIN_STRONG, t.HAUSA_STRONG) for w in words]
+
+    def by_words(found: Column) -> Column:
+        counts = [F.struct(F.lit(0).alias("n"), F.lit(1).alias("r"), F.lit(None).cast("string").alias("lang"))]
+        counts += [F.struct(F.size(F.filter(found, lambda w: w.isin(*words))).alias("n"), F.lit(-i).alias("r"),
+                            F.lit(lang).alias("lang"))
+                   for i, (lang, words) in enumerate((k, tuple(v)) for k, v in rules.items())]
+        return (F.when(F.arrays_overlap(found, lits(t.PIDGIN_STRONG)), "pcm")
+                .when(F.arrays_overlap(found, lits(t.HAUSA_STRONG)), "hau")
                 .otherwise(F.array_max(F.array(*counts))["lang"]))
 
-    return (F.when(has(t.YORUBA_MARKS) & has(t.IGBO_VOWELS) & ~has(t.YORUBA_ONLY), "ibo")
-            .when(has(t.YORUBA_MARKS), "yor")
-            .when(has(t.IGBO_MARKS), "ibo")
-            .when(has(t.HAUSA_MARKS), "hau")
-            .otherwise(let(spaced(raw), by_words)))
+    # every mark lies in one range, which plain Latin text has nothing in
+    marked = raw.rlike(r"[\u0181-\u1ee5]")
+    return (F.when(marked & has(t.YORUBA_MARKS) & has(t.IGBO_VOWELS) & ~has(t.YORUBA_ONLY), "ibo")
+            .when(marked & has(t.YORUBA_MARKS), "yor")
+            .when(marked & has(t.IGBO_MARKS), "ibo")
+            .when(marked & has(t.HAUSA_MARKS), "hau")
+            .otherwise(let(known_words(squeezed(spaced(raw)), every), by_words)))
 
 
 def alias_lang(lang: Column, table: Mapping[str, str] = t.LANG_ALIAS) -> Column:

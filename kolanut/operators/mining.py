@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolanut import tables as t
-from kolanut.functions.text import sentences, tag_groups, tagged_spans
+from kolanut.functions.text import folded, sentences, tag_groups, tagged_spans
 
 
 def scene_sentences(df: DataFrame, text: Column, tag: str | None = "scene_description",
@@ -21,7 +21,8 @@ def scene_sentences(df: DataFrame, text: Column, tag: str | None = "scene_descri
 def tagged(df: DataFrame, groups: Mapping = t.DICTIONARY, anchored: bool = False,
            sentence: str = "sentence") -> DataFrame:
     """Adds ``terms``: a struct with one array of canonical terms per group."""
-    return df.withColumn("terms", tag_groups(F.col(sentence), groups, anchored))
+    low = df.withColumn("_low", folded(F.col(sentence)))
+    return low.withColumn("terms", tag_groups(F.col("_low"), groups, anchored, fold=False)).drop("_low")
 
 
 def grammar_counts(df: DataFrame, left: str = "shot", right: str = "move",

@@ -109,6 +109,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A text table for work that is heavy per row. A scan with fewer splits than cores is spread
+    over them first; a large table has its splits already and is read as it is."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the assistant turn after it and one event.
 

@@ -15,7 +15,7 @@ from kolanut.operators.scoring import (
     score_schema, score_session, score_video,
 )
 from kolanut.plans.base import (
-    BRIEF, CURRENT, LANG, MENU_SPARK, PAIRS_SQL, PATCH, SHOTS, VIDEO_CALL, VIDEO_MENU_SPARK, _spark, pairs, table,
+    BRIEF, CURRENT, LANG, MENU_SPARK, PAIRS_SQL, PATCH, SHOTS, VIDEO_CALL, VIDEO_MENU_SPARK, _spark, pairs, table, texts,
 )
 
 MODEL = "CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'nano' ELSE 'mini' END"
@@ -99,7 +99,7 @@ def session_score(spark, sf):
 
 
 def language_id(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", detect_lang(F.col("text")).alias("guess"),
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", detect_lang(F.col("text")).alias("guess"),
                                                 detect_lang(F.col("text"), t.PROBE_WORDS).alias("probe_guess"))
 
 
@@ -145,7 +145,7 @@ def call_verdict_rows(spark, sf):
 
 def prompt_terms(spark, sf):
     """X12-X14 over documents: contained terms, beats after a marker, and the ratio a text implies."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.concat(
+    d = texts(spark, sf, "documents", "doc_id").select("doc_id", "text", F.concat(
         F.lit("Shot 1: "), F.col("text"), F.lit(" shot 2 : "), F.col("source"), F.lit(" Shot 3:")).alias("prompt"))
     return d.select("doc_id", F.array_join(terms_in(F.col("text"), t.MOVE_TERMS + t.SHOT_TERMS), ",").alias("terms"),
                     F.size(beats(F.col("prompt"))).alias("n_beats"), wanted_ratio(F.col("text")).alias("ratio"))
