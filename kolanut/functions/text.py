@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -91,8 +92,18 @@ def folded(text: Column) -> Column:
 
 
 def _pattern(source: str, anchored: bool) -> str:
-    source = rf"\b(?:{source})\b" if anchored else source
-    return source.lower().replace(r"\b", _EDGE)
+    """The wording in lower case with Unicode word edges.
+
+    An edge in front of a letter looks for the letter first: the look-behind then runs only there,
+    not at every character of the text.
+    """
+    if anchored:
+        first = "".join(sorted({alt[0] for alt in re.sub(r"\\b|\([^()]*\)", "", source).lower().split("|")}))
+        source = rf"(?=[{first}])(?<!{_WORD})(?:" + source.replace(r"\b", "").lower() + r")\b"
+    else:
+        source = re.sub(r"\\b(\w)", lambda m: rf"(?={m[1]})(?<!{_WORD}){m[1]}".lower(), source).lower()
+        source = source.replace(_WORD.lower(), _WORD)
+    return source.replace(r"\b", _EDGE)
 
 
 def tag_terms(text: Column, dictionary: Iterable[tuple[str, str]], anchored: bool = False,
@@ -104,7 +115,14 @@ def tag_terms(text: Column, dictionary: Iterable[tuple[str, str]], anchored: boo
     """
     low = folded(text) if fold else text
     found = [F.when(low.rlike(_pattern(p, anchored)), F.lit(term)) for p, term in dictionary]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
+
+
+def any_term(text: Column, groups: Mapping[str, Iterable[tuple[str, str]]], anchored: bool = False,
+             fold: bool = True) -> Column:
+    """Whether any wording of the dictionary occurs: one search in place of one per term."""
+    low = folded(text) if fold else text
+    return low.rlike("|".join(f"(?:{_pattern(p, anchored)})" for d in groups.values() for p, _ in d))
 
 
 def tag_groups(text: Column, groups: Mapping[str, Iterable[tuple[str, str]]], anchored: bool = False,
@@ -115,7 +133,8 @@ def tag_groups(text: Column, groups: Mapping[str, Iterable[tuple[str, str]]], an
 def terms_in(text: Column, vocab: Iterable[str]) -> Column:
     """Vocabulary terms contained in the text, lower-cased, without word edges."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(v)), F.lit(v)) for v in vocab]))
+    found = F.array(*[F.when(F.contains(low, F.lit(v)), F.lit(v)) for v in vocab])
+    return F.array_except(found, F.array(F.lit(None).cast("string")))
 
 
 def beats(prompt: Column, keep_empty: bool = False) -> Column:

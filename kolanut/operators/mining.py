@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolanut import tables as t
-from kolanut.functions.text import folded, sentences, tag_groups, tagged_spans
+from kolanut.functions.text import any_term, folded, sentences, tag_groups, tagged_spans
 
 
 def scene_sentences(df: DataFrame, text: Column, tag: str | None = "scene_description",
@@ -20,9 +20,14 @@ def scene_sentences(df: DataFrame, text: Column, tag: str | None = "scene_descri
 
 def tagged(df: DataFrame, groups: Mapping = t.DICTIONARY, anchored: bool = False,
            sentence: str = "sentence") -> DataFrame:
-    """Adds ``terms``: a struct with one array of canonical terms per group."""
+    """Adds ``terms``: a struct with one array of canonical terms per group.
+
+    Most sentences name none; one search finds that out, and only the rest are tagged term by term.
+    """
+    none = F.struct(*[F.array().cast("array<string>").alias(g) for g in groups])
     low = df.withColumn("_low", folded(F.col(sentence)))
-    return low.withColumn("terms", tag_groups(F.col("_low"), groups, anchored, fold=False)).drop("_low")
+    hit = any_term(F.col("_low"), groups, anchored, fold=False)
+    return low.withColumn("terms", F.when(hit, tag_groups(F.col("_low"), groups, anchored, fold=False)).otherwise(none)).drop("_low")
 
 
 def grammar_counts(df: DataFrame, left: str = "shot", right: str = "move",

@@ -46,7 +46,8 @@ def weighted_choice(df: DataFrame, weights: DataFrame, out: str, d: Column,
     """
     size = weights.limit(INLINE_TERMS + 1).count()
     if size <= INLINE_TERMS:
-        return df.withColumn(out, F.coalesce(weighted_of(d, inline(weights)), F.lit(empty)))
+        held = df.withColumn("_w", inline(weights))
+        return held.withColumn(out, F.coalesce(weighted_of(d, F.col("_w")), F.lit(empty))).drop("_w")
     keyed = weights.select("term", F.col("n").cast("bigint").alias("n")).filter("n > 0").withColumn(
         "_d", draw(0, F.col("term"), "weights"))
     rows = running_total(keyed, [], ["_d", "term"], F.col("n"), F.floor(F.col("_d") / F.lit(1 << 16)), "lo")
@@ -63,14 +64,17 @@ def pair_choice(df: DataFrame, pairs: Column, left: Column, right: Column, seed:
                 p: float = 0.72, names: tuple[str, str] = ("shot", "move")) -> DataFrame:
     """Both terms from one co-occurring pair with probability p, else drawn apart.
 
-    ``pairs``, ``left`` and ``right`` are interval arrays as ``inline`` makes them.
+    ``pairs``, ``left`` and ``right`` are columns of interval arrays as ``inline`` makes them.
     """
     k = F.col(key)
-    both = F.split(weighted_of(draw(seed, k, "pair"), pairs), r"\|")
-    paired = both.isNotNull() & (unit(draw(seed, k, "paired")) < p)
-    alone = lambda terms, why: F.coalesce(weighted_of(draw(seed, k, why), terms), F.lit(t.EMPTY_GRAMMAR_TERM))
-    return (df.withColumn(names[0], F.when(paired, F.get(both, F.lit(0))).otherwise(alone(left, "left")))
-            .withColumn(names[1], F.when(paired, F.get(both, F.lit(1))).otherwise(alone(right, "right"))))
+    held = df.withColumns({"_p": pairs, "_l": left, "_r": right})
+    held = held.withColumn("_both", F.split(weighted_of(draw(seed, k, "pair"), F.col("_p")), r"\|"))
+    paired = F.col("_both").isNotNull() & (unit(draw(seed, k, "paired")) < p)
+    alone = lambda terms, why: F.coalesce(weighted_of(draw(seed, k, why), F.col(terms)), F.lit(t.EMPTY_GRAMMAR_TERM))
+    return held.withColumns({
+        names[0]: F.when(paired, F.get(F.col("_both"), F.lit(0))).otherwise(alone("_l", "left")),
+        names[1]: F.when(paired, F.get(F.col("_both"), F.lit(1))).otherwise(alone("_r", "right")),
+    }).drop("_p", "_l", "_r", "_both")
 
 
 # --- tool jobs ------------------------------------------------------------------------------------
@@ -164,37 +168,42 @@ def balance(df: DataFrame, target: Mapping[str, int], seed: int = 20260921) -> D
 
 
 # --- video jobs -----------------------------------------------------------------------------------
-def grammar_arrays(grammar: DataFrame) -> dict[str, Column]:
-    """Interval arrays per group from ``mining.grammar_counts``, bounded by the dictionary."""
+def with_grammar(df: DataFrame, grammar: DataFrame) -> DataFrame:
+    """Adds one interval array per group (``_g_shot`` ... ``_g_pair``) from the (grp, term, n) table.
+
+    The grammar is bounded by the dictionary, so each array is a single small value of the plan.
+    """
     groups = (*t.DICTIONARY, "pair")
-    return {g: inline(grammar.filter(F.col("grp") == g)) for g in groups}
+    return df.withColumns({f"_g_{g}": inline(grammar.filter(F.col("grp") == g)) for g in groups})
 
 
 def video_rows(df: DataFrame, grammar: DataFrame, seed: int, wave: int = 1) -> DataFrame:
     """G10/G11 over rows that carry ``i`` and ``id``. Wave 2 asks for up to four shots."""
-    key, g = F.col("id"), grammar_arrays(grammar)
+    key, g = F.col("id"), {x: F.col(f"_g_{x}") for x in (*t.DICTIONARY, "pair")}
     langs = t.NG * 3 + t.VIDEO_TAIL if wave == 1 else t.VIDEO_FOCUS * 4 + t.NG
-    jobs = pair_choice(df, g["pair"], g["shot"], g["move"], seed).withColumns({
+    alone = lambda group: F.coalesce(weighted_of(draw(seed, key, group), g[group]), F.lit(t.EMPTY_GRAMMAR_TERM))
+    jobs = pair_choice(with_grammar(df, grammar), g["pair"], g["shot"], g["move"], seed).withColumns({
         "type": F.lit("seedance"), "phase": F.lit(9 if wave == 1 else 10), "target": F.lit(t.VIDEO_TOOL),
         "lang": choice(draw(seed, key, "lang"), langs), "menu": menus.video_menu(seed, key),
         "menu_id": F.concat_ws("-", F.lit("sd" if wave == 1 else "sd7"), F.col("i").cast("string")),
-        "angle": F.coalesce(weighted_of(draw(seed, key, "angle"), g["angle"]), F.lit(t.EMPTY_GRAMMAR_TERM)),
-        "time": F.coalesce(weighted_of(draw(seed, key, "time"), g["time"]), F.lit(t.EMPTY_GRAMMAR_TERM)),
+        "angle": alone("angle"), "time": alone("time"),
     })
-    if wave == 1:
-        return jobs.withColumn("brief", choice(draw(seed, key, "brief"), t.BRIEFS))
-    many = choice(draw(seed, key, "shots"), t.SEQUENCE_SHOTS)
-    jobs = jobs.withColumn("shots", F.when(unit(draw(seed, key, "sequence")) < 0.62, many).otherwise(1))
     d = draw(seed, key, "brief")
-    sequence = F.col("shots") > 1
-
-    def other(chosen: str, terms: Column, why: str) -> Column:
-        names = F.filter(F.transform(terms, lambda x: x["term"]), lambda x: x != F.col(chosen))
-        return F.when(sequence, F.coalesce(choice(draw(seed, key, why), names), F.col(chosen)))
-
-    return jobs.withColumns({
-        "brief": F.when(sequence, choice(d, t.SEQUENCE_BRIEFS)).otherwise(choice(d, t.SINGLE_BRIEFS)),
-        "shot2": other("shot", g["shot"], "shot2"), "move2": other("move", g["move"], "move2")})
+    if wave == 1:
+        jobs = jobs.withColumn("brief", choice(d, t.BRIEFS))
+    else:
+        many = choice(draw(seed, key, "shots"), t.SEQUENCE_SHOTS)
+        jobs = jobs.withColumn("shots", F.when(unit(draw(seed, key, "sequence")) < 0.62, many).otherwise(1))
+        sequence = F.col("shots") > 1
+
+        def other(chosen: str, why: str) -> Column:
+            names = F.filter(F.transform(g[chosen], lambda x: x["term"]), lambda x: x != F.col(chosen))
+            return F.when(sequence, F.coalesce(choice(draw(seed, key, why), names), F.col(chosen)))
+
+        jobs = jobs.withColumns({
+            "brief": F.when(sequence, choice(d, t.SEQUENCE_BRIEFS)).otherwise(choice(d, t.SINGLE_BRIEFS)),
+            "shot2": other("shot", "shot2"), "move2": other("move", "move2")})
+    return jobs.drop(*[f"_g_{x}" for x in g])
 
 
 def video_jobs(spark: SparkSession, n: int, grammar: DataFrame, wave: int = 1, seed: int | None = None) -> DataFrame:
