@@ -15,9 +15,25 @@ BLANK_CLASS = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: Column, body: str | Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``.
+
+    ``body`` is a lambda, or the same as SQL text (``"x -> concat(x, x)"``): a long expression is
+    then one parse on the driver in place of hundreds of calls.
+    """
+    bound = F.expr(body) if isinstance(body, str) else body
+    held = F.array(value)
+    out = F.call_function("transform", held, bound) if isinstance(body, str) else F.transform(held, bound)
+    return F.get(out, F.lit(0))
+
+
+def sql_str(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(values: Iterable[str]) -> str:
+    return "array(" + ", ".join(sql_str(v) for v in values) + ")"
 
 
 def strip(text: Column) -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from kolanut.functions.common import last_where, let
 
-_STRICT = {"allowSingleQuotes": "false"}
-_TEXTS = "map<string,string>"
-_VALUES = "map<string,variant>"
+_STRICT = "map('allowSingleQuotes', 'false')"
+_TEXTS = f"'map<string,string>', {_STRICT}"
+_VALUES = f"'map<string,variant>', {_STRICT}"
 
 
 def before_stops(text: Column, stops: Iterable[str]) -> Column:
@@ -27,20 +27,15 @@ def before_stops(text: Column, stops: Iterable[str]) -> Column:
 
 def object_text(text: Column, stops: Iterable[str] = ()) -> Column:
     """The text from its first ``{`` on; null when there is none."""
-    return let(before_stops(text, stops), lambda s: F.when(
-        F.locate("{", s) > 0, s.substr(F.locate("{", s), F.length(s))))
-
-
-def _last_wins(m: Column) -> Column:
-    keys = lambda x: F.array_distinct(F.map_keys(x))
-    return let(m, lambda x: F.when(F.size(keys(x)) == F.size(x), x).when(
-        x.isNotNull(), F.map_from_arrays(keys(x), F.transform(
-            keys(x), lambda k: last_where(F.map_entries(x), lambda e: e["key"] == k)["value"]))))
+    return let(before_stops(text, stops), "s -> IF(locate('{', s) > 0, substring(s, locate('{', s)), NULL)")
 
 
 def parse_object(text: Column) -> Column:
     """JSON object text -> MAP of value texts, null when malformed; the last duplicate key wins."""
-    return _last_wins(F.from_json(text, _TEXTS, _STRICT))
+    return let(let(text, f"s -> from_json(s, {_TEXTS})"), """m -> CASE
+        WHEN size(array_distinct(map_keys(m))) = size(m) THEN m
+        WHEN m IS NOT NULL THEN map_from_arrays(array_distinct(map_keys(m)), transform(array_distinct(map_keys(m)),
+            k -> element_at(filter(map_entries(m), e -> e.key = k), -1).value)) END""")
 
 
 def first_json(text: Column, stops: Iterable[str] = ()) -> Column:
@@ -53,41 +48,29 @@ def json_string(text: Column) -> Column:
 
 
 _BARE = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|[\[{](?s:.)*)$"
-
-
-def _literal(text: Column, kind: Column) -> Column:
-    return (F.when(text.isNull(), "null")
-            .when(kind == "STRING", json_string(text))
-            .when(kind.isin("DOUBLE", "FLOAT"), F.translate(text, '"', ""))
-            # no kind: the variant parser refused the object (a repeated key further down)
-            .when(kind.isNull() & ~text.rlike(_BARE), json_string(text))
-            .otherwise(text))
+_QUOTED = r"regexp_replace(to_json(array({})), r'^\[|\]$', '')"
+# a value's literal from its text (z.1) and its variant kind (z.2); the variant parser gives no kind
+# at all when it refuses the object for a repeated key further down
+_LITERAL = f"""CASE WHEN z.`1` IS NULL THEN 'null' WHEN z.`2` = 'STRING' THEN {_QUOTED.format('z.`1`')}
+    WHEN z.`2` IN ('DOUBLE', 'FLOAT') THEN translate(z.`1`, '"', '')
+    WHEN z.`2` IS NULL AND NOT z.`1` RLIKE r'{_BARE}' THEN {_QUOTED.format('z.`1`')} ELSE z.`1` END"""
 
 
 def json_literals(text: Column) -> Column:
     """JSON object text -> MAP key -> compact JSON literal (strings keep their quotes)."""
-
-    def literals(p: Column) -> Column:
-        kinds = F.coalesce(F.transform(F.map_values(p["typed"]), F.schema_of_variant),
-                           F.array().cast("array<string>"))
-        zipped = F.arrays_zip(F.map_keys(p["raw"]).alias("k"), F.map_values(p["raw"]).alias("v"),
-                              kinds.alias("t"))
-        rows = F.transform(zipped, lambda z: F.struct(z["k"].alias("k"), _literal(z["v"], z["t"]).alias("v")))
-        return let(rows, lambda r: let(
-            F.array_distinct(F.transform(r, lambda x: x["k"])),
-            lambda ks: F.when(ks.isNotNull(), F.map_from_arrays(
-                ks, F.when(F.size(ks) == F.size(r), F.transform(r, lambda x: x["v"])).otherwise(
-                    F.transform(ks, lambda k: last_where(r, lambda x: x["k"] == k)["v"]))))))
-
-    return let(text, lambda s: let(
-        F.struct(F.from_json(s, _TEXTS, _STRICT).alias("raw"), F.from_json(s, _VALUES, _STRICT).alias("typed")),
-        lambda p: F.when(p["raw"].isNotNull(), literals(p))))
+    parsed = let(text, f"s -> named_struct('raw', from_json(s, {_TEXTS}), 'typed', from_json(s, {_VALUES}))")
+    rows = let(parsed, f"""p -> transform(arrays_zip(map_keys(p.raw), map_values(p.raw),
+        coalesce(transform(map_values(p.typed), v -> schema_of_variant(v)), CAST(array() AS ARRAY<STRING>))),
+        z -> named_struct('k', z.`0`, 'v', {_LITERAL}))""")
+    return let(rows, """r -> IF(r IS NULL, NULL, IF(size(array_distinct(transform(r, x -> x.k))) = size(r),
+        map_from_entries(r), map_from_arrays(array_distinct(transform(r, x -> x.k)), transform(
+            array_distinct(transform(r, x -> x.k)), k -> element_at(filter(r, x -> x.k = k), -1).v))))""")
 
 
 def render_object(literals: Column) -> Column:
     """MAP key -> literal back into compact JSON text."""
-    fields = F.transform(F.map_entries(literals), lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"]))
-    return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
+    return let(literals, f"""m -> concat('{{', array_join(transform(map_entries(m),
+        e -> concat({_QUOTED.format('e.key')}, ':', e.value)), ','), '}}')""")
 
 
 def compact_json(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kolanut import tables as t
-from kolanut.functions.common import let, lits
+from kolanut.functions.common import let, sql_list, sql_str
 
 
 def spaced(text: Column) -> Column:
@@ -41,15 +41,11 @@ def detect_lang(text: Column, rules: Mapping[str, Iterable[str]] = t.VIDEO_WORDS
     has = lambda marks: raw.rlike(f"[{marks}]")
     every = [w for words in (*rules.values(), t.PIDGIN_STRONG, t.HAUSA_STRONG) for w in words]
 
-    def by_words(found: Column) -> Column:
-        counts = [F.struct(F.lit(0).alias("n"), F.lit(1).alias("r"), F.lit(None).cast("string").alias("lang"))]
-        counts += [F.struct(F.size(F.filter(found, lambda w: w.isin(*words))).alias("n"), F.lit(-i).alias("r"),
-                            F.lit(lang).alias("lang"))
-                   for i, (lang, words) in enumerate((k, tuple(v)) for k, v in rules.items())]
-        return (F.when(F.arrays_overlap(found, lits(t.PIDGIN_STRONG)), "pcm")
-                .when(F.arrays_overlap(found, lits(t.HAUSA_STRONG)), "hau")
-                .otherwise(F.array_max(F.array(*counts))["lang"]))
-
+    scores = ", ".join(f"named_struct('n', size(filter(ws, w -> w IN ({', '.join(map(sql_str, words))}))), 'r', {-i}, 'lang', '{lang}')"
+                       for i, (lang, words) in enumerate(rules.items()))
+    by_words = f"""ws -> CASE WHEN arrays_overlap(ws, {sql_list(t.PIDGIN_STRONG)}) THEN 'pcm'
+        WHEN arrays_overlap(ws, {sql_list(t.HAUSA_STRONG)}) THEN 'hau'
+        ELSE array_max(array(named_struct('n', 0, 'r', 1, 'lang', CAST(NULL AS STRING)), {scores})).lang END"""
     # every mark lies in one range, which plain Latin text has nothing in
     marked = raw.rlike(r"[\u0181-\u1ee5]")
     return (F.when(marked & has(t.YORUBA_MARKS) & has(t.IGBO_VOWELS) & ~has(t.YORUBA_ONLY), "ibo")

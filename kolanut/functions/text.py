@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from kolanut import tables as t
 from kolanut.functions.common import (
-    BLANK_CLASS, SPACE_CLASS, is_blank, last_where, let, lines_of, lits, quote_re, strip,
+    BLANK_CLASS, SPACE_CLASS, SPACES, is_blank, let, lines_of, quote_re, sql_list, sql_str, strip,
 )
 
 # Unicode noncharacters, reserved for use inside a process: they cannot occur in real text.
 _OPEN, _SEP = "\ufdd0", "\ufdd1"
+_SPACES = sql_str(SPACES)
 
 
 def _labelled(text: Column, label: str, out: str) -> Column:
@@ -27,18 +28,11 @@ def _labelled(text: Column, label: str, out: str) -> Column:
 def blocks(text: Column, labels: Iterable[str] = t.BLOCK_LABELS) -> Column:
     """``LABEL: text`` blocks with continuation lines -> MAP label -> text; a repeat wins."""
     labels = tuple(labels)
-    entries = F.transform(
-        _labelled(text, f"({'|'.join(labels)})", f"{_OPEN}$1{_SEP}$2"),
-        lambda c: F.struct(F.substring_index(c, _SEP, 1).alias("k"),
-                           strip(F.substring_index(c, _SEP, -1)).alias("v")),
-    )
-
-    def as_map(e: Column) -> Column:
-        value = lambda label: last_where(e, lambda x: x["k"] == label)["v"]
-        values = [value(label) for label in labels]
-        return F.map_filter(F.map_from_arrays(lits(labels), F.array(*values)), lambda _, v: v.isNotNull())
-
-    return let(entries, as_map)
+    chunks = _labelled(text, f"({'|'.join(labels)})", f"{_OPEN}$1{_SEP}$2")
+    return let(let(chunks, f"""cs -> transform(cs, c -> named_struct(
+            'k', substring_index(c, '{_SEP}', 1), 'v', btrim(substring_index(c, '{_SEP}', -1), {_SPACES})))"""),
+        f"""e -> map_filter(map_from_arrays({sql_list(labels)}, transform({sql_list(labels)},
+            l -> try_element_at(filter(e, x -> x.k = l), -1).v)), (k, v) -> v IS NOT NULL)""")
 
 
 def turns(text: Column, multiline: bool = True) -> Column:
@@ -46,22 +40,13 @@ def turns(text: Column, multiline: bool = True) -> Column:
 
     ``multiline=False`` keeps the label's own line only, as the validator reads sessions.
     """
-    entries = F.transform(
-        _labelled(text, f"T([0-9]{{1,18}})_({'|'.join(t.TURN_LABELS)})", f"{_OPEN}$1{_SEP}$2{_SEP}$3"),
-        lambda c: F.struct(
-            F.substring_index(c, _SEP, 1).cast("bigint").alias("n"),
-            F.substring_index(F.substring_index(c, _SEP, 2), _SEP, -1).alias("k"),
-            (strip(F.substring_index(c, _SEP, -1)) if multiline
-             else F.substring_index(F.substring_index(c, _SEP, -1), "\n", 1)).alias("v"),
-        ),
-    )
-
-    def one(e: Column, n: Column) -> Column:
-        value = lambda label: last_where(e, lambda x: (x["n"] == n) & (x["k"] == label))["v"]
-        return F.struct(n.alias("n"), *[value(label).alias(label.lower()) for label in t.TURN_LABELS])
-
-    return let(entries, lambda e: F.transform(
-        F.array_sort(F.array_distinct(F.transform(e, lambda x: x["n"]))), lambda n: one(e, n)))
+    chunks = _labelled(text, f"T([0-9]{{1,18}})_({'|'.join(t.TURN_LABELS)})", f"{_OPEN}$1{_SEP}$2{_SEP}$3")
+    body = f"substring_index(c, '{_SEP}', -1)"
+    body = f"btrim({body}, {_SPACES})" if multiline else f"substring_index({body}, '\\n', 1)"
+    fields = ", ".join(f"'{x.lower()}', try_element_at(filter(e, x -> x.n = num AND x.k = '{x}'), -1).v" for x in t.TURN_LABELS)
+    return let(let(chunks, f"""cs -> transform(cs, c -> named_struct('n', CAST(substring_index(c, '{_SEP}', 1) AS BIGINT),
+            'k', substring_index(substring_index(c, '{_SEP}', 2), '{_SEP}', -1), 'v', {body}))"""),
+        f"""e -> transform(sort_array(array_distinct(transform(e, x -> x.n))), num -> named_struct('n', num, {fields}))""")
 
 
 def is_noneish(text: Column, words: Iterable[str] = t.NONE_WORDS) -> Column:
@@ -141,12 +126,9 @@ def beats(prompt: Column, keep_empty: bool = False) -> Column:
     """The ``Shot N:`` sections of a prompt; empty unless there are two markers."""
     rule = rf"(?iu)(?<!{_WORD})Shot{SPACE_CLASS}*\p{{Nd}}+{SPACE_CLASS}*:"
 
-    def split_up(parts: Column) -> Column:
-        tail = F.transform(F.filter(parts, lambda _, i: i > 0), strip)
-        tail = tail if keep_empty else F.filter(tail, lambda x: x != "")
-        return F.when(F.size(parts) > 2, tail).otherwise(F.array().cast("array<string>"))
-
-    return let(F.split(F.coalesce(prompt, F.lit("")), rule), split_up)
+    empty = "true" if keep_empty else "x <> ''"
+    return let(F.split(F.coalesce(prompt, F.lit("")), rule), f"""parts -> IF(size(parts) > 2,
+        filter(transform(filter(parts, (x, i) -> i > 0), x -> btrim(x, {_SPACES})), x -> {empty}), CAST(array() AS ARRAY<STRING>))""")
 
 
 def wanted_ratio(brief: Column) -> Column:
