@@ -25,6 +25,16 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on costly computed columns.
+
+    A plain filter is pushed below the projection that computes them, which computes them twice, once
+    to test and once to keep. An explode of one or no element is not, so each is computed once.
+    Filters on stored columns stay plain filters: they should be pushed, down to the scan.
+    """
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_keep")).drop("_keep")
+
+
 def position_chunk(order: Column, rows: int = CHUNK) -> Column:
     """A coarser, still ordered version of an integer position."""
     return F.floor(order / F.lit(rows))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kolanut import tables as t
 from kolanut.functions import menus
 from kolanut.functions.draws import choice, draw, round_robin, unit, weighted_of
-from kolanut.operators.frames import running_total, union_all
+from kolanut.operators.frames import keep_rows, running_total, union_all
 
 INLINE_TERMS = 1000
 
@@ -129,7 +129,7 @@ def act_jobs(df: DataFrame, seed: int, phase: int = 7) -> DataFrame:
 
 
 def drop_untargeted(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(F.col("target").isNotNull())
+    return keep_rows(jobs, F.col("target").isNotNull())
 
 
 def session_jobs(df: DataFrame, seed: int, phase: int = 6) -> DataFrame:

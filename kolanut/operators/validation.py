@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kolanut import tables as t
 from kolanut.functions.json import first_json, parse_object
 from kolanut.functions.text import blocks, turns
+from kolanut.operators.frames import keep_rows
 
 _PARSED = ("_b", "_t", "_o", "_args", "_video", "_current")
 
@@ -117,7 +118,7 @@ def validate(df: DataFrame, rules: Mapping[str, Sequence[tuple[str, str]]] = RUL
 
 
 def kept(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("reason").isNull()).drop("reason")
+    return keep_rows(df, F.col("reason").isNull()).drop("reason")
 
 
 def reject_report(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from kolanut.functions.draws import draw
 from kolanut.operators import packing, sampling
 from kolanut.operators.aggregates import corpus_stats
 from kolanut.operators.frames import running_total, union_all
-from kolanut.operators.rendering import render
+from kolanut.operators.rendering import render, renderable
 from kolanut.operators.scoring import quality_gate
 from kolanut.plans.base import PAIRS_SQL, records, records_sql, table, texts
 from kolanut.plans.rendering import _FLAT, blocks_sql
@@ -63,8 +63,8 @@ def mixture(spark, sf):
 
 
 def _examples(spark, sf):
-    r = render(records(spark, sf, KINDS)).filter("segments IS NOT NULL").withColumnRenamed("id", "example_id")
-    return packing.with_pieces(r.select("example_id", "segments"))
+    r = renderable(render(records(spark, sf, KINDS)))
+    return packing.with_pieces(r.select(F.col("id").alias("example_id"), "segments"))
 
 
 def build_vocab(spark, sf):
@@ -96,8 +96,8 @@ def shard_manifest(spark, sf):
 
 
 def _stats(spark, sf):
-    ex = packing.with_pieces(render(records(spark, sf)).filter("segments IS NOT NULL").select(F.col("id").alias("example_id"), "segments"))
-    ex = ex.filter(packing.has_trained(F.col("mask")))
+    r = renderable(render(records(spark, sf)))
+    ex = packing.drop_untrained(packing.with_pieces(r.select(F.col("id").alias("example_id"), "segments")))
     return ex.select((F.size("pieces") + 1).alias("n_tokens"),
                      (F.size(F.filter("mask", lambda m: m == 1)) + 1).alias("n_trained"))
 

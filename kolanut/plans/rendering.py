@@ -6,7 +6,7 @@ from kolanut import tables as t
 from kolanut.functions.json import compact_json
 from kolanut.functions.text import turns
 from kolanut.operators.rendering import (
-    history, menu_json, patch_prompt, preview, probe_prompt, render, render_report, renderable_rate,
+    history, menu_json, patch_prompt, preview, probe_prompt, render, render_report, renderable, renderable_rate,
 )
 from kolanut.operators.sampling import exhibit
 from kolanut.plans.base import MENU_SPARK, MENU_SQL, OUTPUTS, PAIRS_SQL, blocks_sql, pairs, records, records_sql, turns_sql
@@ -33,8 +33,8 @@ def render_rate(spark, sf):
 
 
 def preview_refusals(spark, sf):
-    r = render(records(spark, sf, ("toolrefuse",)))
-    return r.filter("segments IS NOT NULL").select("id", preview(F.col("segments"), 300, 120).alias("shown"))
+    r = renderable(render(records(spark, sf, ("toolrefuse",))))
+    return r.select("id", preview(F.col("segments"), 300, 120).alias("shown"))
 
 
 def probe_prompts(spark, sf):
