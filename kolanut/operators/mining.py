@@ -30,31 +30,37 @@ def tagged(df: DataFrame, groups: Mapping = t.DICTIONARY, anchored: bool = False
     return low.withColumn("terms", F.when(hit, tag_groups(F.col("_low"), groups, anchored, fold=False)).otherwise(none)).drop("_low")
 
 
-def grammar_counts(df: DataFrame, left: str = "shot", right: str = "move",
-                   groups: Mapping = t.DICTIONARY) -> DataFrame:
-    """A4 and A5 in one pass: sentences per (group, term) and per (left|right) pair.
+def _term_items(group: str) -> Column:
+    return F.transform(F.col("terms")[group], lambda x: F.struct(F.lit(group).alias("grp"), x.alias("term")))
 
-    A sentence explodes into its own few terms only, and both counts share one map-side aggregate
-    whose result is bounded by the dictionary.
-    """
-    named = lambda g: F.transform(F.col("terms")[g], lambda x: F.struct(F.lit(g).alias("grp"), x.alias("term")))
-    items = [named(g) for g in groups]
-    pairs = F.flatten(F.transform(F.col("terms")[left], lambda a: F.transform(
+
+def _pair_items(left: str, right: str) -> Column:
+    return F.flatten(F.transform(F.col("terms")[left], lambda a: F.transform(
         F.col("terms")[right], lambda b: F.struct(F.lit("pair").alias("grp"), F.concat_ws("|", a, b).alias("term")))))
-    rows = df.select(F.explode(F.concat(*items, pairs)).alias("i")).select("i.*")
+
+
+def _counted(df: DataFrame, *items: Column) -> DataFrame:
+    """Sentences explode into their own few items, and the counts combine map-side into a result
+    that the dictionary bounds."""
+    rows = df.select(F.explode(F.concat(*items)).alias("i")).select("i.*")
     return rows.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def grammar_counts(df: DataFrame, left: str = "shot", right: str = "move", groups: Mapping = t.DICTIONARY) -> DataFrame:
+    """A4 and A5 in one pass: sentences per (group, term) and per (left|right) pair."""
+    return _counted(df, *[_term_items(g) for g in groups], _pair_items(left, right))
+
+
 def term_counts(df: DataFrame, groups: Mapping = t.DICTIONARY) -> DataFrame:
     """A4: sentences that contain a term, per group and term."""
-    return grammar_counts(df, groups=groups).filter(F.col("grp") != "pair")
+    return _counted(df, *[_term_items(g) for g in groups])
 
 
 def pair_counts(df: DataFrame, left: str = "shot", right: str = "move") -> DataFrame:
     """A5: sentences that contain both terms of a pair."""
-    rows = df.select(F.explode(F.col("terms")[left]).alias("left"), F.col("terms")[right].alias("rights"))
-    rows = rows.select("left", F.explode("rights").alias("right"))
-    return rows.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
+    names = F.split("term", r"\|")
+    return _counted(df, _pair_items(left, right)).select(
+        F.get(names, F.lit(0)).alias("left"), F.get(names, F.lit(1)).alias("right"), "n")
 
 
 def top_pairs(df: DataFrame, k: int = 60) -> DataFrame:

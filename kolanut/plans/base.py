@@ -109,12 +109,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
     """A text table for work that is heavy per row. A scan with fewer splits than cores is spread
     over them first; a large table has its splits already and is read as it is."""
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join keys hold the turn, so one long conversation spreads over all tasks.
     """
     c = table(spark, sf_dir, "conversations")
-    u = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("utext"))
+    u = texts(spark, sf_dir, "conversations", "conv_id", "turn").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("utext"))
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("atext"))
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "props", "value", "user_id")
     return (u.join(a, ["conv_id", "turn"])

@@ -12,6 +12,7 @@ from kolanut.operators.scoring import quality_gate
 from kolanut.plans.base import PAIRS_SQL, records, records_sql, table, texts
 from kolanut.plans.rendering import _FLAT, blocks_sql
 from kolanut.plans.seeding import SEED, d
+from kolanut.session import cut
 
 KINDS = ("toolcall_api", "toolpatch", "toolrefuse", "tooldisambig")
 VOCAB = 3000
@@ -75,7 +76,7 @@ def build_vocab(spark, sf):
 
 def encode_mask(spark, sf):
     """Ids and loss mask per rendered example."""
-    ex = _examples(spark, sf)
+    ex = cut(_examples(spark, sf))  # both the vocabulary and the ids read it
     coded = packing.with_counts(packing.encode(ex, packing.build_vocab(ex, VOCAB), size=VOCAB))
     joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " "))
     return coded.select("example_id", "n_tokens", "n_trained", joined("ids").alias("ids"), joined("mask").alias("mask"))
