@@ -44,11 +44,12 @@ def first_json(text: Column, stops: Iterable[str] = ()) -> Column:
 
 
 def json_string(text: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    """The text as a JSON string: a one-element array without its brackets."""
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))
 
 
 _BARE = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|[\[{](?s:.)*)$"
-_QUOTED = r"regexp_replace(to_json(array({})), r'^\[|\]$', '')"
+_QUOTED = "btrim(to_json(array({})), '[]')"
 # a value's literal from its text (z.1) and its variant kind (z.2); the variant parser gives no kind
 # at all when it refuses the object for a repeated key further down
 _LITERAL = f"""CASE WHEN z.`1` IS NULL THEN 'null' WHEN z.`2` = 'STRING' THEN {_QUOTED.format('z.`1`')}

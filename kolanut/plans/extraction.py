@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kolanut import tables as t
 from kolanut.functions.json import compact_json, first_json
 from kolanut.functions.text import blocks, is_noneish, turns
-from kolanut.plans.base import blocks_sql, records, records_sql, table, turns_sql
+from kolanut.plans.base import blocks_sql, records, records_sql, table, texts, turns_sql
 
 
 def block_parse(spark, sf):
@@ -39,14 +39,14 @@ _TEXT = ("CASE WHEN event_id % 7 = 0 THEN 'no call here' WHEN event_id % 7 = 1 T
 
 
 def first_json_events(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.expr(_TEXT).alias("text"))
+    e = texts(spark, sf, "events", "event_id").select("event_id", F.expr(_TEXT).alias("text"))
     e = e.withColumn("o", first_json(F.col("text"), t.PROBE_STOPS))
     return e.select("event_id", F.col("o").isNotNull().alias("json_ok"), F.col("o")["name"].alias("name"),
                     F.col("o")["arguments"].alias("arguments"), F.col("o")["rate"].alias("rate"))
 
 
 def compact_json_events(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.expr(_TEXT).alias("text"))
+    e = texts(spark, sf, "events", "event_id").select("event_id", F.expr(_TEXT).alias("text"))
     return e.select("event_id", compact_json(F.split("text", "<reserved_5>", 2)[0]).alias("body"))
 
 

@@ -32,7 +32,7 @@ PATCH_TEXT = f"CASE WHEN event_id % 13 = 0 THEN {_WHOLE_CALL} WHEN event_id % 13
 
 
 def _completions(spark, sf):
-    return table(spark, sf, "events").select(
+    return texts(spark, sf, "events", "event_id").select(
         "event_id", F.expr(MODEL).alias("model"), F.expr(COMPLETION).alias("text"),
         F.col("event_type").alias("expect"), F.expr(MENU_SPARK).alias("menu"))
 
@@ -67,7 +67,7 @@ def declared_lookup(spark, sf):
 
 
 def _patches(spark, sf):
-    return table(spark, sf, "events").select(
+    return texts(spark, sf, "events", "event_id").select(
         "event_id", F.expr(_spark(CURRENT)).alias("current"), F.expr(_spark(PATCH_TEXT)).alias("text"), F.lit("k").alias("field"))
 
 
@@ -85,7 +85,7 @@ def apply_patch_rows(spark, sf):
 
 def session_score(spark, sf):
     """Conversations as sessions of six turns; the fifth is a call, the sixth is spoken."""
-    c = table(spark, sf, "conversations")
+    c = texts(spark, sf, "conversations", "conv_id", "turn")
     amount = F.expr("CASE conv_id % 3 WHEN 0 THEN '{\"op\":\"patch\",\"set\":{\"total_amount\":3000}}' "
                     "WHEN 1 THEN '{\"name\":\"pay\",\"arguments\":{\"value\":2500.0,\"n\":7}}' "
                     "ELSE '{\"name\":\"pay\",\"arguments\":{\"amount\":\"3000\"}}' END")
@@ -111,7 +111,7 @@ def language_adherence(spark, sf):
 
 
 def language_switches(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("lang", detect_lang(F.col("text")))
+    c = texts(spark, sf, "conversations", "conv_id", "turn").withColumn("lang", detect_lang(F.col("text")))
     return lang_switches(c, "conv_id", "turn", "lang")
 
 
