@@ -1,4 +1,4 @@
-"""Helpers for keys that may be null and groups that may hold a third of all rows."""
+"""Ordered work on groups that may hold a third of all rows, and other frame helpers."""
 
 from __future__ import annotations
 
@@ -9,15 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
-
-
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys meet null keys; the right side's keys are dropped."""
-    names = {k: f"_r_{k}" for k in keys}
-    other = right.withColumnsRenamed(names)
-    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[n]) for k, n in names.items()])
-    out = left.join(other, on, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+BROADCAST_ROWS = 1 << 18
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -41,11 +33,19 @@ def position_chunk(order: Column, rows: int = CHUNK) -> Column:
 
 
 def _carry(df: DataFrame, keys: Sequence[str], chunk: Column, agg: Column, over) -> tuple[DataFrame, DataFrame]:
-    """Rows tagged with their chunk, and per (key, chunk) what the earlier chunks leave behind."""
-    tagged = df.withColumn("_chunk", chunk)
-    parts = tagged.groupBy(*keys, "_chunk").agg(agg.alias("_part"))
-    w = Window.partitionBy(*keys).orderBy("_chunk")
-    return tagged, parts.select(*keys, "_chunk", over(w).alias("_carry"))
+    """Rows tagged with their slot (key and chunk), and per slot what the earlier chunks leave behind.
+
+    The slot is one struct, in which null keys are equal. The join to the carry and the local window
+    both go by it, so the rows are exchanged once.
+    """
+    tagged = df.withColumn("_slot", F.struct(*keys, chunk.alias("_chunk")))
+    parts = tagged.groupBy("_slot").agg(agg.alias("_part"))
+    w = Window.partitionBy(*[F.col("_slot")[k] for k in keys]).orderBy(F.col("_slot")["_chunk"])
+    return tagged, parts.select("_slot", over(w).alias("_carry"))
+
+
+def _before(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
@@ -55,13 +55,12 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     A plain window would put all rows of a key in one task. Here the big sort runs per (key, chunk),
     and only one row per (key, chunk) is summed per key. ``chunk`` must not decrease along ``order``.
     """
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     tagged, carry = _carry(df.withColumn("_value", value.cast("bigint")), keys, chunk, F.sum("_value"),
-                           lambda w: F.coalesce(F.sum("_part").over(before(w)), F.lit(0)))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return (join_on(tagged, carry, [*keys, "_chunk"])
-            .withColumn(out, F.col("_carry") + F.coalesce(F.sum("_value").over(before(local)), F.lit(0)))
-            .drop("_chunk", "_carry", "_value"))
+                           lambda w: F.coalesce(F.sum("_part").over(_before(w)), F.lit(0)))
+    local = Window.partitionBy("_slot").orderBy(*order)
+    return (tagged.join(carry, "_slot")
+            .withColumn(out, F.col("_carry") + F.coalesce(F.sum("_value").over(_before(local)), F.lit(0)))
+            .drop("_slot", "_carry", "_value"))
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: str, value: str, chunk: Column, out: str) -> DataFrame:
@@ -71,11 +70,11 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, value: str, c
     """
     last = F.max_by(F.struct(value), order)
     tagged, carry = _carry(df, keys, chunk, last, lambda w: F.lag("_part").over(w))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return (join_on(tagged, carry, [*keys, "_chunk"])
+    local = Window.partitionBy("_slot").orderBy(order)
+    return (tagged.join(carry, "_slot")
             .withColumn("_before", F.coalesce(F.lag(F.struct(value)).over(local), F.col("_carry")))
             .withColumn(out, F.col("_before")[value]).withColumn(f"{out}_exists", F.col("_before").isNotNull())
-            .drop("_chunk", "_carry", "_before"))
+            .drop("_slot", "_carry", "_before"))
 
 
 def lang_switches(df: DataFrame, conv: str, turn: str, lang: str, chunk: Column | None = None) -> DataFrame:
@@ -87,15 +86,21 @@ def lang_switches(df: DataFrame, conv: str, turn: str, lang: str, chunk: Column
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: Column | int, chunk: Column,
-            rank: str = "rank") -> DataFrame:
-    """The first k rows of every key. Chunks that start past k never leave their map task's join,
-    and a key's rows are ranked chunk by chunk."""
+            rank: str = "rank", at_most: int | None = None) -> DataFrame:
+    """The first k rows of every key, ranked chunk by chunk.
+
+    Chunks that start past k are dropped by the join. At most k chunks of a key remain, as each holds
+    a row; where the caller knows that bound over all keys (``at_most``) and it is small, the chunk
+    list is broadcast and the dropped rows never leave their map task.
+    """
     k = F.lit(k) if isinstance(k, int) else k
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     tagged, carry = _carry(df, keys, chunk, F.count(F.lit(1)),
-                           lambda w: F.coalesce(F.sum("_part").over(before(w)), F.lit(0)))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return (join_on(tagged, carry.filter(F.col("_carry") < k), [*keys, "_chunk"])
+                           lambda w: F.coalesce(F.sum("_part").over(_before(w)), F.lit(0)))
+    early = carry.select("*", *[F.col("_slot")[x].alias(x) for x in keys]).filter(F.col("_carry") < k).select("_slot", "_carry")
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        early = F.broadcast(early)
+    local = Window.partitionBy("_slot").orderBy(*order)
+    return (tagged.join(early, "_slot")
             .withColumn(rank, F.col("_carry") + F.row_number().over(local))
             .filter(F.col(rank) <= k)
-            .drop("_chunk", "_carry"))
+            .drop("_slot", "_carry"))

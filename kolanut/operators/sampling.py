@@ -71,7 +71,7 @@ def stratified_sample(df: DataFrame, limit: int, key: str = "id", shots: str = "
     share = max(1, limit // 3)
     sequences = drawn.agg(F.count_if("is_seq").alias("n")).scalar()
     quota = F.when(F.col("is_seq"), F.lit(share)).otherwise(F.lit(limit))
-    picked = first_k(drawn, ["is_seq"], ["_draw", key], quota, _draw_chunk())
+    picked = first_k(drawn, ["is_seq"], ["_draw", key], quota, _draw_chunk(), at_most=2 * limit)
     want_seq = F.least(sequences, F.lit(share))
     return picked.filter(F.col("is_seq") | (F.col("rank") <= limit - want_seq)).drop("_draw", "rank")
 

@@ -53,7 +53,7 @@ def weighted_choice(df: DataFrame, weights: DataFrame, out: str, d: Column,
     rows = running_total(keyed, [], ["_d", "term"], F.col("n"), F.floor(F.col("_d") / F.lit(1 << 16)), "lo")
     rows = rows.select("term", "lo", (F.col("lo") + F.col("n")).alias("hi"))
     total = weights.agg(F.sum("n").cast("bigint").alias("s")).scalar()
-    step = F.greatest(F.floor(total / 4096), F.lit(1))
+    step = F.greatest(F.floor(total / (1 << 16)), F.lit(1))
     sliced = rows.select("*", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))).alias("_slice"))
     drawn = df.withColumn("_u", F.pmod(d, total)).withColumn("_slice", F.floor(F.col("_u") / step))
     hit = (drawn["_slice"] == sliced["_slice"]) & (F.col("lo") <= F.col("_u")) & (F.col("_u") < F.col("hi"))

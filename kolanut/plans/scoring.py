@@ -17,6 +17,7 @@ from kolanut.operators.scoring import (
 from kolanut.plans.base import (
     BRIEF, CURRENT, LANG, MENU_SPARK, PAIRS_SQL, PATCH, SHOTS, VIDEO_CALL, VIDEO_MENU_SPARK, _spark, pairs, table, texts,
 )
+from kolanut.session import cut
 
 MODEL = "CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'nano' ELSE 'mini' END"
 # what a model might write: a clean call, a wrong tool, an undeclared argument, a marker alone, a question, prose
@@ -111,8 +112,10 @@ def language_adherence(spark, sf):
 
 
 def language_switches(spark, sf):
-    c = texts(spark, sf, "conversations", "conv_id", "turn").withColumn("lang", detect_lang(F.col("text")))
-    return lang_switches(c, "conv_id", "turn", "lang")
+    c = texts(spark, sf, "conversations", "conv_id", "turn")
+    # the window reads the languages twice, so they are written once where the cluster has a folder
+    langs = cut(c.select("conv_id", "turn", detect_lang(F.col("text")).alias("lang")))
+    return lang_switches(langs, "conv_id", "turn", "lang")
 
 
 def language_coverage(spark, sf):

@@ -9,14 +9,14 @@ from kolanut import tables as t
 from kolanut.operators.packing import assign_shards, manifest, with_counts
 
 
-def write_staged(df: DataFrame, root: str, files_per_group: int = 16) -> None:
+def write_staged(df: DataFrame, root: str) -> None:
     """Records by (type, lang).
 
-    About sixty groups, some with a third of all rows: each is spread over several files by id.
+    About sixty groups, some with a third of all rows: the rebalance hint gathers each group and
+    splits the large ones into files of the advisory size.
     """
-    salt = F.pmod(F.xxhash64("id"), F.lit(files_per_group))
     (df.select("id", "output", "input", "degenerate", "empty", "menu", "type", "lang")
-     .repartition("type", "lang", salt).write.mode("overwrite").partitionBy("type", "lang").json(root))
+     .hint("rebalance", "type", "lang").write.mode("overwrite").partitionBy("type", "lang").json(root))
 
 
 def write_clean(df: DataFrame, path: str, source: str | None = None) -> None:
