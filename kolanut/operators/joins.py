@@ -21,7 +21,7 @@ def last_wave(seeds: DataFrame) -> DataFrame:
 
 
 def first_copy(records: DataFrame) -> DataFrame:
-    """One row per id, the first in input order, with ``copies``; also unparseable lines.
+    """One row per id, the first in input order, with ``copies`` and its place in ``_order``.
 
     An aggregate, not a window: copies of a hot id collapse inside each map task, so no task ever
     holds them all, and the result is already partitioned by id for the join.
@@ -31,9 +31,9 @@ def first_copy(records: DataFrame) -> DataFrame:
     bad = F.col("_corrupt").isNotNull() if "_corrupt" in records.columns else F.lit(False)
     rows = records.select("id", F.when(~bad, F.struct(*cols)).alias("r"), F.when(~bad, order).alias("o"), bad.alias("bad"))
     best = rows.groupBy("id").agg(
-        F.min_by("r", "o").alias("r"), F.count_if(~F.col("bad")).alias("copies"),
+        F.min_by("r", "o").alias("r"), F.min("o").alias("_order"), F.count_if(~F.col("bad")).alias("copies"),
         F.count_if("bad").alias("unparseable"))
-    return best.select("id", "r.*", "copies", "unparseable")
+    return best.select("id", "r.*", "_order", "copies", "unparseable")
 
 
 def attach_menu(records: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -32,9 +32,14 @@ def cumulative(weights: DataFrame, term: str = "term", n: str = "n") -> DataFram
 
 
 def inline(weights: DataFrame, term: str = "term", n: str = "n") -> Column:
-    """The interval table as one ARRAY value, for the dictionary-sized tables of a grammar."""
-    rows = cumulative(weights, term, n)
-    return rows.agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "term"))).alias("w")).scalar()
+    """The interval table as one ARRAY value, for the dictionary-sized tables of a grammar.
+
+    At most INLINE_TERMS + 1 terms are ever gathered; a larger table is an error, not a cut.
+    """
+    rows = cumulative(weights.limit(INLINE_TERMS + 1), term, n)
+    too_many = F.raise_error(F.lit(f"more than {INLINE_TERMS} terms: use weighted_choice"))
+    terms = F.sort_array(F.collect_list(F.struct("lo", "hi", "term")))
+    return rows.agg(F.when(F.count(F.lit(1)) > INLINE_TERMS, too_many).otherwise(terms).alias("w")).scalar()
 
 
 def weighted_choice(df: DataFrame, weights: DataFrame, out: str, d: Column,

@@ -30,7 +30,7 @@ def write_shards(df: DataFrame, root: str, cap: int = t.SHARD_TOKENS, key: str =
     """Encoded examples as Parquet, one folder per shard, and the manifest beside them."""
     placed = assign_shards(with_counts(df), "n_tokens", key, cap, seed)
     (placed.repartition("shard_id").write.mode("overwrite").partitionBy("shard_id").parquet(f"{root}/shards"))
-    written = df.sparkSession.read.parquet(f"{root}/shards")
+    written = df.sparkSession.read.schema(placed.schema).parquet(f"{root}/shards")
     index = manifest(written)
     index.write.mode("overwrite").parquet(f"{root}/manifest")
     return df.sparkSession.read.parquet(f"{root}/manifest")
