@@ -43,14 +43,16 @@ def inline(weights: DataFrame, term: str = "term", n: str = "n") -> Column:
 
 
 def weighted_choice(df: DataFrame, weights: DataFrame, out: str, d: Column,
-                    empty: str | None = t.EMPTY_GRAMMAR_TERM) -> DataFrame:
+                    empty: str | None = t.EMPTY_GRAMMAR_TERM, wide: bool | None = None) -> DataFrame:
     """A term in proportion to its weight; ``empty`` where the table holds none.
 
-    Up to INLINE_TERMS terms travel as one array value. A larger table meets the rows through an
-    equi-join on slices of the weight range, so a heavy term is spread over many keys.
+    Up to INLINE_TERMS terms travel as one array value. A larger (``wide``) table meets the rows
+    through an equi-join on slices of the weight range, so a heavy term is spread over many keys.
+    Left open, ``wide`` is found by counting up to the bound.
     """
-    size = weights.limit(INLINE_TERMS + 1).count()
-    if size <= INLINE_TERMS:
+    if wide is None:
+        wide = weights.limit(INLINE_TERMS + 1).count() > INLINE_TERMS
+    if not wide:
         held = df.withColumn("_w", inline(weights))
         return held.withColumn(out, F.coalesce(weighted_of(d, F.col("_w")), F.lit(empty))).drop("_w")
     keyed = weights.select("term", F.col("n").cast("bigint").alias("n")).filter("n > 0").withColumn(

@@ -38,7 +38,7 @@ def shuffle_first(spark, sf):
 
 
 def cap_per_group(spark, sf):
-    """The first thousand order keys of each (status, priority), in key order."""
+    """The first 700 order keys of each (status, priority), in key order."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     return sampling.cap_per_group(o, ["o_orderstatus", "o_orderpriority"], "o_orderkey", 700)
 

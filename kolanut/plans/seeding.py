@@ -30,7 +30,7 @@ def weighted_draw_wide(spark, sf):
     w = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("term"),
                                             (F.col("c_nationkey") + 1).cast("bigint").alias("n"))
     rows = table(spark, sf, "orders").select("o_orderkey")
-    return seeding.weighted_choice(rows, w, "term", draw(SEED, F.col("o_orderkey"), "wide"))
+    return seeding.weighted_choice(rows, w, "term", draw(SEED, F.col("o_orderkey"), "wide"), wide=True)
 
 
 def pair_draw(spark, sf):
