@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.operators.frames import union_all
-
 MENU_SPARK = (
     "array(named_struct('name', event_type, 'description', 'Record the event', 'arguments', map('k', 'number')), "
     "named_struct('name', concat(event_type, '_note'), 'description', 'Add a note', "
@@ -139,12 +137,12 @@ pairs AS (
   WHERE u.role = 'user')"""
 
 
-def records_of(df: DataFrame, kind: str) -> DataFrame:
-    """One record of a type per pair, with its menu."""
+def _record(kind: str):
+    """One record of a type from a pair, with its menu, as a struct."""
     menu = VIDEO_MENU_SPARK if kind == "seedance" else MENU_SPARK
     current = CURRENT if kind == "toolpatch" else "CAST(NULL AS STRING)"
-    return df.select(
-        F.concat(F.lit(f"{kind}-"), F.col("event_id")).alias("id"), F.lit(kind).alias("type"),
+    return F.struct(
+        F.concat(F.lit(f"{kind}-"), F.col("event_id").cast("string")).alias("id"), F.lit(kind).alias("type"),
         F.expr(LANG).alias("lang"), F.expr(_spark(OUTPUTS[kind])).alias("output"),
         F.struct(F.expr(TARGETS.get(kind, "CAST(NULL AS STRING)")).alias("target"), F.expr(_spark(current)).alias("current"),
                  F.expr(BRIEF).alias("brief"), F.expr(SHOTS).alias("shots")).alias("input"),
@@ -157,8 +155,9 @@ def _spark(sql: str) -> str:
 
 
 def records(spark: SparkSession, sf_dir: str, kinds=tuple(OUTPUTS)) -> DataFrame:
-    base = pairs(spark, sf_dir)
-    return union_all([records_of(base, k) for k in kinds])
+    """A record of each type per pair: one scan and one join, then one row per type."""
+    rows = F.explode(F.array(*[_record(k) for k in kinds])).alias("r")
+    return pairs(spark, sf_dir).select(rows).select("r.*")
 
 
 def records_sql(kinds=tuple(OUTPUTS)) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kolanut.operators.joins import (
     attach_menu, first_copy, group_counts, join_report, joined, last_wave, leaked, missing, with_completions,
 )
-from kolanut.plans.base import table
+from kolanut.plans.base import table, texts
 
 # One order of all lines that both engines share: the numbers of a line tell it apart.
 _POS = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_tax", "l_quantity", "l_discount")
@@ -18,7 +18,7 @@ def _spark(sql):
 
 
 def _records(spark, sf):
-    li = table(spark, sf, "lineitem")
+    li = texts(spark, sf, "lineitem", "l_orderkey", "l_linenumber")
     return li.select(
         F.col("l_orderkey").cast("string").alias("id"), F.col("l_returnflag").alias("type"),
         F.when(F.col("l_linestatus") == "F", "pcm").alias("lang"), F.expr(_spark(_OUTPUT)).alias("output"),

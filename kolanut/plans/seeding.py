@@ -8,14 +8,14 @@ from kolanut.functions.draws import choice, draw, round_robin
 from kolanut.operators import seeding
 from kolanut.operators.aggregates import distinct_menus, histogram, seed_profile
 from kolanut.operators.frames import union_all
-from kolanut.plans.base import records, records_sql, table
+from kolanut.plans.base import records, records_sql, table, texts
 
 SEED = 20260919
 
 
 def _spine(spark, sf, prefix):
     """One job per part, numbered by its key."""
-    return seeding.with_ids(table(spark, sf, "part").select(F.col("p_partkey").alias("i")), prefix)
+    return seeding.with_ids(texts(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("i")), prefix)
 
 
 def weighted_draw(spark, sf):
