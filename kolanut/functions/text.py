@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,23 +92,30 @@ def _pattern(source: str, anchored: bool) -> str:
     return source.replace(r"\b", _EDGE)
 
 
+def _stems(source: str) -> list[str]:
+    """The plain letters each alternative of a wording starts with; none if one has a single letter."""
+    flat = re.sub(r"\([^()]*\)", "(", source).lower()
+    stems = [re.match(r"(?:\\b)?((?:[a-z '](?!\?))*)", alt)[1] for alt in flat.split("|")]
+    return stems if min(map(len, stems)) > 1 else []
+
+
 def tag_terms(text: Column, dictionary: Iterable[tuple[str, str]], anchored: bool = False,
               fold: bool = True) -> Column:
     """X11: canonical terms whose wording occurs in the text, in dictionary order, each once.
 
     ``anchored=True`` asks for whole words, where the default counts ``forms`` for ``MS``. The text
-    is folded once, as a caseless pattern costs far more per character.
+    is folded once, as a caseless pattern costs far more per character, and a pattern is searched
+    for only where the first letters of one of its alternatives occur.
     """
     low = folded(text) if fold else text
-    found = [F.when(low.rlike(_pattern(p, anchored)), F.lit(term)) for p, term in dictionary]
-    return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
 
+    def occurs(source: str) -> Column:
+        hit = low.rlike(_pattern(source, anchored))
+        stems = [F.contains(low, F.lit(x)) for x in _stems(source)]
+        return reduce(lambda a, b: a | b, stems) & hit if stems else hit
 
-def any_term(text: Column, groups: Mapping[str, Iterable[tuple[str, str]]], anchored: bool = False,
-             fold: bool = True) -> Column:
-    """Whether any wording of the dictionary occurs: one search in place of one per term."""
-    low = folded(text) if fold else text
-    return low.rlike("|".join(f"(?:{_pattern(p, anchored)})" for d in groups.values() for p, _ in d))
+    found = [F.when(occurs(p), F.lit(term)) for p, term in dictionary]
+    return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
 
 
 def tag_groups(text: Column, groups: Mapping[str, Iterable[tuple[str, str]]], anchored: bool = False,

@@ -137,16 +137,13 @@ pairs AS (
   WHERE u.role = 'user')"""
 
 
-def _record(kind: str):
-    """One record of a type from a pair, with its menu, as a struct."""
+def _record(kind: str) -> str:
+    """One record of a type from a pair, with its menu, as a SQL struct."""
     menu = VIDEO_MENU_SPARK if kind == "seedance" else MENU_SPARK
     current = CURRENT if kind == "toolpatch" else "CAST(NULL AS STRING)"
-    return F.struct(
-        F.concat(F.lit(f"{kind}-"), F.col("event_id").cast("string")).alias("id"), F.lit(kind).alias("type"),
-        F.expr(LANG).alias("lang"), F.expr(_spark(OUTPUTS[kind])).alias("output"),
-        F.struct(F.expr(TARGETS.get(kind, "CAST(NULL AS STRING)")).alias("target"), F.expr(_spark(current)).alias("current"),
-                 F.expr(BRIEF).alias("brief"), F.expr(SHOTS).alias("shots")).alias("input"),
-        F.expr(menu).alias("menu"))
+    return _spark(f"""named_struct('id', '{kind}-' || event_id, 'type', '{kind}', 'lang', {LANG}, 'output', {OUTPUTS[kind]},
+        'input', named_struct('target', {TARGETS.get(kind, 'CAST(NULL AS STRING)')}, 'current', {current}, 'brief', {BRIEF}, 'shots', {SHOTS}),
+        'menu', {menu})""")
 
 
 def _spark(sql: str) -> str:
@@ -156,8 +153,7 @@ def _spark(sql: str) -> str:
 
 def records(spark: SparkSession, sf_dir: str, kinds=tuple(OUTPUTS)) -> DataFrame:
     """A record of each type per pair: one scan and one join, then one row per type."""
-    rows = F.explode(F.array(*[_record(k) for k in kinds])).alias("r")
-    return pairs(spark, sf_dir).select(rows).select("r.*")
+    return pairs(spark, sf_dir).select(F.expr(f"explode(array({', '.join(map(_record, kinds))}))").alias("r")).select("r.*")
 
 
 def records_sql(kinds=tuple(OUTPUTS)) -> str:
