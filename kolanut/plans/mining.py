@@ -7,7 +7,7 @@ from kolanut.functions.text import tagged_spans
 from kolanut.operators.mining import (
     grammar_counts, pair_counts, scene_sentences, sentence_count, tagged, term_counts, top_pairs,
 )
-from kolanut.plans.base import table, texts
+from kolanut.plans.base import texts
 
 
 # The documents hold no camera words, so common words of theirs stand for some.
