@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.llm import token_counts
+from kolanut.llm import mixing, sharding, token_counts
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -23,5 +23,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document so that sources come near their targets."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document dealt to 24 shards whose row counts are at most one apart."""
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+_QUERIES = (op1_token_counts, op3_mixing, op5_sharding)
+QUERIES = {f.__name__: f for f in _QUERIES}
 ORACLE: dict[str, str] = {}
