@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.llm import mixing, sharding, token_counts
+from kolanut.llm import mixing, sharding, substrings, token_counts
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -29,6 +29,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of 13 words that an earlier one holds, as a digest of what is kept."""
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document dealt to 24 shards whose row counts are at most one apart."""
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -36,6 +42,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = (op1_token_counts, op3_mixing, op5_sharding)
+_QUERIES = (op1_token_counts, op3_mixing, op4_substring_dedup, op5_sharding)
 QUERIES = {f.__name__: f for f in _QUERIES}
-ORACLE: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE: dict[str, str] = {
+    "op4_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS run FROM p),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY run) AS least FROM g) WHERE least < doc_id),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM m),
+k AS (SELECT doc_id, len(ws) AS n, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+s AS (SELECT k.doc_id, string_agg(k.ws[k.i], ' ' ORDER BY k.i) FILTER (c.i IS NULL) AS kept, count(c.i) AS gone
+  FROM k LEFT JOIN c ON c.doc_id = k.doc_id AND c.i = k.i GROUP BY k.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
+}
