@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.llm import mixing, sharding, substrings, token_counts
+from kolanut.llm import language, mixing, sharding, substrings, token_counts, toxicity
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -42,7 +42,25 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = (op1_token_counts, op3_mixing, op4_substring_dedup, op5_sharding)
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = language.remainder(F.col("doc_id"), 3) != 1
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), learn)
+    held_out = F.coalesce(language.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    scored = toxicity.score(docs.withColumn("held_out", held_out), model)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, language.remainder(F.col("doc_id"), 4) != 2)
+    held_out = F.coalesce(language.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
+_QUERIES = (op1_token_counts, op3_mixing, op4_substring_dedup, op5_sharding, op9_toxicity, op10_language_id)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
