@@ -27,7 +27,7 @@ _DDL = "bucket int, owners binary, lo binary, hi binary, owner bigint, found bin
 
 
 def _grouped(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str):
-    """Sort order, the first entry of each key with its smallest owner, and a mask of entries that the rule finds."""
+    """Sort order, the first entry of each key with its smallest and largest owner, and a mask of entries that the rule finds."""
     order = np.argsort(lo) if not len(hi) else np.lexsort((hi, lo))
     slo = lo[order]
     new = np.ones(len(lo), bool)
@@ -37,13 +37,13 @@ def _grouped(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str):
         new[1:] |= shi[1:] != shi[:-1]
     at = np.flatnonzero(new)
     held = owner[order]
-    least = np.minimum.reduceat(held, at)
+    least, most = np.minimum.reduceat(held, at), np.maximum.reduceat(held, at)
     sizes = np.diff(np.append(at, len(lo)))
     if rule == SHARED:
-        found = np.repeat(np.maximum.reduceat(held, at) > least, sizes)
+        found = np.repeat(most > least, sizes)
     else:
         found = held > np.repeat(least, sizes)
-    return order, at, least, held, found
+    return order, at, least, most, held, found
 
 
 def _by_owner(owner: np.ndarray, lo: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -59,9 +59,15 @@ def _flushed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: in
     owner, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(lo):
         return None
-    order, at, least, held, found = _grouped(owner, lo, hi, rule)
-    rows = [(None, None, None, None, o, k) for o, k in _by_owner(held[found], lo[order][found])]
+    order, at, least, most, held, found = _grouped(owner, lo, hi, rule)
     keys, high = lo[order][at], hi[order][at] if len(hi) else hi
+    if rule == SHARED:  # the smallest and the largest owner ask, the others know already
+        sizes = np.diff(np.append(at, len(lo)))
+        found &= (held != np.repeat(least, sizes)) & (held != np.repeat(most, sizes))
+        two = most > least
+        keys, least = np.concatenate((keys, keys[two])), np.concatenate((least, most[two]))
+        high = np.concatenate((high, high[two])) if len(hi) else high
+    rows = [(None, None, None, None, o, k) for o, k in _by_owner(held[found], lo[order][found])]
     bucket = ((keys >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
     deal = np.lexsort((least, bucket))  # runs of one owner pack well
     bucket, keys, least, high = bucket[deal], keys[deal], least[deal], high[deal] if len(hi) else high
@@ -91,7 +97,7 @@ def _answered(batches: Iterator[pa.RecordBatch], rule: str) -> Iterator[pa.Recor
     lo = np.frombuffer(b"".join(a[1] for a in asked), np.uint64)
     hi = np.frombuffer(b"".join(a[2] for a in asked), np.uint64)
     del asked
-    order, _, _, held, found = _grouped(owner, lo, hi, rule)
+    order, _, _, _, held, found = _grouped(owner, lo, hi, rule)
     rows = list(_by_owner(held[found], lo[order][found]))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.llm import language, mixing, sharding, substrings, token_counts, toxicity
+from kolanut.llm import jaccard, language, mixing, sharding, substrings, token_counts, toxicity
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -42,6 +42,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 85 % of their 4-word shingles."""
+    return jaccard.join_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-_QUERIES = (op1_token_counts, op3_mixing, op4_substring_dedup, op5_sharding, op9_toxicity, op10_language_id)
+_QUERIES = (op1_token_counts, op3_mixing, op4_substring_dedup, op5_sharding, op7_jaccard_join, op9_toxicity, op10_language_id)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -77,4 +82,16 @@ s AS (SELECT k.doc_id, string_agg(k.ws[k.i], ' ' ORDER BY k.i) FILTER (c.i IS NU
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
+    "op7_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM
+  (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') for i in range(1, len(ws) - 2)]) END AS gs FROM w),
+n AS (SELECT doc_id, len(gs) AS n FROM g),
+e AS (SELECT doc_id, unnest(gs) AS s FROM g),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 85 * (p.n + q.n - o)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.y AS component_id
+FROM n JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) c ON c.x = n.doc_id""",
 }
