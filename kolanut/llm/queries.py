@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.llm import decontamination, jaccard, language, mixing, nearest, sharding, substrings, token_counts, toxicity
+from kolanut.llm import decontamination, jaccard, language, mixing, nearest, quotes, sharding, substrings, token_counts, toxicity
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -47,6 +47,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in reply order, linked by what they quote, without the quotes."""
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 85 % of their 4-word shingles."""
     return jaccard.join_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-_QUERIES = (op1_token_counts, op2_nearest, op3_mixing, op4_substring_dedup, op5_sharding, op7_jaccard_join, op8_decontamination, op9_toxicity, op10_language_id)
+_QUERIES = (op1_token_counts, op2_nearest, op3_mixing, op4_substring_dedup, op5_sharding, op6_quotation_links, op7_jaccard_join, op8_decontamination, op9_toxicity, op10_language_id)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -100,6 +105,31 @@ s AS (SELECT k.doc_id, string_agg(k.ws[k.i], ' ' ORDER BY k.i) FILTER (c.i IS NU
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
+    "op6_quotation_links": r"""
+WITH RECURSIVE l AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+x AS (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, ls FROM l),
+y AS (SELECT conv_id, turn, i, line, length(replace(regexp_extract(line, '^( ?>)+'), ' ', '')) AS level,
+  trim(lower(regexp_replace(regexp_replace(line, '^( ?>)+', ''), '[ 	]+', ' ', 'g'))) AS norm,
+  length(regexp_extract(coalesce(ls[i + 1], ''), '^( ?>)+')) > 0 AS before_quote FROM x),
+z AS (SELECT *, level = 0 AND NOT (before_quote AND regexp_matches(line, '^On .+ wrote:[ 	]*$')) AS own FROM y),
+b AS (SELECT conv_id, turn, regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (own), '^[ 	
+]+|[ 	
+]+$', '', 'g') AS body
+  FROM z GROUP BY 1, 2),
+q AS (SELECT DISTINCT conv_id, turn, level, norm FROM z WHERE level > 0 AND norm <> ''),
+o AS (SELECT DISTINCT conv_id, turn, norm FROM z WHERE own AND norm <> ''),
+m AS (SELECT q.conv_id, q.turn, q.level, q.norm, max(o.turn) AS parent FROM q JOIN o ON o.conv_id = q.conv_id AND o.norm = q.norm AND o.turn < q.turn
+  GROUP BY 1, 2, 3, 4),
+v AS (SELECT conv_id, turn, level, parent, count(*) AS votes FROM m GROUP BY 1, 2, 3, 4),
+p AS (SELECT conv_id, turn, parent FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, parent DESC) = 1),
+t AS (SELECT l.conv_id, l.turn, l.role, coalesce(p.parent, lag(l.turn) OVER w) AS parent,
+  CASE WHEN p.parent IS NOT NULL THEN 'quote' WHEN lag(l.turn) OVER w IS NOT NULL THEN 'previous' END AS linked
+  FROM l LEFT JOIN p USING (conv_id, turn) WINDOW w AS (PARTITION BY l.conv_id ORDER BY l.turn)),
+r AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM t WHERE parent IS NULL
+  UNION ALL SELECT t.conv_id, t.turn, r.root, r.depth + 1 FROM t JOIN r ON t.conv_id = r.conv_id AND t.parent = r.turn)
+SELECT t.conv_id, t.turn, t.role, t.parent AS parent_turn, r.root AS root_turn, CAST(r.depth AS BIGINT) AS depth, t.linked,
+  coalesce(b.body, '') AS body, row_number() OVER (PARTITION BY t.conv_id, r.root ORDER BY r.depth, t.turn) - 1 AS position
+FROM t JOIN r USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)""",
     "op7_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM
   (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),

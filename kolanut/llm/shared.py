@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a reliable checkpoint: computed once, its lineage cut, safe from lost executors.
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a session without one (a test) gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without one (a test)
-    gets a folder of its own.
-    """
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a reliable checkpoint: computed once, its lineage cut, safe from lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet to a new place in the shared folder, and read from there."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
