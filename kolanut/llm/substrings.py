@@ -71,7 +71,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     """
     if not cover_ok(period, cover) or run < period:
         raise ValueError("the cover must hold every difference modulo the period, and a run at least one period")
-    all_docs = docs.select(F.col(key).cast("bigint").alias("owner_id"), F.col(text).alias("text"))
+    # an alias of the same name would tell the two exchanges of the text apart, and both would be made
+    all_docs = docs.select(F.col(key).cast("bigint").alias("owner_id"), F.col(text) if text == "text" else F.col(text).alias("text"))
     named = all_docs.filter(F.col("owner_id").isNotNull())
 
     def reader() -> _Texts:
