@@ -78,11 +78,22 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, value: str, c
 
 
 def lang_switches(df: DataFrame, conv: str, turn: str, lang: str, chunk: Column | None = None) -> DataFrame:
-    """Adjacent turns of a conversation whose languages differ, counted per conversation."""
+    """Adjacent turns of a conversation whose languages differ, counted per conversation.
+
+    One pass: each (conversation, chunk) counts its own switches and keeps its first and last language; those rows, one per
+    chunk, give the switches between chunks.
+    """
     chunk = position_chunk(F.col(turn)) if chunk is None else chunk
-    seen = previous_value(df.select(conv, turn, lang), [conv], turn, lang, chunk, "prev")
-    moved = F.col("prev_exists") & ~F.col(lang).eqNullSafe(F.col("prev"))
-    return seen.groupBy(conv).agg(F.count(F.lit(1)).alias("turns"), F.count_if(moved).alias("switches"))
+    rows = df.select(conv, turn, F.struct(lang).alias("_lang"), F.struct(conv, chunk.alias("_chunk")).alias("_slot"))
+    before = F.lag("_lang").over(Window.partitionBy("_slot").orderBy(turn))
+    parts = rows.withColumn("_before", before).groupBy("_slot").agg(
+        F.count(F.lit(1)).alias("_turns"), F.count_if(F.col("_before").isNotNull() & ~F.col("_lang").eqNullSafe(F.col("_before"))).alias("_moved"),
+        F.min_by("_lang", turn).alias("_first"), F.max_by("_lang", turn).alias("_last"))
+    across = F.lag("_last").over(Window.partitionBy("_slot." + conv).orderBy("_slot._chunk"))
+    parts = parts.withColumn("_across", across)
+    moved = (F.col("_across").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_across"))).cast("bigint")
+    return parts.groupBy(F.col("_slot")[conv].alias(conv)).agg(
+        F.sum("_turns").alias("turns"), F.sum(F.col("_moved") + moved).alias("switches"))
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: Column | int, chunk: Column,

@@ -21,11 +21,11 @@ from kolanut.sources.writers import write_shards
 
 
 def build_corpus(records: DataFrame, seeds: DataFrame, root: str, holdout: DataFrame | None = None,
-                 dup: Mapping[str, int] = t.DUP, max_per_type: int = 200_000, vocab_size: int = t.VOCAB_SIZE,
+                 dup: Mapping[str, int] = t.DUP, max_per_type: int | None = None, vocab_size: int = t.VOCAB_SIZE,
                  cap: int = t.SHARD_TOKENS, gate: bool = True) -> dict[str, DataFrame]:
-    """Join, validate, render, upsample, encode and pack; returns the reports.
+    """Join, validate, render, encode, upsample and pack; returns the reports.
 
-    Records and seeds come from ``sources.readers``. Held-out ids among the records stop the run, and
+    ``max_per_type`` caps each (type, language); the rows it drops are in the report ``capped``. Records and seeds come from ``sources.readers``. Held-out ids among the records stop the run, and
     so does a corpus that fails its gate.
     """
     spark = records.sparkSession
@@ -34,28 +34,38 @@ def build_corpus(records: DataFrame, seeds: DataFrame, root: str, holdout: DataF
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    if holdout is not None:
-        joins.assert_no_leak(records, holdout)
     attached = stage(joins.attach_menu(records, seeds), "joined")
+    if holdout is not None:  # over the ids that are left, each once
+        joins.assert_no_leak(attached, holdout)
     checked = stage(validation.validate(validation.drop_flagged(joins.joined(attached))), "checked")
     shown = stage(rendering.render(validation.kept(checked)).select("id", "type", "lang", "segments", "_order"), "rendered")
     # input order: splits are the chunks, and a split holds a bounded number of rows
     split = F.struct("_order._wave", "_order._file", "_order._pos.block")
-    capped = sampling.cap_per_group(shown.filter("segments IS NOT NULL"), ["type", "lang"], "_order", max_per_type, split)
-    copies = sampling.upsample(capped, dup).select(F.concat_ws("#", "id", "copy").alias("example_id"), "segments")
-    pieces = stage(packing.drop_untrained(packing.with_pieces(copies)).select("example_id", "pieces", "mask"), "pieces")
+    able = shown.filter("segments IS NOT NULL")
+    kept = able if max_per_type is None else sampling.cap_per_group(able, ["type", "lang"], "_order", max_per_type, split)
+    pieces = stage(packing.drop_untrained(packing.with_pieces(kept)).select("id", "type", "lang", "pieces", "mask"), "pieces")
     if pieces.isEmpty():
         raise joins.GuardError("no renderable records")
-    vocab = stage(packing.build_vocab(pieces, vocab_size), "vocab")
-    coded = stage(packing.encode(pieces, vocab, size=vocab_size), "encoded")
-    manifest = write_shards(coded, root, cap)
-    stats = corpus_stats(manifest).withColumns({"vocab_size": F.lit(vocab_size), "eos_id": F.lit(t.EOS_ID)})
-    checks = quality_gate(stats, vocab_size)
+    # pieces count as often as their copies will stand in the corpus, but are cut and encoded once
+    times = F.array_repeat("pieces", sampling.copies_of(F.col("type"), dup))
+    vocab = stage(packing.build_vocab(pieces.select(F.flatten(times).alias("pieces")), vocab_size), "vocab")
+    coded = stage(packing.encode(pieces, vocab, "id").join(pieces.select("id", "type"), "id"), "encoded")
+    examples = sampling.upsample(coded, dup).select(F.concat_ws("#", "id", "copy").alias("example_id"), "ids", "mask")
+    manifest = write_shards(examples, root, cap)
+    # measured, not declared: the ids that were given out, and the id that every example ends in
+    found = vocab.agg((F.max("id") + 1).alias("vocab_size"), (F.count(F.lit(1)) + packing.FIRST_ID - len(packing.MARKERS)).alias("want")).first()
+    ends = coded.agg(F.min(F.element_at("ids", -1)).alias("lo"), F.max(F.element_at("ids", -1)).alias("hi")).first()
+    stats = corpus_stats(manifest).withColumns({
+        "vocab_size": F.lit(found.vocab_size), "eos_id": F.lit(ends.lo if ends.lo == ends.hi else None).cast("int")})
+    checks = quality_gate(stats, found.want)
+    counts = able.groupBy("type", "lang").agg(F.count(F.lit(1)).alias("rows"))
+    over = F.greatest(F.col("rows") - F.lit(max_per_type), F.lit(0)) if max_per_type is not None else F.lit(0)
+    capped = counts.select("type", "lang", "rows", over.cast("bigint").alias("dropped"))
     if gate:
         enforce(checks)
     return {"join": joins.join_report(attached), "groups": joins.group_counts(attached),
             "rejects": validation.reject_report(checked), "rendered": rendering.render_report(shown),
-            "manifest": manifest, "stats": stats, "gate": checks}
+            "capped": capped, "manifest": manifest, "stats": stats, "gate": checks}
 
 
 # suite -> check column -> column of the comparison table

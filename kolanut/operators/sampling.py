@@ -76,11 +76,17 @@ def stratified_sample(df: DataFrame, limit: int, key: str = "id", shots: str = "
     return picked.filter(F.col("is_seq") | (F.col("rank") <= limit - want_seq)).drop("_draw", "rank")
 
 
+def copies_of(kind: Column, factors: Mapping[str, int] = t.DUP, default: int = 1) -> Column:
+    """How often a row of a type stands in the corpus."""
+    factor = F.lit(default)
+    for name, n in factors.items():
+        factor = F.when(kind == name, n).otherwise(factor)
+    return factor
+
+
 def upsample(df: DataFrame, factors: Mapping[str, int] = t.DUP, key: str = "type", default: int = 1) -> DataFrame:
     """T4: each row as often as its type's factor; ``copy`` numbers the copies."""
-    factor = F.lit(default)
-    for kind, n in factors.items():
-        factor = F.when(F.col(key) == kind, n).otherwise(factor)
+    factor = copies_of(F.col(key), factors, default)
     return df.withColumn("copy", F.explode(F.slice(
         F.array(*[F.lit(i) for i in range(1, max([default, *factors.values()]) + 1)]), F.lit(1), factor)))
 

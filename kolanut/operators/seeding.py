@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kolanut import tables as t
 from kolanut.functions import menus
-from kolanut.functions.draws import choice, draw, round_robin, unit, weighted_of
+from kolanut.functions.draws import choice, draw, round_robin, scaled, unit, weighted_of, wide_draw
 from kolanut.operators.frames import keep_rows, running_total, union_all
 
 INLINE_TERMS = 1000
@@ -25,46 +25,39 @@ def with_ids(df: DataFrame, prefix: str) -> DataFrame:
 
 
 # --- weighted draws -------------------------------------------------------------------------------
-def cumulative(weights: DataFrame, term: str = "term", n: str = "n") -> DataFrame:
-    """Terms with their half-open interval [lo, hi) of the summed weights; the commonest first."""
+def _positive(weights: DataFrame, term: str = "term", n: str = "n") -> DataFrame:
     terms = weights.select(F.col(term).alias("term"), F.col(n).cast("bigint").alias("n")).filter("n > 0")
-    return terms.withColumn("hi", F.sum("n").over(Window.orderBy(F.desc("n"), "term"))).select("term", (F.col("hi") - F.col("n")).alias("lo"), "hi")
+    return terms.withColumn("_d", draw(0, F.col("term"), "weights"))
 
 
 def inline(weights: DataFrame, term: str = "term", n: str = "n") -> Column:
-    """The interval table as one ARRAY value, for the dictionary-sized tables of a grammar.
+    """The interval table [lo, hi) as one ARRAY value, for the dictionary-sized tables of a grammar.
 
-    At most INLINE_TERMS + 1 terms are ever gathered; a larger table is an error, not a cut.
+    The terms lie in the same order as in ``weighted_choice``, so both give a draw the same term. The dictionary bounds a
+    grammar: at most INLINE_TERMS + 1 positive terms are ever gathered, and a larger table is an error, not a cut.
     """
-    rows = cumulative(weights.limit(INLINE_TERMS + 1), term, n)
+    rows = _positive(weights, term, n).limit(INLINE_TERMS + 1)
+    rows = rows.withColumn("hi", F.sum("n").over(Window.orderBy("_d", "term"))).select("term", (F.col("hi") - F.col("n")).alias("lo"), "hi")
     too_many = F.raise_error(F.lit(f"more than {INLINE_TERMS} terms: use weighted_choice"))
     terms = F.sort_array(F.collect_list(F.struct("lo", "hi", "term")))
     return rows.agg(F.when(F.count(F.lit(1)) > INLINE_TERMS, too_many).otherwise(terms).alias("w")).scalar()
 
 
-def weighted_choice(df: DataFrame, weights: DataFrame, out: str, d: Column,
-                    empty: str | None = t.EMPTY_GRAMMAR_TERM, wide: bool | None = None) -> DataFrame:
-    """A term in proportion to its weight; ``empty`` where the table holds none.
+def weighted_choice(df: DataFrame, weights: DataFrame, out: str, d: Column, empty: str | None = t.EMPTY_GRAMMAR_TERM) -> DataFrame:
+    """A term in proportion to its weight, for a wide draw ``d``; ``empty`` where the table holds no positive weight.
 
-    Up to INLINE_TERMS terms travel as one array value. A larger (``wide``) table meets the rows
-    through an equi-join on slices of the weight range, so a heavy term is spread over many keys.
-    Left open, ``wide`` is found by counting up to the bound.
+    Rows and terms meet through an equi-join on slices of the weight range. There are about as many slices as terms, so a
+    row is compared with two terms on average, and a heavy term is spread over many slices.
     """
-    if wide is None:
-        wide = weights.limit(INLINE_TERMS + 1).count() > INLINE_TERMS
-    if not wide:
-        held = df.withColumn("_w", inline(weights))
-        return held.withColumn(out, F.coalesce(weighted_of(d, F.col("_w")), F.lit(empty))).drop("_w")
-    keyed = weights.select("term", F.col("n").cast("bigint").alias("n")).filter("n > 0").withColumn(
-        "_d", draw(0, F.col("term"), "weights"))
+    keyed = _positive(weights)
     rows = running_total(keyed, [], ["_d", "term"], F.col("n"), F.floor(F.col("_d") / F.lit(1 << 16)), "lo")
     rows = rows.select("term", "lo", (F.col("lo") + F.col("n")).alias("hi"))
-    total = weights.agg(F.sum("n").cast("bigint").alias("s")).scalar()
-    step = F.greatest(F.floor(total / (1 << 16)), F.lit(1))
+    total = keyed.agg(F.sum("n").cast("bigint").alias("s")).scalar()
+    step = keyed.agg(F.greatest(F.ceil(F.sum("n") / F.count(F.lit(1))), F.lit(1)).cast("bigint").alias("s")).scalar()
     sliced = rows.select("*", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))).alias("_slice"))
-    drawn = df.withColumn("_u", F.pmod(d, total)).withColumn("_slice", F.floor(F.col("_u") / step))
+    drawn = df.withColumn("_u", scaled(d, total)).withColumn("_slice", F.floor(F.col("_u") / step))
     hit = (drawn["_slice"] == sliced["_slice"]) & (F.col("lo") <= F.col("_u")) & (F.col("_u") < F.col("hi"))
-    return drawn.join(sliced, hit).select(*[c for c in df.columns if c != out], F.col("term").alias(out))
+    return drawn.join(sliced, hit, "left").select(*[c for c in df.columns if c != out], F.coalesce("term", F.lit(empty)).alias(out))
 
 
 def pair_choice(df: DataFrame, pairs: Column, left: Column, right: Column, seed: int, key: str = "id",
@@ -75,9 +68,9 @@ def pair_choice(df: DataFrame, pairs: Column, left: Column, right: Column, seed:
     """
     k = F.col(key)
     held = df.withColumns({"_p": pairs, "_l": left, "_r": right})
-    held = held.withColumn("_both", F.split(weighted_of(draw(seed, k, "pair"), F.col("_p")), r"\|"))
+    held = held.withColumn("_both", F.split(weighted_of(wide_draw(seed, k, "pair"), F.col("_p")), r"\|"))
     paired = F.col("_both").isNotNull() & (unit(draw(seed, k, "paired")) < p)
-    alone = lambda terms, why: F.coalesce(weighted_of(draw(seed, k, why), F.col(terms)), F.lit(t.EMPTY_GRAMMAR_TERM))
+    alone = lambda terms, why: F.coalesce(weighted_of(wide_draw(seed, k, why), F.col(terms)), F.lit(t.EMPTY_GRAMMAR_TERM))
     return held.withColumns({
         names[0]: F.when(paired, F.get(F.col("_both"), F.lit(0))).otherwise(alone("_l", "left")),
         names[1]: F.when(paired, F.get(F.col("_both"), F.lit(1))).otherwise(alone("_r", "right")),
@@ -188,7 +181,7 @@ def video_rows(df: DataFrame, grammar: DataFrame, seed: int, wave: int = 1) -> D
     """G10/G11 over rows that carry ``i`` and ``id``. Wave 2 asks for up to four shots."""
     key, g = F.col("id"), {x: F.col(f"_g_{x}") for x in (*t.DICTIONARY, "pair")}
     langs = t.NG * 3 + t.VIDEO_TAIL if wave == 1 else t.VIDEO_FOCUS * 4 + t.NG
-    alone = lambda group: F.coalesce(weighted_of(draw(seed, key, group), g[group]), F.lit(t.EMPTY_GRAMMAR_TERM))
+    alone = lambda group: F.coalesce(weighted_of(wide_draw(seed, key, group), g[group]), F.lit(t.EMPTY_GRAMMAR_TERM))
     jobs = pair_choice(with_grammar(df, grammar), g["pair"], g["shot"], g["move"], seed).withColumns({
         "type": F.lit("seedance"), "phase": F.lit(9 if wave == 1 else 10), "target": F.lit(t.VIDEO_TOOL),
         "lang": choice(draw(seed, key, "lang"), langs), "menu": menus.video_menu(seed, key),

@@ -1,5 +1,6 @@
 """Examples sampled, mixed, encoded and packed."""
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from kolanut import tables as t
@@ -12,10 +13,9 @@ from kolanut.operators.scoring import quality_gate
 from kolanut.plans.base import blocks_sql, records, records_sql, table, texts
 from kolanut.plans.rendering import _FLAT, _flat_sql
 from kolanut.plans.seeding import SEED, d
-from kolanut.session import cut
 
 KINDS = ("toolcall_api", "toolpatch", "toolrefuse", "tooldisambig")
-VOCAB = 3000
+VOCAB = 900
 CAP = 100_000
 
 
@@ -28,7 +28,7 @@ def holdout_split(spark, sf):
 def shuffle_positions(spark, sf):
     """The place of every order in the global shuffle, by a two-level running count."""
     o = table(spark, sf, "orders").select("o_orderkey").withColumn("dr", draw(18, F.col("o_orderkey"), "shuffle"))
-    placed = running_total(o, [], ["dr", "o_orderkey"], F.lit(1), F.floor(F.col("dr") / (1 << 20)), "position")
+    placed = running_total(o, [], ["dr", "o_orderkey"], F.lit(1), F.floor(F.col("dr") / F.lit(sampling.DRAW_CHUNK)), "position")
     return placed.select("o_orderkey", "position")
 
 
@@ -76,8 +76,8 @@ def build_vocab(spark, sf):
 
 def encode_mask(spark, sf):
     """Ids and loss mask per rendered example."""
-    ex = cut(_examples(spark, sf))  # both the vocabulary and the ids read it
-    coded = packing.with_counts(packing.encode(ex, packing.build_vocab(ex, VOCAB), size=VOCAB))
+    ex = _examples(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # both the vocabulary and the ids read it
+    coded = packing.with_counts(packing.encode(ex, packing.build_vocab(ex, VOCAB)))
     joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " "))
     return coded.select("example_id", "n_tokens", "n_trained", joined("ids").alias("ids"), joined("mask").alias("mask"))
 
@@ -119,7 +119,7 @@ QUERIES = {
     "corpus_stats": corpus_statistics, "quality_gate": quality_gate_row,
 }
 
-_RX = "<reserved_[0-9]>|\\p{L}+|\\p{N}+|[^\\p{L}\\p{N}]"
+_RX = "<reserved_[0-9]>|\\p{L}+|\\p{N}{1,3}|[^\\p{L}\\p{N}]"
 _CASE = "CASE type " + " ".join(f"WHEN '{k}' THEN {_FLAT[k]}" for k in ("toolcall_api", "toolact", "seedance", "toolpatch", "toolrefuse", "tooldisambig")) + " END"
 
 
@@ -132,8 +132,10 @@ toks AS (SELECT id, si, left(part, 1) AS m, regexp_extract_all(substr(part, 2),
 tok AS (SELECT id, si, m, generate_subscripts(ps, 1) AS pi, unnest(ps) AS piece FROM toks)"""
 
 
+_MARKED = ", ".join(f"('{m}', {packing.MARKER_ID + i})" for i, m in enumerate(packing.MARKERS))
 _VOCAB = (f"SELECT piece, row_number() OVER (ORDER BY n DESC, piece) + {packing.FIRST_ID - 1} AS id FROM "
-          f"(SELECT piece, count(*) AS n FROM tok GROUP BY 1 ORDER BY n DESC, piece LIMIT {VOCAB - packing.FIRST_ID})")
+          f"(SELECT piece, count(*) AS n FROM tok WHERE piece NOT IN (SELECT piece FROM (VALUES {_MARKED}) AS m(piece, id)) "
+          f"GROUP BY 1 ORDER BY n DESC, piece LIMIT {VOCAB - packing.FIRST_ID}) UNION ALL SELECT * FROM (VALUES {_MARKED}) AS m(piece, id)")
 _PLACED = f"""SELECT doc_id, n_chars, length(source) AS n_trained, CAST((sum(n_chars) OVER (ORDER BY {d('doc_id', "'shuffle'", 18)}, doc_id) - n_chars) // {CAP} AS BIGINT) AS shard_id FROM documents"""
 _MIXED = lambda name: (f"CAST('0x' || substr(md5('18:{name}:' || CAST(id AS VARCHAR) || ':mix'), 1, 8) AS BIGINT) < "
                        f"least(1.0, CAST(b AS DOUBLE) * {t.MIX_WEIGHTS[name]} / 100 / have) * 4294967296")
@@ -166,9 +168,13 @@ ORACLE = {
         UNION ALL SELECT 'replay', id, n_chars FROM (SELECT *, hc AS have FROM c, bb) WHERE {_MIXED('replay')}""",
     "build_vocab": f"WITH tok AS (SELECT unnest(regexp_extract_all(text, '{_RX}')) AS piece FROM documents) {_VOCAB}",
     "encode_mask": f"""WITH {_segments(KINDS)}, vocab AS ({_VOCAB}),
-        c AS (SELECT t.id, si, pi, m, coalesce(v.id, {packing.UNKNOWN_ID}) AS pid FROM tok t LEFT JOIN vocab v USING (piece))
+        h AS (SELECT t.id, si, pi, m, v.id AS vid, hex(encode(piece)) AS hx FROM tok t LEFT JOIN vocab v USING (piece)),
+        b AS (SELECT id, si, pi, m, CASE WHEN vid IS NOT NULL THEN [vid] ELSE
+          [CAST('0x' || hx[2 * i - 1:2 * i] AS BIGINT) + {packing.BYTE_ID} for i in range(1, len(hx) // 2 + 1)] END AS part FROM h),
+        c AS (SELECT id, si, pi, m, unnest(part) AS pid, generate_subscripts(part, 1) AS bi FROM b)
         SELECT id AS example_id, CAST(count(*) + 1 AS INTEGER) AS n_tokens, CAST(count(*) FILTER (m = '1') + 1 AS INTEGER) AS n_trained,
-        md5(string_agg(CAST(pid AS VARCHAR), ' ' ORDER BY si, pi) || ' {t.EOS_ID}') AS ids, md5(string_agg(m, ' ' ORDER BY si, pi) || ' 1') AS mask FROM c GROUP BY id""",
+        md5(string_agg(CAST(pid AS VARCHAR), ' ' ORDER BY si, pi, bi) || ' {t.EOS_ID}') AS ids,
+        md5(string_agg(m, ' ' ORDER BY si, pi, bi) || ' 1') AS mask FROM c GROUP BY id""",
     "pack_shards": f"SELECT doc_id, shard_id FROM ({_PLACED})",
     "shard_manifest": f"""SELECT shard_id, count(*) AS examples, CAST(sum(n_chars) AS BIGINT) AS n_tokens,
         CAST(sum(n_trained) AS BIGINT) AS n_trained FROM ({_PLACED}) GROUP BY 1""",

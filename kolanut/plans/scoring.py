@@ -17,7 +17,6 @@ from kolanut.operators.scoring import (
 from kolanut.plans.base import (
     BRIEF, CURRENT, LANG, MENU_SPARK, PAIRS_SQL, PATCH, SHOTS, VIDEO_CALL, VIDEO_MENU_SPARK, _spark, pairs, table, texts,
 )
-from kolanut.session import cut
 
 MODEL = "CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'nano' ELSE 'mini' END"
 # what a model might write: a clean call, a wrong tool, an undeclared argument, a marker alone, a question, prose
@@ -107,15 +106,13 @@ def language_id(spark, sf):
 def language_adherence(spark, sf):
     """Does the assistant turn keep the language of the user turn, per event type."""
     p = pairs(spark, sf).select(F.col("event_type").alias("model"), detect_lang(F.col("utext"), t.PROBE_WORDS).alias("lang"),
-                                F.col("atext").alias("text"))
+                                F.col("atext").alias("text"), F.when(F.col("event_id") % 5 == 0, "no call").otherwise(F.col("props")).alias("call"))
     return summary(score_language(p), ("stayed",))
 
 
 def language_switches(spark, sf):
     c = texts(spark, sf, "conversations", "conv_id", "turn")
-    # the window reads the languages twice, so they are written once where the cluster has a folder
-    langs = cut(c.select("conv_id", "turn", detect_lang(F.col("text")).alias("lang")))
-    return lang_switches(langs, "conv_id", "turn", "lang")
+    return lang_switches(c.select("conv_id", "turn", detect_lang(F.col("text")).alias("lang")), "conv_id", "turn", "lang")
 
 
 def language_coverage(spark, sf):
@@ -263,8 +260,8 @@ ORACLE = {
         coalesce({_lang('said', t.PROBE_WORDS)} = sw, false) AS followed FROM s""",
     "language_id": f"SELECT doc_id, {_lang('text', t.VIDEO_WORDS)} AS guess, {_lang('text', t.PROBE_WORDS)} AS probe_guess FROM documents",
     "language_adherence": f"""WITH {PAIRS_SQL}, l AS (SELECT event_type AS model, {_lang('utext', t.PROBE_WORDS)} AS a,
-        {_lang('atext', t.PROBE_WORDS)} AS b FROM pairs)
-        SELECT model, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (a = b) / count(*) AS stayed FROM l GROUP BY model""",
+        {_lang('atext', t.PROBE_WORDS)} AS b, event_id % 5 <> 0 AS called FROM pairs)
+        SELECT model, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (a = b AND called) / count(*) AS stayed FROM l GROUP BY model""",
     "language_switches": f"""WITH l AS (SELECT conv_id, turn, {_lang('text', t.VIDEO_WORDS)} AS lang FROM conversations),
         m AS (SELECT *, lag(lang) OVER w AS prev, row_number() OVER w AS i FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, count(*) AS turns, count(*) FILTER (i > 1 AND lang IS DISTINCT FROM prev) AS switches FROM m GROUP BY conv_id""",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kolanut import tables as t
 from kolanut.functions import menus
-from kolanut.functions.draws import choice, draw, round_robin
+from kolanut.functions.draws import choice, draw, round_robin, wide_draw
 from kolanut.operators import seeding
 from kolanut.operators.aggregates import distinct_menus, histogram, seed_profile
 from kolanut.operators.frames import union_all
@@ -22,7 +22,7 @@ def weighted_draw(spark, sf):
     """A part type for every customer, in proportion to how many parts have it."""
     w = table(spark, sf, "part").groupBy(F.col("p_type").alias("term")).agg(F.count(F.lit(1)).alias("n"))
     rows = table(spark, sf, "customer").select("c_custkey")
-    return seeding.weighted_choice(rows, w, "term", draw(SEED, F.col("c_custkey"), "weighted"))
+    return seeding.weighted_choice(rows, w, "term", wide_draw(SEED, F.col("c_custkey"), "weighted"))
 
 
 def weighted_draw_wide(spark, sf):
@@ -30,7 +30,7 @@ def weighted_draw_wide(spark, sf):
     w = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("term"),
                                             (F.col("c_nationkey") + 1).cast("bigint").alias("n"))
     rows = table(spark, sf, "orders").select("o_orderkey")
-    return seeding.weighted_choice(rows, w, "term", draw(SEED, F.col("o_orderkey"), "wide"), wide=True)
+    return seeding.weighted_choice(rows, w, "term", wide_draw(SEED, F.col("o_orderkey"), "wide"))
 
 
 def pair_draw(spark, sf):
@@ -144,13 +144,16 @@ def _choice(key: str, why: str, values, seed: int = SEED) -> str:
     return f"{_list(values)}[CAST({d(key, repr(why), seed)} % {len(values)} + 1 AS BIGINT)]"
 
 
-def _cum(src: str, out: str, where: str = "true") -> str:
-    return (f"{out} AS (SELECT term, sum(n) OVER (ORDER BY n DESC, term) - n AS lo, sum(n) OVER (ORDER BY n DESC, term) AS hi, "
-            f"sum(n) OVER () AS total FROM {src} WHERE {where})")
+def _scaled(key: str, why: str, total: str, seed: int = SEED) -> str:
+    """The wide draw, scaled to a total."""
+    wide = f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR) || ':' || {why}), 1, 15) AS BIGINT)"
+    return f"CAST(CAST({wide} AS HUGEINT) * CAST({total} AS HUGEINT) // 1152921504606846976 AS BIGINT)"
 
 
-def _pick(draw_sql: str, cum: str) -> str:
-    return (f"(SELECT term FROM {cum} WHERE {draw_sql} % CAST(total AS BIGINT) >= lo AND {draw_sql} % CAST(total AS BIGINT) < hi)")
+def _cum(src: str, out: str, where: str = "true") -> str:
+    order = f"ORDER BY {d('term', repr('weights'), 0)}, term"
+    return (f"{out} AS (SELECT term, sum(n) OVER ({order}) - n AS lo, sum(n) OVER ({order}) AS hi, "
+            f"sum(n) OVER () AS total FROM {src} WHERE {where})")
 
 
 _CONCEPT_ROWS = ", ".join(
@@ -228,8 +231,8 @@ w_pair AS (SELECT shot || '|' || move AS term, count(*) AS n FROM cells GROUP BY
 
 def _between(why: str, cum: str, out: str) -> str:
     """A join that draws one term per row of ``x``."""
-    return (f"JOIN {cum} {out} ON {d('x.id', repr(why))} % CAST({out}.total AS BIGINT) >= {out}.lo "
-            f"AND {d('x.id', repr(why))} % CAST({out}.total AS BIGINT) < {out}.hi")
+    u = _scaled("x.id", repr(why), f"{out}.total")
+    return f"JOIN {cum} {out} ON {u} >= {out}.lo AND {u} < {out}.hi"
 
 
 def _video_spine(prefix: str) -> str:
@@ -248,13 +251,11 @@ _WAVE5 = {"toolcall_api": "t5-api", "toolpatch": "t5-patch", "toolrefuse": "t5-r
 _W5 = 20260921
 ORACLE = {
     "weighted_draw": f"""WITH w AS (SELECT p_type AS term, count(*) AS n FROM part GROUP BY 1), {_cum('w', 'cum')},
-        x AS (SELECT c_custkey, {d('c_custkey', "'weighted'")} AS u FROM customer)
-        SELECT c_custkey, term FROM x JOIN cum ON u % CAST(total AS BIGINT) >= lo AND u % CAST(total AS BIGINT) < hi""",
-    "weighted_draw_wide": f"""WITH w AS (SELECT CAST(c_custkey AS VARCHAR) AS term, c_nationkey + 1 AS n FROM customer),
-        o AS (SELECT *, {d('term', "'weights'", 0)} AS dr FROM w),
-        cum AS (SELECT term, sum(n) OVER (ORDER BY {{}}) - n AS lo, sum(n) OVER (ORDER BY {{}}) AS hi, sum(n) OVER () AS total FROM o),
-        x AS (SELECT o_orderkey, {d('o_orderkey', "'wide'")} AS u FROM orders)
-        SELECT o_orderkey, term FROM (SELECT x.*, u % CAST((SELECT max(total) FROM cum) AS BIGINT) AS v FROM x) ASOF JOIN cum ON v >= lo""",
+        x AS (SELECT c_custkey, {_scaled('c_custkey', "'weighted'", '(SELECT sum(n) FROM w)')} AS u FROM customer)
+        SELECT c_custkey, term FROM x JOIN cum ON u >= lo AND u < hi""",
+    "weighted_draw_wide": f"""WITH w AS (SELECT CAST(c_custkey AS VARCHAR) AS term, c_nationkey + 1 AS n FROM customer), {_cum('w', 'cum')},
+        x AS (SELECT o_orderkey, {_scaled('o_orderkey', "'wide'", '(SELECT sum(n) FROM w)')} AS u FROM orders)
+        SELECT o_orderkey, term FROM x ASOF JOIN cum ON u >= lo""",
     "pair_draw": f"""WITH w1 AS (SELECT l_returnflag || '|' || l_linestatus AS term, count(*) AS n FROM lineitem GROUP BY 1),
         w2 AS (SELECT l_returnflag AS term, count(*) AS n FROM lineitem GROUP BY 1),
         w3 AS (SELECT l_linestatus AS term, count(*) AS n FROM lineitem GROUP BY 1),
@@ -296,5 +297,3 @@ ORACLE = {
         SELECT id, type, CASE WHEN type = 'toolsession' THEN {_choice('id', 'lang_a', t.NG, _W5)}
           ELSE {_choice('id', 'lang', t.NG * 2 + t.LANGS, _W5)} END AS lang FROM ids""",
 }
-_W = "dr, term"
-ORACLE["weighted_draw_wide"] = ORACLE["weighted_draw_wide"].replace("{}", _W)

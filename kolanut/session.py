@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -22,19 +20,3 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
-
-
-def cut(df: DataFrame, local_fallback: str | None = None) -> DataFrame:
-    """Materialise a frame that several outputs share.
-
-    Uses the reliable checkpoint folder the cluster names in ``spark.checkpoint.dir``, so lost
-    executors cost nothing. Where no folder is named, ``local_fallback`` (tests) is used; with
-    neither the frame stays lazy.
-    """
-    spark = df.sparkSession
-    named = spark.conf.get(CHECKPOINT_DIR, None) or local_fallback
-    if not named:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return df.checkpoint(eager=True)

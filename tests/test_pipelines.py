@@ -36,7 +36,7 @@ def files(tmp_path):
 def test_build_corpus(spark, files):
     records, seeds = readers.read_records(spark, [f"{files}/out.jsonl"]), readers.read_seeds(spark, [f"{files}/seeds.json"])
     holdout = spark.createDataFrame([("t7-hold-1",)], "id STRING")
-    got = build_corpus(records, seeds, f"{files}/run", holdout, vocab_size=200, cap=50, gate=False)
+    got = build_corpus(records, seeds, f"{files}/run", holdout, vocab_size=300, cap=50, gate=False)
     assert got["join"].first().asDict() == {"written": 6, "no_seed": 1, "duplicates": 1, "unparseable": 1}
     assert {(r["type"], r["reason"]): r["n"] for r in got["rejects"].collect()} == {
         ("toolcall_api", None): 1, ("toolact", "asked_instead_of_acting"): 1, ("toolpatch", None): 1,
@@ -44,12 +44,15 @@ def test_build_corpus(spark, files):
     # valid but without a user turn: reported as unrenderable, not lost
     assert {r["type"]: (r["kept"], r["unrenderable"]) for r in got["rendered"].collect()}["tooldisambig"] == (0, 1)
     coded = spark.read.parquet(f"{files}/run/encoded")
-    assert coded.count() == sum(t.DUP[OUTPUTS[i][0]] for i in ("a1", "p1", "r1", "s1"))
+    assert sorted(r["id"] for r in coded.collect()) == ["a1", "p1", "r1", "s1"]  # encoded once, copied after
+    copies = {i: t.DUP[OUTPUTS[i][0]] for i in ("a1", "p1", "r1", "s1")}
     assert coded.filter(F.element_at("ids", -1) != t.EOS_ID).isEmpty() and coded.filter(F.size("ids") != F.size("mask")).isEmpty()
-    assert sum(r["n_tokens"] for r in got["manifest"].collect()) == coded.agg(F.sum(F.size("ids"))).first()[0]
-    assert got["stats"].first()["examples"] == coded.count()
+    assert sum(r["n_tokens"] for r in got["manifest"].collect()) == sum(len(r["ids"]) * copies[r["id"]] for r in coded.collect())
+    assert got["stats"].first()["examples"] == sum(copies.values())
+    gate = got["gate"].first()
+    assert gate["vocab_ok"] and gate["eos_ok"] and got["capped"].agg(F.sum("dropped")).first()[0] == 0
     with pytest.raises(GuardError, match="no renderable"):
-        build_corpus(records, seeds, f"{files}/run2", vocab_size=200, cap=50, gate=False, max_per_type=0)
+        build_corpus(records, seeds, f"{files}/run2", vocab_size=300, cap=50, gate=False, max_per_type=0)
     with pytest.raises(GuardError):
         build_corpus(records, seeds, f"{files}/run3", spark.createDataFrame([("p1",)], "id STRING"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kolanut import tables as t
-from kolanut.functions.draws import choice, draw
+from kolanut.functions.draws import choice, draw, scaled, weighted_of, wide_draw
 from kolanut.operators import packing, sampling, seeding
 from kolanut.operators.frames import first_k, keep_rows, lang_switches, position_chunk, previous_value, running_total
 from kolanut.operators.joins import GuardError
@@ -127,14 +127,29 @@ def test_encode(spark):
     ex = _examples(spark)
     vocab = packing.build_vocab(ex, packing.FIRST_ID + 3)
     ids = {r["piece"]: r["id"] for r in vocab.collect()}
-    assert ids == {"abc": packing.FIRST_ID, " ": packing.FIRST_ID + 1, '"': packing.FIRST_ID + 2}
+    marks = {m: packing.MARKER_ID + i for i, m in enumerate(packing.MARKERS)}
+    assert ids == {"abc": packing.FIRST_ID, " ": packing.FIRST_ID + 1, '"': packing.FIRST_ID + 2, **marks}
+    with pytest.raises(ValueError):
+        packing.build_vocab(ex, packing.FIRST_ID)
     got = {r["example_id"]: r for r in packing.with_counts(packing.encode(ex, vocab)).collect()}
     assert got[2]["ids"] == [ids["abc"], ids[" "], ids["abc"], t.EOS_ID] and list(got[2]["mask"]) == [1, 1, 1, 1]
-    assert got[1]["ids"] == [packing.UNKNOWN_ID, t.EOS_ID] and (got[1]["n_tokens"], got[1]["n_trained"]) == (2, 1)
-    assert got[0]["ids"][2] == ids["abc"] and got[0]["n_tokens"] == 12 and got[0]["n_trained"] == 7
+    z = packing.BYTE_ID + ord("z")
+    assert got[1]["ids"] == [z, z, t.EOS_ID] and (got[1]["n_tokens"], got[1]["n_trained"]) == (3, 1)
+    # the digits and the accented letter take a token a byte
+    assert got[0]["ids"][2] == ids["abc"] and got[0]["n_tokens"] == 14 and got[0]["n_trained"] == 8
     assert all(len(r["ids"]) == len(r["mask"]) for r in got.values())
 
 
+def test_encoding_loses_nothing(spark):
+    """Any text comes back from its ids, also with a vocabulary that holds next to nothing."""
+    texts = ["<reserved_0>pay 1234567890 to ẹkọ 中文 <reserved_3>{\"a\": 5000}", "", "\u0000\n\t 😀"]
+    df = spark.createDataFrame([(i, [(x, True)]) for i, x in enumerate(texts)], "example_id INT, segments ARRAY<STRUCT<text: STRING, train: BOOLEAN>>")
+    ex = packing.with_pieces(df)
+    vocab = packing.build_vocab(ex, packing.FIRST_ID + 2)
+    back = packing.decode(packing.encode(ex, vocab), vocab)
+    assert {r["example_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
+
+
 def test_encode_with_a_tokenizer(spark):
     """Character pairs merge across the edge, so the second segment's prefix is unstable."""
     def tokenizer(texts):
@@ -225,5 +240,30 @@ def test_balance_tops_up(spark):
 def test_weighted_choice_wide_equals_its_weights(spark):
     weights = spark.range(3000).select(F.col("id").cast("string").alias("term"), F.when(F.col("id") == 7, 3000).otherwise(1).cast("bigint").alias("n"))
     rows = spark.range(4000).select("id")
-    got = seeding.weighted_choice(rows, weights, "term", draw(1, F.col("id"), "w"))
+    got = seeding.weighted_choice(rows, weights, "term", wide_draw(1, F.col("id"), "w"))
     assert got.count() == 4000 and abs(got.filter("term = '7'").count() / 4000 - 0.5) < 0.03
+
+
+def test_inline_and_joined_draws_agree(spark):
+    """Zero weights and order of rows change nothing, and totals past 2^32 draw evenly."""
+    big = 5_000_000_000
+    rows = [(f"t{i}", big if i < 2 else 0) for i in range(1500)]
+    weights = spark.createDataFrame(rows, "term STRING, n BIGINT").repartition(3)
+    ids = spark.range(2000).select("id", wide_draw(3, F.col("id"), "w").alias("d"))
+    joined = {r["id"]: r["term"] for r in seeding.weighted_choice(ids, weights, "term", F.col("d")).collect()}
+    held = ids.withColumn("w", seeding.inline(weights)).select("id", weighted_of(F.col("d"), F.col("w")).alias("term"))
+    assert joined == {r["id"]: r["term"] for r in held.collect()}
+    assert abs(sum(x == "t0" for x in joined.values()) / 2000 - 0.5) < 0.04
+
+
+def test_no_positive_weight_gives_the_default(spark):
+    weights = spark.createDataFrame([("a", 0), ("b", -1)], "term STRING, n BIGINT")
+    got = seeding.weighted_choice(spark.range(5), weights, "term", wide_draw(3, F.col("id"), "w"), "none")
+    assert [r["term"] for r in got.collect()] == ["none"] * 5
+
+
+def test_scaled_is_exact(spark):
+    values = [0, 1, (1 << 60) - 1, 123456789012345678]
+    totals = [1, 7, (1 << 33) + 5, (1 << 62) - 1]
+    df = spark.createDataFrame([(v, n) for v in values for n in totals], "d BIGINT, n BIGINT").withColumn("u", scaled(F.col("d"), F.col("n")))
+    assert all(r["u"] == r["d"] * r["n"] >> 60 for r in df.collect())
