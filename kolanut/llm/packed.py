@@ -12,18 +12,42 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from kolanut.llm.words import SLICE_BYTES, slices
+from kolanut.llm.words import SLICE_BYTES, mixed, slices
 
 #: Keys gathered before a batch is packed.
 FLUSH_KEYS = 1 << 20
 #: SHARED: every owner of a key that at least two owners hold. LATER: those above the key's smallest owner.
 SHARED, LATER = "shared", "later"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary()),
-                     ("owner", pa.int64()), ("found", pa.binary())])
-_DDL = "bucket int, owners binary, lo binary, hi binary, owner bigint, found binary"
+#: Asked: a bucket's keys with an owner each. Known: pairs of owner and key that were found, for the owners of one group.
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("owners", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary())])
+_DDL = "bucket int, known boolean, owners binary, lo binary, hi binary"
+
+
+def _bytes(x: np.ndarray, width: int) -> bytes:
+    """64-bit numbers by their lowest bytes."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _numbers(parts: list[bytes], width: int) -> np.ndarray:
+    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :width] = data
+    return out.view(np.uint64).ravel()
+
+
+def _dealt(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The members of each group that has any."""
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(cut)):
+        yield int(g), order[cut[g]:cut[g + 1]]
+
+
+def _group_of(owner: np.ndarray, groups: int) -> np.ndarray:
+    return (mixed(owner.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
 def _grouped(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str):
@@ -46,16 +70,14 @@ def _grouped(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str):
     return order, at, least, most, held, found
 
 
-def _by_owner(owner: np.ndarray, lo: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _found_rows(owner: np.ndarray, lo: np.ndarray, groups: int) -> list[tuple]:
+    """What was found, packed by group of owners."""
     order = np.argsort(owner, kind="stable")
     owner, lo = owner[order], lo[order]
-    at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else []
-    ends = [*at[1:], len(owner)] if len(owner) else []
-    for s, e in zip(at, ends, strict=True):
-        yield int(owner[s]), np.unique(lo[s:e]).tobytes()
+    return [(g, True, owner[i].tobytes(), lo[i].tobytes(), None) for g, i in _dealt(_group_of(owner, groups), groups)]
 
 
-def _flushed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, rule: str) -> pa.RecordBatch | None:
+def _flushed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, rule: str, widths: tuple[int, int]) -> pa.RecordBatch | None:
     owner, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(lo):
         return None
@@ -67,73 +89,91 @@ def _flushed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: in
         two = most > least
         keys, least = np.concatenate((keys, keys[two])), np.concatenate((least, most[two]))
         high = np.concatenate((high, high[two])) if len(hi) else high
-    rows = [(None, None, None, None, o, k) for o, k in _by_owner(held[found], lo[order][found])]
+    rows = _found_rows(held[found], lo[order][found], buckets)
     bucket = ((keys >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
-    deal = np.lexsort((least, bucket))  # runs of one owner pack well
-    bucket, keys, least, high = bucket[deal], keys[deal], least[deal], high[deal] if len(hi) else high
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)):
-        s = slice(cut[b], cut[b + 1])
-        rows.append((int(b), least[s].tobytes(), keys[s].tobytes(), high[s].tobytes(), None, None))
-    columns = list(zip(*rows, strict=True))
-    spread = [r[0] if r[0] is not None else r[4] % buckets for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array(spread, pa.int32())] + [
-        pa.array(c, f.type) for c, f in zip(columns[1:], list(_SCHEMA)[1:], strict=True)], schema=_SCHEMA)
-
-
-def _answered(batches: Iterator[pa.RecordBatch], rule: str) -> Iterator[pa.RecordBatch]:
+    deal = np.argsort(least, kind="stable")  # runs of one owner pack well
+    for b, i in _dealt(bucket[deal], buckets):
+        i = deal[i]
+        rows.append((b, False, least[i].tobytes(), _bytes(keys[i], widths[0]), _bytes(high[i], widths[1]) if len(high) else b""))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def _answered(batches: Iterator[pa.RecordBatch], rule: str, buckets: int, widths: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """One bucket: passes on what was found, and finds what is held in several batches."""
-    out = pa.schema([("owner", pa.int64()), ("found", pa.binary())])
+    out = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("keys", pa.binary())])
     asked: list[tuple[bytes, bytes, bytes]] = []
     for batch in batches:
-        known = batch.filter(batch.column("owner").is_valid())
+        known = batch.filter(batch.column("known"))
         if len(known):
-            yield pa.RecordBatch.from_arrays([known.column("owner"), known.column("found")], schema=out)
-        batch = batch.filter(batch.column("owner").is_null())
+            yield pa.RecordBatch.from_arrays([known.column("bucket"), known.column("owners"), known.column("lo")], schema=out)
+        batch = batch.filter(pc.invert(batch.column("known")))
         asked += zip(*(batch.column(c).to_pylist() for c in ("owners", "lo", "hi")), strict=True)
     if not asked:
         return
     owner = np.frombuffer(b"".join(a[0] for a in asked), np.int64)
-    lo = np.frombuffer(b"".join(a[1] for a in asked), np.uint64)
-    hi = np.frombuffer(b"".join(a[2] for a in asked), np.uint64)
+    lo = _numbers([a[1] for a in asked], widths[0])
+    hi = _numbers([a[2] for a in asked], widths[1])
     del asked
     order, _, _, _, held, found = _grouped(owner, lo, hi, rule)
-    rows = list(_by_owner(held[found], lo[order][found]))
+    rows = _found_rows(held[found], lo[order][found], buckets)
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=out)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()),
+                                          pa.array([r[3] for r in rows], pa.binary())], schema=out)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row per owner of a group, with its distinct keys."""
+    owners, keys = [], []
+    for batch in batches:
+        owners += batch.column("owners").to_pylist()
+        keys += batch.column("keys").to_pylist()
+    owner, key = np.frombuffer(b"".join(owners), np.int64), np.frombuffer(b"".join(keys), np.uint64)
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    owner, key = owner[new], key[new]
+    at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    ends = [*at[1:].tolist(), len(owner)]
+    return pa.RecordBatch.from_arrays([pa.array(owner[at], pa.int64()), pa.array([key[s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary())],
+                                      ["owner", "found"])
 
 
 def find(rows: DataFrame, reader: Callable[[], Any], keys: Callable[[pa.RecordBatch, Any], Iterator[tuple[np.ndarray, ...]]],
-         rule: str, text: str = "text") -> DataFrame:
-    """``owner`` and ``found`` (a list of packed 64-bit keys) for rows with keys that the rule finds.
+         rule: str, text: str | None = "text", widths: tuple[int, int] = (8, 8)) -> DataFrame:
+    """``owner`` and ``found`` (its packed 64-bit keys, distinct) for rows with keys that the rule finds.
 
-    ``keys`` yields, per slice of a batch and with the task's own ``reader()``, the owner, low and high half of each
-    key (an empty high half: 64-bit keys).
-    The number of buckets is the session's number of shuffle partitions; a bucket is worked in one task.
+    ``keys`` yields, per slice of a batch (cut by its column ``text``, if named) and with the task's own ``reader()``, the
+    owner, low and high half of each key (an empty high half: 64-bit keys). ``widths`` are the bytes in use of either half; the others must be
+    zero. The number of buckets, and of the groups of owners that answers are gathered in, is the session's number of
+    shuffle partitions; a bucket is worked in one task.
     """
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, parts, held = reader(), [], 0
         for batch in batches:
-            for piece in slices(batch, text, SLICE_BYTES):
+            for piece in slices(batch, text, SLICE_BYTES) if text else [batch]:
                 for owner, lo, hi in keys(piece, own):
                     parts.append((owner, lo, hi))
                     held += len(lo)
                 if held >= FLUSH_KEYS:
-                    if (packed := _flushed(parts, buckets, rule)) is not None:
+                    if (packed := _flushed(parts, buckets, rule, widths)) is not None:
                         yield packed
                     parts, held = [], 0
-        if parts and (packed := _flushed(parts, buckets, rule)) is not None:
+        if parts and (packed := _flushed(parts, buckets, rule, widths)) is not None:
             yield packed
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _answered(batches, rule)
+        yield from _answered(batches, rule, buckets, widths)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _gathered(batches)
 
-    found = rows.mapInArrow(ask, _DDL).groupBy("bucket").applyInArrow(answer, "owner bigint, found binary")
-    return found.groupBy("owner").agg(F.collect_list("found").alias("found"))
+    found = rows.mapInArrow(ask, _DDL).groupBy("bucket").applyInArrow(answer, "part int, owners binary, keys binary")
+    return found.groupBy("part").applyInArrow(gather, "owner bigint, found binary")
 
 
 def unpacked(found: pa.Array) -> np.ndarray:
-    """All keys of a column of lists of packed keys."""
-    return np.frombuffer(b"".join(b"".join(x) for x in found.to_pylist() if x), np.uint64)
+    """All keys of a column of packed keys."""
+    return np.frombuffer(b"".join(x for x in found.to_pylist() if x), np.uint64)

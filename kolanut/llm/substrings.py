@@ -22,6 +22,8 @@ from kolanut.llm.words import WordHash, mixed, raw, row_of, separators, slices,
 RUN = 13
 PERIOD = 7
 COVER = (0, 1, 3)
+#: Anchors only lead to runs, so 48 bits do; runs are told apart by 64 + 32 bits.
+ANCHOR_BITS, RUN_BITS = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
 
 
 def cover_ok(period: int, cover: tuple[int, ...]) -> bool:
@@ -46,6 +48,7 @@ class _Texts:
     def anchors(self, hashes: np.ndarray, first: np.ndarray):
         """Hash, row and word place in the row of each anchor."""
         found, at = windows(hashes, first, self.anchor, salt=1)
+        found = found & ANCHOR_BITS
         row = row_of(at)
         place = np.arange(len(found)) - at[row]
         kept = self.in_cover[place % self.period]
@@ -53,7 +56,7 @@ class _Texts:
 
     def runs(self, hashes: np.ndarray, first: np.ndarray):
         lo, at = windows(hashes, first, self.run, salt=2)
-        return lo, windows(hashes, first, self.run, salt=3)[0], at
+        return lo, windows(hashes, first, self.run, salt=3)[0] & RUN_BITS, at
 
 
 def _owners(batch: pa.RecordBatch, key: str) -> np.ndarray:
@@ -66,7 +69,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
 
     A word goes if a run of ``run`` words over it also starts in a document of a smaller key; runs are judged on
     the input. Null and empty texts have no words. Rows without a key neither lose words nor take others' words;
-    rows repeated under one key do not count as earlier than each other. Runs are compared by 128-bit hashes.
+    rows repeated under one key do not count as earlier than each other. Runs are compared by 96-bit hashes.
     Text is shuffled once, by key; the two joins with what was found use that one exchange.
     """
     if not cover_ok(period, cover) or run < period:
@@ -98,11 +101,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
         near = before[begin + period] > before[begin]
         yield _owners(batch, "owner_id")[row[near]], lo[near], hi[near]
 
-    shared = packed.find(named, reader, anchor_keys, packed.SHARED)
+    shared = packed.find(named, reader, anchor_keys, packed.SHARED, widths=(6, 8))
     suspects = named.join(shared, named["owner_id"] == shared["owner"]).select("owner_id", "text", "found")
-    later = packed.find(suspects, reader, run_keys, packed.LATER)
+    later = packed.find(suspects, reader, run_keys, packed.LATER, widths=(8, 4))
     judged = named.join(later, named["owner_id"] == later["owner"], "left").select("owner_id", "text", "found")
-    judged = judged.unionByName(all_docs.filter(F.col("owner_id").isNull()).withColumn("found", F.lit(None).cast("array<binary>")))
+    judged = judged.unionByName(all_docs.filter(F.col("owner_id").isNull()).withColumn("found", F.lit(None).cast("binary")))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _Texts(run, period, cover)
@@ -123,7 +126,7 @@ def _kept(batch: pa.RecordBatch, texts: _Texts) -> pa.RecordBatch:
         lo, _, at = texts.runs(hashes, first)
         row = row_of(at)
         own = 0x9E3779B97F4A7C15
-        lists = [np.frombuffer(b"".join(x), np.uint64) if x else np.zeros(0, np.uint64) for x in found.to_pylist()]
+        lists = [np.frombuffer(x, np.uint64) if x else np.zeros(0, np.uint64) for x in found.to_pylist()]
         wanted = np.concatenate([mixed(x + np.uint64((i + 1) * own & (1 << 64) - 1)) for i, x in enumerate(lists)])
         hit = np.isin(mixed(lo + (row + 1).astype(np.uint64) * np.uint64(own)), wanted)
         begin = (first[row] + np.arange(len(lo)) - at[row])[hit]
