@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,14 +49,19 @@ def attach_menu(records: DataFrame, seeds: DataFrame) -> DataFrame:
         joined.withColumn("status", F.when(F.col("_seeded"), "ok").otherwise("no_seed"))
         .withColumn("input", F.when(
             F.col("input").isNotNull() | F.col("_seed_current").isNotNull(),
-            F.struct(F.col("input")["target"].alias("target"), current.alias("current"),
-                     F.col("input")["brief"].alias("brief"), F.col("input")["shots"].alias("shots"))))
+            _with_current(joined, current)))
         .withColumn("menu", F.col("_menu"))
         .withColumn("lang", F.coalesce("lang", F.lit("eng")))
         .drop("_menu", "_seed_current", "_seeded")
     )
 
 
+def _with_current(df: DataFrame, current: Column) -> Column:
+    """``input`` with all its fields, its pending call replaced."""
+    fields = [f.name for f in df.schema["input"].dataType.fields if f.name != "current"]
+    return F.struct(*[F.col("input")[f].alias(f) for f in fields], current.alias("current"))
+
+
 def joined(df: DataFrame) -> DataFrame:
     """The records that found their seed."""
     return df.filter(F.col("status") == "ok").drop("status", "copies", "unparseable")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kolanut import schemas
@@ -27,12 +27,45 @@ def read_seeds(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return union_all(waves)
 
 
+_TEXTS = "id STRING, type STRING, lang STRING, output STRING, input STRING, degenerate STRING, empty STRING, menu STRING"
+
+
+def _truth(text: Column) -> Column:
+    """A flag as any JSON value reads as true or false."""
+    return F.when(text.isNotNull(), ~F.lower(F.trim(text)).isin("false", "0", "0.0", "", "null", "[]", "{}"))
+
+
+def _whole(text: Column) -> Column:
+    """A whole number, however it was written."""
+    return text.try_cast("double").try_cast("int")
+
+
+def parse_records(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Records from JSON text, one per row; other columns stay.
+
+    Every value is taken as text first, so a number in quotes or a flag as 0 is read and loses nothing. Only text that is
+    not JSON keeps its line in ``_corrupt``. Fields that are not declared, and ``input`` as it was written, are in
+    ``_rest``.
+    """
+    line = F.col(value)
+    read = F.from_json(line, f"{_TEXTS}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    declared = [f.split(" ")[0] for f in _TEXTS.split(", ") if not f.startswith("input")]
+    rest = F.map_filter(F.from_json(line, "MAP<STRING, STRING>"), lambda k, v: ~k.isin(*declared))
+    rows = lines.withColumns({"_r": read, "_rest": rest})
+    given = F.from_json("_r.input", "target STRING, current STRING, brief STRING, shots STRING")
+    rows = rows.withColumn("_i", given)
+    return rows.select(
+        "_r.id", "_r.type", "_r.lang", "_r.output",
+        F.when(F.col("_i").isNotNull(), F.struct("_i.target", "_i.current", "_i.brief", _whole(F.col("_i.shots")).alias("shots"))).alias("input"),
+        _truth(F.col("_r.degenerate")).alias("degenerate"), _truth(F.col("_r.empty")).alias("empty"),
+        F.from_json("_r.menu", schemas.MENU).alias("menu"), "_rest", "_r._corrupt",
+        *[c for c in lines.columns if c != value])
+
+
 def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """JSONL records; blank lines vanish, a line that does not parse keeps its text in ``_corrupt``."""
-    schema = f"{schemas.RECORDS_JOINED}, _corrupt STRING"
-    waves = [_placed(spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-                     .json(p), i) for i, p in enumerate(paths)]
-    return union_all(waves).filter(F.col("_corrupt").isNull() | (F.trim("_corrupt") != ""))
+    """JSONL records; blank lines vanish, a line that is not JSON keeps its text in ``_corrupt``."""
+    waves = [_placed(spark.read.text(p), i) for i, p in enumerate(paths)]
+    return parse_records(union_all(waves).filter(F.trim(F.regexp_replace("value", r"\s", "")) != ""))
 
 
 def read_staged(spark: SparkSession, root: str) -> DataFrame:
@@ -44,9 +77,9 @@ def read_staged(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``*.jsonl`` below a folder."""
-    return (spark.read.schema(schemas.RECORDS_JOINED).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.jsonl").json(root))
+    """Every ``*.jsonl`` below a folder, as ``read_records`` reads a file."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    return parse_records(lines.filter(F.trim(F.regexp_replace("value", r"\s", "")) != ""))
 
 
 def read_scripts(spark: SparkSession, path: str, n: int | None = None, key: str = "script_id") -> DataFrame:

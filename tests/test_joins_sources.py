@@ -129,3 +129,21 @@ def test_dedupe_survives_a_hot_id(spark):
 def test_corpus_stats_of_nothing(spark):
     empty = spark.createDataFrame([], "n_tokens INT, n_trained INT")
     assert corpus_stats(empty).first()["examples"] == 0
+
+
+def test_values_of_another_type_are_read(spark, tmp_path):
+    """Only text that is not JSON is corrupt; what is not declared is carried along."""
+    lines = ['{"id":"a","type":"seedance","output":"o","input":{"shots":"2","mood":"calm"},"degenerate":0,"score":0.5}',
+             '{"id":"b","type":"seedance","output":"o","input":{"shots":2.0},"empty":1}', '{"id":"c","input":{"shots":3},"empty":true}',
+             '{"id":"d","input":"text","degenerate":"false"}', '{"id":"e"', "", "  "]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines))
+    got = {r["id"]: r for r in readers.read_records(spark, [f"{tmp_path}/r.jsonl"]).collect()}
+    assert [got[i]["input"]["shots"] for i in "abc"] == [2, 2, 3]
+    assert [(got[i]["degenerate"], got[i]["empty"]) for i in "abcd"] == [(False, None), (None, True), (None, True), (False, None)]
+    assert got["a"]["_rest"]["score"] == "0.5" and json.loads(got["a"]["_rest"]["input"])["mood"] == "calm"
+    assert [r["_corrupt"] is not None for i, r in got.items()].count(True) == 1 and got.get(None, got.get("e"))["_corrupt"] == '{"id":"e"'
+    records = readers.read_records(spark, [f"{tmp_path}/r.jsonl"])
+    seeds = spark.createDataFrame([("a", 0)], "id STRING, w INT").select("id", F.lit(None).cast(readers.schemas.MENU).alias("menu"),
+                                                                        F.lit(None).cast("string").alias("current"))
+    kept = joins.first_copy(records)
+    assert {r["id"]: r["_rest"] for r in kept.collect()}["a"]["score"] == "0.5" and seeds.count() == 1
