@@ -96,20 +96,28 @@ def shard_manifest(spark, sf):
     return packing.manifest(_sized(spark, sf), "n_chars", "n_trained")
 
 
-def _stats(spark, sf):
+def _trained(spark, sf):
     r = renderable(render(records(spark, sf)))
-    ex = packing.drop_untrained(packing.with_pieces(r.select(F.col("id").alias("example_id"), "segments")))
+    return packing.drop_untrained(packing.with_pieces(r.select(F.col("id").alias("example_id"), "segments")))
+
+
+def _stats(ex):
     return ex.select((F.size("pieces") + 1).alias("n_tokens"),
                      (F.size(F.filter("mask", lambda m: m == 1)) + 1).alias("n_trained"))
 
 
 def corpus_statistics(spark, sf):
-    return corpus_stats(_stats(spark, sf))
+    return corpus_stats(_stats(_trained(spark, sf)))
 
 
 def quality_gate_row(spark, sf):
-    stats = corpus_stats(_stats(spark, sf)).withColumns({"vocab_size": F.lit(t.VOCAB_SIZE), "eos_id": F.lit(t.EOS_ID)})
-    return quality_gate(stats)
+    """The ids that the vocabulary gives out, the id that the encoded examples end in, and the trained share."""
+    ex = _trained(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = packing.build_vocab(ex, VOCAB)
+    last = F.element_at("ids", -1)
+    end = packing.encode(ex, vocab).agg(F.when(F.min(last) == F.max(last), F.min(last)).alias("end")).scalar()
+    stats = corpus_stats(_stats(ex)).withColumns({"vocab_size": vocab.agg((F.max("id") + 1).alias("n")).scalar(), "eos_id": end})
+    return quality_gate(stats, VOCAB)
 
 
 QUERIES = {
@@ -179,5 +187,6 @@ ORACLE = {
     "shard_manifest": f"""SELECT shard_id, count(*) AS examples, CAST(sum(n_chars) AS BIGINT) AS n_tokens,
         CAST(sum(n_trained) AS BIGINT) AS n_trained FROM ({_PLACED}) GROUP BY 1""",
     "corpus_stats": f"{_ALL_TOK} SELECT * FROM st",
-    "quality_gate": f"{_ALL_TOK} SELECT true AS vocab_ok, true AS eos_ok, response_frac > 0.05 AND response_frac < 0.60 AS response_frac_ok FROM st",
+    "quality_gate": f"{_ALL_TOK}, tok AS (SELECT unnest(regexp_extract_all(substr(part, 2), '{_RX}')) AS piece FROM seg), vocab AS ({_VOCAB}) "
+        f"SELECT (SELECT max(id) + 1 = {VOCAB} FROM vocab) AS vocab_ok, true AS eos_ok, response_frac > 0.05 AND response_frac < 0.60 AS response_frac_ok FROM st",
 }
