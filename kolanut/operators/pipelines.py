@@ -109,7 +109,6 @@ def video_report(scored: DataFrame) -> DataFrame:
     for c in VIDEO_CHECKS:
         every = every & F.coalesce(F.col(c), F.lit(False))
     rows = scored.withColumn("postable", every).withColumn("seq_shots", F.when(F.col("want_beats") > 1, F.col("shots")))
-    rates = summary(rows, (*VIDEO_CHECKS, "postable"))
-    sequences = rows.groupBy("model").agg(F.count("seq_shots").alias("sequences"), F.when(
-        F.count("seq_shots") > 0, 100.0 * F.count_if("seq_shots") / F.count("seq_shots")).alias("sequence_shots"))
-    return rates.join(sequences, "model")
+    held = F.count("seq_shots")
+    return summary(rows, (*VIDEO_CHECKS, "postable"), more=(
+        held.alias("sequences"), F.when(held > 0, 100.0 * F.count_if("seq_shots") / held).alias("sequence_shots")))

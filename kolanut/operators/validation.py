@@ -20,9 +20,14 @@ from kolanut.operators.frames import keep_rows
 _PARSED = ("_b", "_t", "_o", "_args", "_video", "_current")
 
 
+def unflagged() -> Column:
+    """V9: not marked as degenerate or empty by the generator itself."""
+    return ~(F.coalesce("degenerate", F.lit(False)) | F.coalesce("empty", F.lit(False)))
+
+
 def drop_flagged(df: DataFrame) -> DataFrame:
-    """V9: rows the generator itself marked as degenerate or empty are left out."""
-    return df.filter("NOT (coalesce(degenerate, false) OR coalesce(empty, false))")
+    """V9: flagged rows are left out."""
+    return df.filter(unflagged())
 
 
 def parse_records(df: DataFrame) -> DataFrame:

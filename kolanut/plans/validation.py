@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kolanut.operators.validation import drop_flagged, keep_rate, kept, reject_report, validate
+from kolanut.operators.validation import unflagged, keep_rate, kept, reject_report, validate
 from kolanut.plans.base import OUTPUTS, blocks_sql, records, records_sql, turns_sql
 
 
@@ -29,9 +29,8 @@ def skip_flagged(spark, sf):
     flagged = records(spark, sf, ("toolrefuse",)).withColumn(
         "degenerate", F.col("output").contains("reason\":\"because")).withColumn(
         "empty", F.when(F.col("output").contains("none"), True))
-    left = drop_flagged(flagged).groupBy("type", "lang").agg(F.count(F.lit(1)).alias("left_n"))
-    allr = flagged.groupBy("type", "lang").agg(F.count(F.lit(1)).alias("total"))
-    return allr.join(left, ["type", "lang"], "left")
+    return flagged.groupBy("type", "lang").agg(
+        F.count(F.lit(1)).alias("total"), F.nullif(F.count_if(unflagged()), F.lit(0)).alias("left_n"))
 
 
 QUERIES = {
