@@ -33,6 +33,8 @@ STARTS = (4, 5, 6, 7)
 #: Documented bounds of the fit: labelled rows, and features of the model.
 SAMPLE, FEATURES = 24_000, 4096
 LEAST_ROWS = 4
+#: Least likelihood ratio of a feature: below it, chance alone explains the counts.
+LEAST_RATIO = 15.0
 SWAP_PENALTY, RIDGE, STEPS = 4.0, 2e-4, 400
 
 
@@ -137,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
           penalty: float = SWAP_PENALTY) -> Model:
     """Fit on labelled rows where ``learn`` holds: at most ``sample`` of them by a hash of the key.
 
-    Feature counts are taken by Spark; the ``features`` with the largest likelihood ratio, the features of the group
+    Feature counts are taken by Spark; the ``features`` with the largest likelihood ratios (twice the log), if at least ``LEAST_RATIO``, the features of the group
     terms, and the rows as lists of those come to the driver. Keys labelled both ways and null labels are left out.
     Without both labels every score is the share of label 1 (0.5 with no rows).
     """
@@ -172,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     ratio = (part(a, b * t / n) + part(b - a, b * (n - t) / n) + part(t - a, (n - b) * t / n) + part(n - t - b + a, (n - b) * (n - t) / n))
-    best = [r.feature for r in counts.select("feature", ratio.alias("g")).orderBy(F.desc("g"), "feature").limit(features).collect()]
+    best = [r.feature for r in counts.select("feature", (2 * ratio).alias("g")).filter(F.col("g") >= LEAST_RATIO).orderBy(F.desc("g"), "feature").limit(features).collect()]
     reader = Features()
     terms = np.concatenate([reader.word(w) for g in groups for w in g]) if groups else np.zeros(0, np.uint64)
     model = Model(np.unique(np.concatenate((np.array(best, np.int64).view(np.uint64), terms))), np.zeros(0), 0.0)
