@@ -53,16 +53,22 @@ def _newest_earlier(own: DataFrame, quoted: DataFrame) -> DataFrame:
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """``thread, at, root, depth`` of the messages that have a parent, by doubling the steps to the root."""
-    state = written(parents.select("thread", "at", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")))
+    """``thread, at, root, depth`` of the messages that have a parent, by doubling the steps to the root.
+
+    A message whose root has no parent is settled and not joined again; the others go on by what their root knows.
+    """
+    every = written(parents.select("thread", "at", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")))
+    open_, settled = every, every.limit(0)
     for _ in range(MAX_ROUNDS):
-        further = state.select(F.col("thread").alias("_t"), F.col("at").alias("_a"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
-        met = state.join(further, (F.col("thread") == F.col("_t")) & (F.col("root") == F.col("_a")), "left")
-        grown = written(met.select("thread", "at", F.coalesce("_r", "root").alias("root"),
-                                   (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_r").isNotNull().alias("_more")))
-        state = grown.select("thread", "at", "root", "depth")
-        if grown.filter("_more").isEmpty():
-            return state
+        further = every.select(F.col("thread").alias("_t"), F.col("at").alias("_a"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
+        met = written(open_.join(further, (F.col("thread") == F.col("_t")) & (F.col("root") == F.col("_a")), "left").select(
+            "thread", "at", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
+            F.col("_r").isNotNull().alias("_open")))
+        open_ = met.filter("_open").drop("_open")
+        settled = settled.unionByName(met.filter("not _open").drop("_open"))
+        if open_.isEmpty():
+            return settled
+        every = settled.unionByName(open_)
     raise RuntimeError(f"reply chains are not settled after {MAX_ROUNDS} rounds")
 
 
