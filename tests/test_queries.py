@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from kolanut.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE  # the library's own; tests/llm has the others
 
 
 @pytest.fixture(scope="module")
@@ -57,5 +58,9 @@ def test_query_matches_sql(spark, duck, name):
     assert rows == _sorted([tuple(_cell(r[i]) for i in at) for r in want.fetchall()])
 
 
+def test_entry_registers_them_all():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
+
+
 def test_entry_has_rows(spark):
     assert entry_point.entry(spark).count() > 0
