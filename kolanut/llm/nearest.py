@@ -90,13 +90,17 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tile(q: _Block, c: _Block, k: int, heaps: dict[int, list]) -> None:
-    """Adds a tile's possible neighbours to the heaps: per query the k nearest as (-distance, -id)."""
+    """Adds a tile's possible neighbours to the heaps: per query the k nearest ids as (-distance, -id), each id once."""
     product = (q.codes @ c.codes.T).astype(np.float64)  # whole numbers below 2^24 up to 1040 components: exact
     approx = np.sqrt(np.maximum(q.squares[:, None] + c.squares[None, :] - 2 * q.scales[:, None] * c.scales[None, :] * product, 0))
     slack = SLACK * (1 + approx.max(initial=0.0)) * max(1, q.codes.shape[1] / 1024)
     low = approx - q.errors[:, None] - c.errors[None, :] - slack
     high = approx + q.errors[:, None] + c.errors[None, :] + slack
     high[q.ids[:, None] == c.ids[None, :]] = np.inf
+    order = np.argsort(c.ids, kind="stable")
+    first = np.flatnonzero(np.diff(c.ids[order], prepend=c.ids[order[0]] - 1))
+    if len(first) < len(order):  # rows under one id are one neighbour: the nearest of them
+        high = np.minimum.reduceat(high[:, order], first, axis=1)
     if high.shape[1] > k:
         limit = np.partition(high, k - 1, axis=1)[:, k - 1]
     else:
@@ -106,9 +110,16 @@ def _tile(q: _Block, c: _Block, k: int, heaps: dict[int, list]) -> None:
     exact = distances(q.vectors[at_q], c.vectors[at_c])
     for query, vec, d in zip(q.ids[at_q].tolist(), c.ids[at_c].tolist(), exact.tolist(), strict=True):
         heap = heaps.setdefault(query, [])
-        if len(heap) < k:
+        if len(heap) == k and (-d, -vec) <= heap[0]:
+            continue
+        held = next((i for i, entry in enumerate(heap) if entry[1] == -vec), None)
+        if held is not None:
+            if -d > heap[held][0]:
+                heap[held] = (-d, -vec)
+                heapq.heapify(heap)
+        elif len(heap) < k:
             heapq.heappush(heap, (-d, -vec))
-        elif (-d, -vec) > heap[0]:
+        else:
             heapq.heapreplace(heap, (-d, -vec))
 
 

@@ -46,6 +46,17 @@ def test_matches_brute_force(spark, block, columns, scale):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_a_key_repeated_more_than_k_times_is_one_neighbour(spark, block):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], 1) for i in range(60)]
+    for d in range(25):  # two keys, 25 rows each, all nearer to the queries than any other
+        rows += [(q + at, [x + rng.gauss(0, 1e-3) for x in rows[q][1]], 1) for q in (0, 20) for at in (101, 102)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = nearest.nearest(df, F.col("vec_id") % 20 == 0, block=block, columns=2)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_bounds_hold():
     import numpy as np
     rng = np.random.Generator(np.random.PCG64(1))
