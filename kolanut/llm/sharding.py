@@ -1,6 +1,6 @@
 """A uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Rows lie in parts (a keyed hash of their key). How many rows of each part go to each shard is drawn exactly as a
+Rows lie in parts (a keyed hash of their key, their ties, and their number among the rows alike in both). How many rows of each part go to each shard is drawn exactly as a
 uniform shuffle would have it: multivariate hypergeometric, part after part, from the places that the shards
 have left. The matrix is drawn in two levels, over blocks of parts and then over the parts of each
 block, so that each draw handles a bounded number of rows. Then the rows of a part are put in random order and dealt out
@@ -9,10 +9,14 @@ by their counts, exchanged, and put in random order again inside their shard.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from kolanut.llm.shared import written
 
@@ -21,6 +25,8 @@ SEED = 29
 #: The rows that a part of either shuffle holds on average, and the blocks that parts are grouped in.
 PART_ROWS = 1 << 16
 BLOCKS = 64
+#: Numbers of alike rows (24 bytes each) up to which the list is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def size_of(text: str | Column = "text") -> Column:
@@ -95,35 +101,66 @@ def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame
     return counts.groupBy("block").applyInPandas(of_block, "block int, part int, shard int, first bigint, n bigint")
 
 
+def numbered(rows: DataFrame, key: str, ties: list[str]) -> DataFrame:
+    """``rows`` with ``_same`` (a hash of key and ties) and ``_nth``, the number of a row among those alike in it, from 0.
+
+    Two levels: each partition numbers its own rows, and starts after the alike rows of the partitions before it. So alike rows stay
+    where they are, however many they are, and which of them gets which number makes no difference.
+    """
+    told = [c for name in (key, *ties) for c in (F.col(name), F.col(name).isNull())]
+    same = rows.withColumns({"_same": F.xxhash64(*told), "_chunk": F.spark_partition_id()})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}
+        for batch in batches:
+            names, at, many = np.unique(batch.column("_same").to_numpy(), return_inverse=True, return_counts=True)
+            order = np.argsort(at, kind="stable")
+            nth = np.empty(len(at), np.int64)
+            nth[order] = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            before = np.array([met.get(x, 0) for x in names.tolist()], np.int64)
+            met.update(zip(names.tolist(), (before + many).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth + before[at], pa.int64())], [*batch.schema.names, "_nth"])
+
+    counts = same.groupBy(F.col("_same").alias("_s"), F.col("_chunk").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(counts.withColumn("_start", F.sum("_n").over(before)).filter("_start is not null").drop("_n"))
+    sent = F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts
+    schema = StructType([*same.schema.fields]).add("_nth", LongType())
+    return same.mapInArrow(count, schema).join(sent, (F.col("_same") == F.col("_s")) & (F.col("_chunk") == F.col("_c")), "left").withColumn(
+        "_nth", F.col("_nth") + F.coalesce("_start", F.lit(0))).drop("_s", "_c", "_start", "_chunk")
+
+
 def assign(rows: DataFrame, key: str, ties: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``: shard sizes are at most one apart, every shuffle is equally likely.
 
-    ``ties`` are columns that order rows of one key; rows alike in all of them are interchangeable. A null key is a key.
-    ``rows`` is read several times: pass a written or cheap frame. All rows of one key lie in one part.
+    ``ties`` are columns that tell rows of one key apart; rows alike in all of them are interchangeable. A null key is a key.
+    ``rows`` is read several times: pass a written frame, whose rows lie in the same partitions each time. Rows of one key are drawn
+    one by one, like any others.
     """
     n = rows.count()
     parts = max(8, -(-n // (BLOCKS * PART_ROWS)))
-    placed = rows.withColumn("_draw", draw(seed, F.col(key), "part"))
+    one = F.concat_ws(":", "_same", "_nth")
+    placed = numbered(rows, key, ties).withColumn("_draw", draw(seed, one, "part"))
     placed = placed.withColumns({"_block": F.pmod(F.col("_draw"), F.lit(BLOCKS)).cast("int"),
                                  "_part": F.pmod(F.shiftright("_draw", 8), F.lit(parts)).cast("int")})
     counts = placed.groupBy(F.col("_block").alias("block"), F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
     matrix = written(communication_matrix(counts, shards, seed))
     cuts = matrix.groupBy("block", "part").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("shard", "first", "n"))), lambda x: x["first"] + x["n"]).alias("_ends"))
-    local = Window.partitionBy("_block", "_part").orderBy(draw(seed, F.col(key), "rank"), key, *ties)
+    local = Window.partitionBy("_block", "_part").orderBy(draw(seed, one, "rank"), "_same", "_nth")
     ranked = placed.withColumn("_rank", F.row_number().over(local) - 1)
     dealt = ranked.join(cuts, (ranked["_block"] == cuts["block"]) & (ranked["_part"] == cuts["part"])).drop("block", "part")
     shard = F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))).cast("int")
     # second shuffle: a place in the shard is a random chunk of it and the rank inside that chunk
-    again = dealt.withColumn("shard", shard).withColumn("_again", draw(seed, F.struct(F.col(key), "_rank").cast("string"), "slot"))
+    again = dealt.withColumn("shard", shard).withColumn("_again", draw(seed, one, "slot"))
     again = again.withColumn("_slot", F.struct("shard", F.pmod("_again", F.lit(max(64, -(-n // (shards * PART_ROWS))))).alias("chunk"))).drop("_ends", "_draw")
     sizes = again.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_slot.shard").orderBy("_slot.chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_slot").orderBy("_again", key, "_block", "_part", "_rank")
+    inside = Window.partitionBy("_slot").orderBy("_again", "_same", "_nth")
     out = again.withColumn("_inside", F.row_number().over(inside) - 1).join(sizes, "_slot")
     return out.withColumn("slot", F.col("_before") + F.col("_inside")).drop(
-        "_slot", "_again", "_inside", "_before", "_rank", "_block", "_part")
+        "_slot", "_again", "_inside", "_before", "_rank", "_block", "_part", "_same", "_nth")
 
 
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -49,6 +49,28 @@ def test_the_shuffle_is_uniform(spark):
     assert abs(rank) < 0.06
 
 
+def test_copies_share_a_shard_as_often_as_chance(spark):
+    """Alike rows, rows of one key with other texts, and rows without a key are dealt one by one."""
+    rows = [(i, "same") for i in range(3000) for _ in range(2)] + [(i, t) for i in range(3000, 6000) for t in ("one", "another")]
+    rows += [(None, "no key")] * 6000
+    got = sharding.shard_documents(documents(spark, rows)).collect()
+    where = {}
+    for r in got:
+        where.setdefault(r.doc_id, []).append((r.shard, r.slot))
+    for keys in (range(3000), range(3000, 6000)):
+        assert abs(sum(len({s for s, _ in where[i]}) == 1 for i in keys) - 3000 / 24) < 50
+        assert sum(abs(a[1] - b[1]) < 5 for a, b in (where[i] for i in keys)) < 80  # not neighbours in their shards either
+    counts = Counter(s for s, _ in where[None])
+    assert len(counts) == 24 and max(abs(n - 250) for n in counts.values()) < 80
+
+
+def test_alike_rows_are_numbered_over_partitions(spark):
+    docs = documents(spark, [(1, "a")] * 50 + [(1, "b")] * 20 + [(None, None)] * 30).repartition(4).localCheckpoint()
+    got = sharding.numbered(docs, "doc_id", ["text"]).collect()
+    for key, text, n in ((1, "a", 50), (1, "b", 20), (None, None, 30)):
+        assert sorted(r._nth for r in got if (r.doc_id, r.text) == (key, text)) == list(range(n))
+
+
 def test_empty_and_clashing_columns(spark):
     docs = documents(spark, [(1, "a")]).selectExpr("*", "1 AS shard", "2 AS slot", "3 AS _rank")
     assert [(r.size, r.slot) for r in sharding.shard_documents(docs).collect()] == [(9, 0)]
