@@ -87,3 +87,16 @@ def test_pipeline_stages_take_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     alone = [r.doc_id for r in dict(pipeline.STAGES)["near_copies"](spark, docs, SF).collect()]
     assert sorted(alone, key=str) == [0, 1, 2, 3, None]
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    """Other texts under one doc_id are rows of their own: only the copies among them go."""
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcde"}
+    rows = [(1, text["a"]), (2, text["a"] + " more"), (2, text["b"]), (2, text["c"]), (3, text["b"]), (4, text["d"]), (4, text["d"]),
+            (4, None), (None, text["a"]), (5, text["e"]), (5, text["e"] + " more")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text) for r in dict(pipeline.STAGES)["near_copies"](spark, docs.repartition(3), SF).collect()]
+    fives = [t for d, t in got if d == 5]
+    assert len(fives) == 1 and fives[0].startswith(text["e"])
+    want = [(1, text["a"]), (2, text["b"]), (2, text["c"]), (4, text["d"]), (4, None), (None, text["a"])]
+    assert sorted((r for r in got if r[0] != 5), key=str) == sorted(want, key=str)
