@@ -24,6 +24,8 @@ LONGEST = 4
 #: Documented bounds of the fit: labelled rows per language, labelled rows in all, and landmarks.
 PER_LANGUAGE, SAMPLE, LANDMARKS = 600, 6000, 192
 RIDGE = 1e-3
+#: Learned rows that a limit of likeness needs.
+LEAST_LEARNED = 50
 _ROWS = 128
 
 
@@ -80,14 +82,51 @@ def fit(seen: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return Model(languages, np.ascontiguousarray(marks.T @ (root @ weights), dtype=np.float32))
 
 
+@dataclass
+class Likeness:
+    """``table`` (bits x languages): log shares of a language's texts that hold an n-gram. Texts below ``limit`` are like none of them."""
+
+    table: np.ndarray
+    limit: float
+
+    def of(self, seen: np.ndarray) -> np.ndarray:
+        """The mean of a text's n-grams in the language that gives it most; it falls for texts unlike all, whatever their length."""
+        return (seen.astype(np.float32) @ self.table).max(1) / np.maximum(seen.sum(1, dtype=np.int64), 1)
+
+
+def _shares(seen: np.ndarray, langs: np.ndarray, languages: list[str]) -> np.ndarray:
+    """Log shares per language, drawn to those of all texts by the weight of one text, so that a language of few texts is not like everything."""
+    least = 0.5 / (len(seen) + 1)
+    every = (seen.sum(0) + 0.5) / (len(seen) + 1)
+    rows = [langs == x for x in languages]
+    return np.log(np.maximum(np.stack([(seen[r].sum(0) + every) / (r.sum() + 1) for r in rows], axis=1), least)).astype(np.float32)
+
+
+def fit_likeness(seen: np.ndarray, langs: list[str]) -> Likeness:
+    """The limit comes from the learned rows, each half judged by the other: as far below their lowest hundredth as that is below their
+    median. Below ``LEAST_LEARNED`` rows nothing can be told, and no text is below the limit."""
+    names, languages = np.array(langs), sorted(set(langs))
+    limit = -np.inf
+    if len(seen) >= LEAST_LEARNED:
+        odd = np.arange(len(seen)) % 2 == 1
+        judged = np.concatenate([Likeness(_shares(seen[~h], names[~h], languages), limit).of(seen[h]) for h in (odd, ~odd)])
+        low, middle = np.quantile(judged, [0.01, 0.5])
+        limit = float(2 * low - middle)
+    return Likeness(_shares(seen, names, languages), limit)
+
+
+def letters(text: str) -> Column:
+    """The text in lower case with one space for all between letters: figures, signs and addresses are in no language."""
+    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}]+", " "))
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``."""
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
-def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
-          per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
-    """Fit on rows where ``learn`` holds and text and language are given; None without such rows.
+def _learned(docs: DataFrame, learn: Column, key: str, text: str, lang: str, per_language: int, sample: int) -> tuple[np.ndarray, list[str]] | None:
+    """Bit rows and languages of rows where ``learn`` holds and text and language are given; None without such rows.
 
     At most ``per_language`` rows of a language and ``sample`` rows in all, by a hash of the key; only their bit rows
     (2 KB each) come to the driver, however long the texts are.
@@ -109,7 +148,35 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     if not held:
         return None
     seen = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, _, b in held]).astype(np.float32)
-    return fit(seen, [x for _, x, _ in held])
+    return seen, [x for _, x, _ in held]
+
+
+def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
+          per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+    """Fit on the learned rows; None without any."""
+    found = _learned(docs, learn, key, text, lang, per_language, sample)
+    return fit(*found) if found else None
+
+
+def train_likeness(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
+                   per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Likeness | None:
+    """The likeness to the languages of the same learned rows, by their letters; None without any."""
+    found = _learned(docs.withColumn(text, letters(text)), learn, key, text, lang, per_language, sample)
+    return fit_likeness(*found) if found else None
+
+
+def in_known_language(docs: DataFrame, known: Likeness, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose letters are like one of the learned languages; rows without a letter go."""
+    read = docs.withColumn("_letters", letters(text)).filter(F.col(text).rlike(r"\p{L}"))
+    names = docs.columns
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "_letters"):
+                like = np.concatenate([known.of(seen) for seen in bit_rows(piece.column("_letters"))])
+                yield piece.filter(pa.array(like >= known.limit)).select(names)
+
+    return read.mapInArrow(judged, docs.schema)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -100,3 +100,25 @@ def test_near_copies_are_dropped_by_row(spark):
     assert len(fives) == 1 and fives[0].startswith(text["e"])
     want = [(1, text["a"]), (2, text["b"]), (2, text["c"]), (4, text["d"]), (4, None), (None, text["a"])]
     assert sorted((r for r in got if r[0] != 5), key=str) == sorted(want, key=str)
+
+
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı.",
+    "junk": "xkqz vbnt pwrtz gkdfl qqxv zzkr mwvtx bnpq rtkl xzvv dfgk hjkl wqpt xcvb nmkl trpq zxkv bbdf",
+    "base64": "dGhpc0lzTm90QVRleHRBdEFsbFhZWjAxMjM0NTY3ODlxd2VydHl1aW9wQVNERkdIamtsWlhDVkJOTXF3ZXJ0eVFXRVJUWVVJT1A",
+    "hex": "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08e3b0c44298fc1c149afbf4c8996fb924",
+}
+
+
+def test_foreign_and_junk_texts_go_and_clean_short_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    short = [(9000 + i, t, "en", "s", 1) for i, t in enumerate(["The and of.", "That it.", "Von der und.", "De la.", "Une et des.", "El de los."])]
+    odd = [(8000 + i, t * n, None, "s", 1) for i, t in enumerate(FOREIGN.values()) for n in (1, 30)]
+    planted = spark.createDataFrame([*short, *odd, (9100, "12 34 !!", "en", "s", 1)], docs.schema)
+    model_ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    got = [r.doc_id for r in dict(pipeline.STAGES)["language"](spark, docs.unionByName(planted), SF).collect()]
+    assert sorted(got) == sorted([*model_ids, *(r[0] for r in short)])
