@@ -82,3 +82,30 @@ def test_empty_tables_and_clashing_columns(spark):
     docs = documents(spark, [(1, "x a b c d e f g h i j y")]).selectExpr("*", "1 AS item_id", "2 AS edits")
     assert [(r.doc_id, r.item_id, r.first_word) for r in dc.leaks(docs, items).collect()] == [(1, 1, 1)]
     assert dc.leaks(docs.limit(0), items).count() == 0 and dc.leaks(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [20, 60, 120, 300])
+def test_long_items_are_found_at_the_edit_limit(spark, n):
+    rng = random.Random(n)
+    pool = [f"w{i}" for i in range(5000)]
+    items = [(i, prose(rng, n, pool)) for i in range(100)]
+    rows = []
+    for i, text in items:
+        ws = text.split()
+        for _ in range(int(n * dc.EDITS)):
+            j = rng.randrange(len(ws))
+            ws[j:j + 1] = rng.choice([[], [ws[j], "extra"], ["other"]])
+        rows.append((i, " ".join([prose(rng, rng.randint(0, 40), pool), " ".join(ws), prose(rng, 20, pool)])))
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(documents(spark, rows), spark.createDataFrame(items, ITEM)).collect()}
+    assert len(got & {(i, i) for i in range(100)}) >= 98
+
+
+def test_the_best_start_is_exact():
+    import numpy as np
+    rng = random.Random(9)
+    for _ in range(200):
+        a = np.array([rng.randint(0, 3) for _ in range(rng.randint(2, 10))])
+        b = np.array([rng.randint(0, 3) for _ in range(rng.randint(1, 16))])
+        want = min((dc.edit_distance(a, b[s:], 99)[0], s) for s in range(len(b) + 1))
+        start, edits = dc.best_start(a, b, 99)
+        assert (edits, start) == want
