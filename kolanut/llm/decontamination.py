@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embeddings, bit-sampling LSH and exact edit checks.
 
-Documents and benchmark items are sequences of words (ASCII lower-cased, cut at white space and punctuation). The CGK
+Documents and benchmark items are sequences of words (ASCII lower-cased, cut at white space and punctuation; a character of a script without
+spaces is a word). Items of few words are met by equal runs of words. For the others, the CGK
 random walk reads a sequence with one fixed random bit per step and word: it writes the word it stands on and moves on by
 that bit. Two sequences a few edits apart fall into step again, so their walks agree in most places (edit
 distance becomes Hamming distance). Each repetition walks by other bits and samples a few steps; a window of a document whose
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolanut.llm.words import WordHash, lower_table, mixed, raw, row_of, separators, slices, spans
+from kolanut.llm.words import WordHash, characters, lower_table, mixed, raw, row_of, separators, slices, windows
 
 #: Word edits allowed per word of an item.
 EDITS = 0.15
-#: Shorter items say too little to tell a leak from chance and are not searched.
+#: Shorter items are met without edits only.
 LEAST_WORDS = 8
 RECALL = 0.99
 #: Steps sampled per repetition.
@@ -191,12 +192,30 @@ class Benchmark:
     words: list[np.ndarray]
     allowed: np.ndarray
     classes: list[Items]
+    short: np.ndarray
 
     def __post_init__(self):
+        self.exact = {}  # length of short items: sorted hashes and the items
+        for n in np.unique([len(self.words[i]) for i in self.short.tolist()]).astype(int).tolist():
+            items = np.array([i for i in self.short.tolist() if len(self.words[i]) == n])
+            found = windows(np.concatenate([self.words[i] for i in items]), np.arange(len(items) + 1) * n, n)[0]
+            order = np.argsort(found, kind="stable")
+            self.exact[n] = found[order], items[order]
         self.pairs = np.unique(np.concatenate([_pairs(w) for w in self.words]))
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
 
+    def equal(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Row, item and first word of the first run in each row that equals a short item."""
+        for n, (hashes, items) in self.exact.items():
+            found, at = windows(words, first, n)
+            lo, hi = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                r = int(np.searchsorted(at, i, "right")) - 1
+                for item in items[lo[i]:hi[i]].tolist():
+                    if (words[first[r] + i - at[r]:][:n] == self.words[item]).all():
+                        yield r, item, i - int(at[r])
+
     def known(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """How many of the word pairs before each word are pairs of the benchmark."""
         pairs = _pairs(words)
@@ -227,8 +246,8 @@ def _merged(spots: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
 def _hits(piece: pa.RecordBatch, benchmark: Benchmark, table: np.ndarray, hasher: WordHash) -> Iterator[tuple[int, int, int, int, int]]:
     """Row, item, first word, words and edits of the best window per row and item."""
     data, at = raw(piece.column("text"))
-    starts, ends, first = spans(data, at, table)
-    if len(starts) < 2:
+    starts, ends, first = characters(data, at, table)
+    if not len(starts):
         return
     words, row = hasher(data, starts, ends), row_of(first)
     sums = benchmark.known(words, first)
@@ -245,6 +264,10 @@ def _hits(piece: pa.RecordBatch, benchmark: Benchmark, table: np.ndarray, hasher
         about = start - pieces.offsets[piece_]
         spots.append(np.stack([row[start], item, np.maximum(about - most, first[row[start]]), about + most]))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for r, item, start in benchmark.equal(words, first):
+        key = r, int(benchmark.ids[item])
+        now = 0, start, len(benchmark.words[item])
+        best[key] = min(best.get(key, now), now)
     for r, item, lo, hi in _merged(spots):
         wanted, most = benchmark.words[item], int(benchmark.allowed[item])
         text = words[lo:min(hi + 1 + len(wanted) + most, first[r + 1])]
@@ -262,12 +285,13 @@ def _hits(piece: pa.RecordBatch, benchmark: Benchmark, table: np.ndarray, hasher
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-          edits: float = EDITS, least_words: int = LEAST_WORDS, recall: float = RECALL, sampled: int = SAMPLED, items_per_pass: int = ITEMS) -> DataFrame:
+          edits: float = EDITS, least_words: int = LEAST_WORDS, recall: float = RECALL, sampled: int = SAMPLED, items_per_pass: int = ITEMS,
+          short_items: bool = False) -> DataFrame:
     """One row per document and item that it holds: key, ``item_id``, ``first_word``, ``n_words``, ``edits``.
 
     A window of a document holds an item if at most ``edits`` of the item's words must be changed, inserted or deleted to get it; of several
-    windows the one with the fewest edits, then the first, is given. Items below ``least_words`` words, and null texts, take no
-    part. Rows without a key are not reported. At most ``items_per_pass`` items are held in memory at once: a larger benchmark is taken in passes.
+    windows the one with the fewest edits, then the first, is given. Items below ``least_words`` words are held by equal runs of words
+    only, and take no part unless ``short_items`` is set (the queries set it). A character of a script without spaces counts as a word. Null texts and items without words take no part. Rows without a key are not reported. At most ``items_per_pass`` items are held in memory at once: a larger benchmark is taken in passes.
     """
     named = docs.select(F.col(key).cast("bigint").alias("owner_id"), F.col(text).alias("text")).filter("owner_id is not null and text is not null")
     wanted = benchmark.select(F.col(item).cast("bigint").alias("id"), F.col(item_text).alias("text")).filter("id is not null and text is not null").distinct()
@@ -279,21 +303,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         table, hasher = separators(alnum_only=True), WordHash(lower_table())
         rows.sort(key=lambda r: (r.id, r.text))
         data, at = raw(pa.array([r.text for r in rows], pa.string()))
-        starts, ends, first = spans(data, at, table)
+        starts, ends, first = characters(data, at, table)
         hashes = hasher(data, starts, ends)
-        kept = [i for i in range(len(rows)) if first[i + 1] - first[i] >= max(2, least_words)]
+        kept = [i for i in range(len(rows)) if first[i + 1] - first[i] >= (1 if short_items else max(2, least_words))]
         if not kept:
             continue
         whole = [hashes[first[i]:first[i + 1]] for i in kept]
         by_length: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        short = np.array([len(w) < max(2, least_words) for w in whole])
         for i, words in enumerate(whole):
+            if short[i]:
+                continue
             cuts = np.arange(-(-len(words) // PIECE) + 1) * len(words) // -(-len(words) // PIECE)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 by_length.setdefault(int(np.log(hi - lo) / np.log(LENGTH_RATIO)), []).append((i, lo, words[lo:hi]))
         classes = Benchmark(
             np.array([rows[i].id for i in kept], np.int64), whole, np.array([int(len(w) * edits + 1e-9) for w in whole], np.int64),
             [Items(np.array([g[0] for g in group]), np.array([g[1] for g in group]), [g[2] for g in group], edits, sampled, recall)
-             for _, group in sorted(by_length.items())])
+             for _, group in sorted(by_length.items())], np.flatnonzero(short))
 
         def search(batches: Iterator[pa.RecordBatch], items: Benchmark = classes) -> Iterator[pa.RecordBatch]:
             own, hash_ = separators(alnum_only=True), WordHash(lower_table())

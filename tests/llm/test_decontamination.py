@@ -109,3 +109,32 @@ def test_the_best_start_is_exact():
         want = min((dc.edit_distance(a, b[s:], 99)[0], s) for s in range(len(b) + 1))
         start, edits = dc.best_start(a, b, 99)
         assert (edits, start) == want
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    zh = "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待"
+    th = "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ"
+    items = [(1, "forty-two"), (2, "Paris"), (3, "what is seven times six in words"), (4, zh), (5, th), (6, "自由"), (7, "🙂 𠀀𠀁")]
+    rows = [(10, "He said: FORTY two, then left"), (11, "paris"), (12, "forty times two"), (13, "So what is seven times six, in words?"),
+            (14, "what is seven times nine in words"), (15, "前言。" + zh + "后记"), (16, zh[:10] + "不" + zh[11:20] + zh[21:]), (17, zh[::-1]),
+            (18, "text " + th[:12] + th[13:] + " text"), (19, "parisian"), (20, "x🙂𠀀𠀁"), (21, "🙂 𠀀𠀁 x"), (22, None), (23, "paris paris")]
+    found = dc.leaks(documents(spark, rows), spark.createDataFrame(items, ITEM), short_items=True)
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.edits) for r in found.collect()}
+    assert got.pop((16, 4))[2] == 2 and got.pop((18, 5))[2] == 1
+    assert got == {(10, 1): (2, 2, 0), (11, 2): (0, 1, 0), (13, 3): (1, 7, 0), (15, 4): (3, len(zh), 0), (15, 6): (7, 2, 0), (16, 6): (4, 2, 0),
+                   (21, 7): (0, 3, 0), (23, 2): (0, 1, 0)}
+
+
+def test_characters_are_cut_as_by_a_plain_loop():
+    import numpy as np
+    import pyarrow as pa
+
+    from kolanut.llm import words
+    table = words.separators(alnum_only=True)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é中文ไท,🙂𠀀ñひ") for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", "中", "a中", "中a"]
+    data, at = words.raw(pa.array(texts))
+    starts, ends, first = words.characters(data, at, table)
+    got = [[bytes(data[starts[i]:ends[i]]).decode() for i in range(first[r], first[r + 1])] for r in range(len(texts))]
+    import re
+    assert got == [re.findall("[中文ไท𠀀ひ]|[abéñ🙂]+", t) for t in texts] and (np.diff(first) >= 0).all()
