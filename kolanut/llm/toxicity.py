@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kolanut.llm.words import WordHash, lower_table, mixed, raw, row_of, separators, slices, spans
 
-# Terms that name groups of people, beside neutral ones. A term is swapped for the others of its row.
+# Terms that name groups of people, beside neutral ones, in the languages of the documents (en, fr, de, es). A term is swapped for the others of its row.
 GROUPS = (
     ("people", "women", "men", "girls", "boys"),
     ("person", "woman", "man", "girl", "boy"),
@@ -28,6 +28,30 @@ GROUPS = (
     ("person", "black", "white", "asian", "african", "latino", "arab"),
     ("people", "immigrants", "refugees", "foreigners", "natives"),
     ("person", "disabled", "blind", "deaf", "old", "young"),
+    ("personnes", "femmes", "hommes", "filles", "garçons"),
+    ("personne", "femme", "homme", "fille", "garçon"),
+    ("personnes", "musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("personne", "musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("personne", "homosexuel", "lesbienne", "bisexuel", "transgenre", "hétérosexuel"),
+    ("personne", "noir", "blanc", "asiatique", "africain", "latino", "arabe"),
+    ("personnes", "immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("personne", "handicapé", "aveugle", "sourd", "vieux", "jeune"),
+    ("menschen", "frauen", "männer", "mädchen", "jungen"),
+    ("mensch", "frau", "mann", "mädchen", "junge"),
+    ("menschen", "muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("mensch", "muslim", "christ", "jude", "hindu", "buddhist", "atheist"),
+    ("mensch", "schwul", "lesbisch", "bisexuell", "transgender", "heterosexuell"),
+    ("mensch", "schwarz", "weiß", "asiatisch", "afrikanisch", "latino", "arabisch"),
+    ("menschen", "einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("mensch", "behindert", "blind", "taub", "alt", "jung"),
+    ("personas", "mujeres", "hombres", "niñas", "niños"),
+    ("persona", "mujer", "hombre", "niña", "niño"),
+    ("personas", "musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("persona", "musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("persona", "homosexual", "lesbiana", "bisexual", "transgénero", "heterosexual"),
+    ("persona", "negro", "blanco", "asiático", "africano", "latino", "árabe"),
+    ("personas", "inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("persona", "discapacitado", "ciego", "sordo", "viejo", "joven"),
 )
 STARTS = (4, 5, 6, 7)
 #: Documented bounds of the fit: labelled rows, and features of the model.

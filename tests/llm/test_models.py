@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from frames import documents, odd_rows, prose
 from pyspark.sql import functions as F
 
@@ -90,6 +91,16 @@ def test_toxicity_of_held_out_rows_and_neutral_mentions(spark):
     assert mean(fair) < 0.3 and mean(fair) < 0.7 * mean(plain)
 
 
+@pytest.mark.parametrize("name", ["femmes", "étrangers", "frauen", "flüchtlinge", "mujeres", "judíos"])
+def test_neutral_mentions_in_the_other_languages(spark, name):
+    rows, labels = toxic_rows(random.Random(5), 800, name)
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    neutral = documents(spark, [(i, f"{name} " + prose(random.Random(i), 20)) for i in range(50)])
+    fair, plain = (np.mean([r.score for r in toxicity.score(neutral, toxicity.train(docs, marks, F.lit(True), penalty=p)).collect()])
+                   for p in (toxicity.SWAP_PENALTY, 0.0))
+    assert fair < 0.7 * plain
+
+
 def test_toxicity_rows_of_every_kind(spark):
     rng = random.Random(4)
     rows, labels = toxic_rows(rng, 300)
