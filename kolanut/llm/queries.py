@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.llm import decontamination, jaccard, language, mixing, nearest, quotes, sharding, substrings, token_counts, toxicity
+from kolanut.llm import decontamination, jaccard, language, manifest, mixing, nearest, quotes, sharding, substrings, token_counts, toxicity
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -80,7 +80,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-_QUERIES = (op1_token_counts, op2_nearest, op3_mixing, op4_substring_dedup, op5_sharding, op6_quotation_links, op7_jaccard_join, op8_decontamination, op9_toxicity, op10_language_id)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; a fifth of them are tampered with before their proof is folded."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = {c: F.col(c) for c in docs.columns}
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(language.remainder(F.col("doc_id"), 5) == 0, manifest.leaf(*(fields | {"text": lower}).values()))
+    proofs = manifest.manifest(docs, leaf_of=manifest.leaf(*fields.values()), carry={"tampered": changed})
+    folded = manifest.fold(F.coalesce("tampered", "leaf"), F.col("steps"))
+    out = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("steps")), 256).alias("proof_sha256"),
+                        folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_QUERIES = (op1_token_counts, op2_nearest, op3_mixing, op4_substring_dedup, op5_sharding, op6_quotation_links, op7_jaccard_join, op8_decontamination, op9_toxicity, op10_language_id, op13_merkle_manifest)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -109,11 +122,13 @@ FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
 WITH RECURSIVE l AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
 x AS (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, ls FROM l),
 y AS (SELECT conv_id, turn, i, line, length(replace(regexp_extract(line, '^( ?>)+'), ' ', '')) AS level,
-  trim(lower(regexp_replace(regexp_replace(line, '^( ?>)+', ''), '[ 	]+', ' ', 'g'))) AS norm,
+  trim(lower(regexp_replace(regexp_replace(line, '^( ?>)+', ''), '[ 	
+]+', ' ', 'g'))) AS norm,
   length(regexp_extract(coalesce(ls[i + 1], ''), '^( ?>)+')) > 0 AS before_quote FROM x),
-z AS (SELECT *, level = 0 AND NOT (before_quote AND regexp_matches(line, '^On .+ wrote:[ 	]*$')) AS own FROM y),
-b AS (SELECT conv_id, turn, regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (own), '^[ 	
-]+|[ 	
+z AS (SELECT *, level = 0 AND NOT (before_quote AND regexp_matches(line, '^On .+ wrote:[ 	
+]*$')) AS own FROM y),
+b AS (SELECT conv_id, turn, regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (own), '^[ 	
+]+|[ 	
 ]+$', '', 'g') AS body
   FROM z GROUP BY 1, 2),
 q AS (SELECT DISTINCT conv_id, turn, level, norm FROM z WHERE level > 0 AND norm <> ''),
@@ -142,4 +157,35 @@ l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.y AS component_id
 FROM n JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) c ON c.x = n.doc_id""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE crc(i, v) AS (SELECT i, CAST(list_reduce([CAST(i AS BIGINT)] || range(8),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS BIGINT) FROM range(256) r(i)),
+tab AS (SELECT list(v ORDER BY i) AS t FROM crc),
+d AS (SELECT documents.*, row_number() OVER () AS id, 4294967295 - list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])) AS crc FROM documents, tab),
+f AS (SELECT *, crc % 5 = 0 AS hit, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower,
+  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+  || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head FROM d),
+l AS (SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  CASE WHEN hit THEN sha256(head || coalesce(strlen(lower) || ':' || lower, '-')) END AS tampered FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM l),
+s(source, lev, k, n, h) AS (SELECT source, 0, k, count(*) OVER (PARTITION BY source), leaf FROM k
+  UNION ALL SELECT source, lev + 1, p, count(*) OVER (PARTITION BY source), h FROM
+    (SELECT source, lev, k // 16 AS p, sha256(string_agg(h, '' ORDER BY k)) AS h FROM s WHERE n > 1 GROUP BY source, lev, k // 16)),
+u AS (SELECT source, lev AS top, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k FROM s WHERE n = 1),
+t(lev, k, n, h) AS (SELECT 0, k, count(*) OVER (), subroot FROM u
+  UNION ALL SELECT lev + 1, p, count(*) OVER (), h FROM (SELECT lev, k // 16 AS p, sha256(string_agg(h, '' ORDER BY k)) AS h FROM t WHERE n > 1 GROUP BY lev, k // 16)),
+nodes AS (SELECT 0 AS tier, source, lev, k, h FROM s WHERE n > 1 UNION ALL SELECT 1, NULL, lev, k, h FROM t WHERE n > 1),
+way AS (SELECT k.id, 0 AS tier, k.source, lev, k.k // CAST(pow(16, lev) AS BIGINT) AS k FROM k JOIN u ON u.source IS NOT DISTINCT FROM k.source, range(20) g(lev) WHERE lev < u.top
+  UNION ALL SELECT k.id, 1, NULL, lev, u.k // CAST(pow(16, lev) AS BIGINT) FROM k JOIN u ON u.source IS NOT DISTINCT FROM k.source, range(20) g(lev)
+    WHERE lev < (SELECT max(lev) FROM t)),
+step AS (SELECT way.id, way.tier * 100 + way.lev AS pos, coalesce(string_agg(n.h, '' ORDER BY n.k) FILTER (n.k < way.k), '') AS before,
+    coalesce(string_agg(n.h, '' ORDER BY n.k) FILTER (n.k > way.k), '') AS behind
+  FROM way JOIN nodes n ON n.tier = way.tier AND n.lev = way.lev AND n.source IS NOT DISTINCT FROM way.source AND n.k // 16 = way.k // 16 GROUP BY way.id, way.tier, way.lev),
+proof AS (SELECT id, string_agg(before || behind, '' ORDER BY pos) AS sibs, list({'a': before, 'b': behind} ORDER BY pos) AS steps FROM step GROUP BY id),
+walk(id, i, h, steps) AS (SELECT k.id, 1, coalesce(tampered, leaf), coalesce(steps, []) FROM k LEFT JOIN proof USING (id)
+  UNION ALL SELECT id, i + 1, sha256(steps[i].a || h || steps[i].b), steps FROM walk WHERE i <= len(steps))
+SELECT k.doc_id, k.leaf, u.subroot, r.h AS root, sha256(coalesce(p.sibs, '')) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
+FROM k JOIN u ON u.source IS NOT DISTINCT FROM k.source CROSS JOIN (SELECT h FROM t WHERE n = 1) r
+LEFT JOIN proof p ON p.id = k.id JOIN walk w ON w.id = k.id AND w.i = len(w.steps) + 1""",
 }
