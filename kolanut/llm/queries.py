@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.llm import decontamination, jaccard, language, manifest, mixing, nearest, quotes, sharding, substrings, token_counts, toxicity
+from kolanut.llm import alignment, decontamination, jaccard, language, manifest, mixing, nearest, quotes, sharding, substrings, token_counts, toxicity
 
-TOKENIZER = "piece_bpe_32k.model"
+TOKENIZER, BYTE_TOKENIZER = "piece_bpe_32k.model", "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 
 
@@ -80,6 +80,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a byte-level and a piece vocabulary aligned over every text, and how usual their links are."""
+    import public_tokenizers
+    specs = alignment.read_specs(public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(TOKENIZER))
+    aligned = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), specs)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return alignment.supported(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document; a fifth of them are tampered with before their proof is folded."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -93,7 +102,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-_QUERIES = (op1_token_counts, op2_nearest, op3_mixing, op4_substring_dedup, op5_sharding, op6_quotation_links, op7_jaccard_join, op8_decontamination, op9_toxicity, op10_language_id, op13_merkle_manifest)
+_QUERIES = (op1_token_counts, op2_nearest, op3_mixing, op4_substring_dedup, op5_sharding, op6_quotation_links, op7_jaccard_join, op8_decontamination, op9_toxicity, op10_language_id, op11_tokenizer_alignment, op13_merkle_manifest)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

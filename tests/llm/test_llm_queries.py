@@ -37,7 +37,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_query_reads_every_row(spark, duck):
     n = duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
-    for name in ("op1_token_counts", "op3_mixing", "op5_sharding", "op9_toxicity", "op10_language_id", "op13_merkle_manifest"):
+    for name in ("op1_token_counts", "op3_mixing", "op5_sharding", "op9_toxicity", "op10_language_id", "op11_tokenizer_alignment", "op13_merkle_manifest"):
         df = queries.QUERIES[name](spark, SF)
         ids = [r.doc_id for r in df.select("doc_id").collect()]
         assert len(ids) == n == len(set(ids)), name
