@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ CHUNK = 1 << 16
 FAN = 8
 #: Words remembered by a task; beyond, the table is made anew.
 MAX_WORDS = 200_000
+#: New words that are encoded as one text.
+BLOCK = 512
 #: Link entries of one part, the unit in which documents ask for the counts of their links.
 PART_LINKS = 1 << 22
 MARK = "▁"
@@ -46,6 +50,29 @@ def words_of(spaced: str) -> list[str]:
     return [w[1:] for w in _BORDER.split(spaced)]
 
 
+class Closed(NamedTuple):
+    """Closed groups of several texts: counts (rows of A tokens, B tokens, groups, links), groups as text, and the distinct links
+    (``owner``: number of the text) with their times."""
+
+    counts: np.ndarray
+    groups: pa.Array
+    owner: np.ndarray
+    links: np.ndarray
+    times: np.ndarray
+    differs: np.ndarray
+
+    def columns(self) -> list[pa.Array]:
+        """The columns of ``_TOLD``."""
+        at = pa.array(np.searchsorted(self.owner, np.arange(len(self.counts) + 1)).astype(np.int32))
+        lists = (pa.ListArray.from_arrays(at, pa.array(v, kind)) for v, kind in (
+            (self.links >> 32, pa.int32()), (self.links & 0xFFFFFFFF, pa.int32()), (self.times, pa.int64())))
+        return [*(pa.array(self.counts[:, k]) for k in range(4)), self.groups.cast(pa.string()), *lists]
+
+    def run(self) -> tuple | None:
+        """The first text as a closed run: (counts, groups, links, times); None where its bytes differ."""
+        return None if self.differs[0] else (self.counts[0], self.groups[0].as_py(), self.links, self.times)
+
+
 class ByteLevel:
     """Token bytes of a byte-level vocabulary, in which every byte is written as a printable letter."""
 
@@ -60,8 +87,8 @@ class ByteLevel:
         for entry, i in self.model.get_vocab().items():
             self.bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+    def encode(self, spaced: str) -> list[int]:
+        return self.model.encode(spaced, add_special_tokens=False).ids
 
 
 class Pieces:
@@ -74,8 +101,30 @@ class Pieces:
                       for i in range(sp.get_piece_size())]
         self.blank = [sp.piece_to_id(MARK)]
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [ids if w else self.blank for w, ids in zip(words, self.model.encode(words, num_threads=1))]
+    def encode(self, spaced: str) -> list[int]:
+        return self.model.encode(spaced[1:], num_threads=1) if len(spaced) > 1 else self.blank
+
+
+def _grouped(texts: pa.Array, bounds: np.ndarray, sign: str) -> pa.Array:
+    """Texts joined by ``sign`` within consecutive runs."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), texts), pa.scalar(sign, texts.type))
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of consecutive runs, one behind the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
+def _summed(owner: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times summed by owner and pair, in that order."""
+    order = np.lexsort((pairs, owner))
+    owner, pairs, times = owner[order], pairs[order], times[order]
+    first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(pairs, prepend=-1) != 0))
+    return owner[first], pairs[first], np.add.reduceat(times, first) if len(first) else times
 
 
 class Aligner:
@@ -84,71 +133,78 @@ class Aligner:
     def __init__(self, specs: tuple[str, bytes]):
         self.a, self.b = ByteLevel(specs[0]), Pieces(specs[1])
         self.size_a, self.size_b = (np.array([len(t) for t in m.bytes], dtype=np.int64) for m in (self.a, self.b))
+        self.names = pa.array([str(i) for i in range(max(len(self.a.bytes), len(self.b.bytes)))], pa.large_string())
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.texts: list[str] = []
+        self.texts = pa.array([], pa.large_string())
         #: Columns: tokens of A, tokens of B, groups, links, where the links start, whether the bytes differ.
-        self.facts = np.zeros((1024, 6), dtype=np.int64)
-        self.links = np.zeros(8192, dtype=np.int64)
-        self.n_links = 0
-
-    def _spelled(self, words: list[str], ids: list[list[int]], model) -> list[bool]:
-        told = model.bytes
-        return [b"".join([told[i] for i in own]) == b" " + w.encode() for w, own in zip(words, ids)]
+        self.facts = np.zeros((0, 6), dtype=np.int64)
+        self.links = np.zeros(0, dtype=np.int64)
+
+    def _encoded(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Tokens of consecutive words and how many each word has, in blocks. Words are encoded as one text; where a block is not
+        given back byte for byte it is halved, and a word that is not given back by itself has no tokens."""
+        sizes = np.array([len(w.encode()) + 1 for w in words], dtype=np.int64)
+        spaced = " " + " ".join(words)
+        data, told, ends = spaced.encode(), [], np.cumsum(sizes)
+        for model, size in ((self.a, self.size_a), (self.b, self.size_b)):
+            ids = model.encode(spaced)
+            at = np.cumsum(size[ids]) if ids else np.zeros(0, dtype=np.int64)
+            cut = np.searchsorted(at, ends)
+            if b"".join([model.bytes[i] for i in ids]) != data or (at[cut] != ends).any():
+                if len(words) == 1:
+                    return [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(1, dtype=np.int64),) * 2]
+                half = len(words) // 2
+                return self._encoded(words[:half]) + self._encoded(words[half:])
+            told.append((np.array(ids, dtype=np.int64), np.diff(cut + 1, prepend=0)))
+        (a, n_a), (b, n_b) = told
+        return [(a, b, n_a, n_b)]
 
     def learn(self, words: list[str]) -> None:
         """Encode and align words not met before, all in one stream of bytes."""
-        ids_a, ids_b = self.a.encode(words), self.b.encode(words)
-        for k, (ok_a, ok_b) in enumerate(zip(self._spelled(words, ids_a, self.a), self._spelled(words, ids_b, self.b))):
-            if not (ok_a and ok_b):
-                ids_a[k] = ids_b[k] = []
-        n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+        alone = [w for w in words if not w or w[-1].isspace()]
+        words = [w for w in words if w and not w[-1].isspace()]
+        blocks = [x for w in alone for x in self._encoded([w])]
+        for i in range(0, len(words), BLOCK):
+            blocks += self._encoded(words[i:i + BLOCK])
+        a, b, n_a, n_b = (np.concatenate(x) for x in zip(*blocks))
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         cut_a, cut_b = (np.flatnonzero(np.isin(x, y, assume_unique=True)) + 1 for x, y in ((end_a, end_b), (end_b, end_a)))
         first = np.searchsorted(end_b, end_a - self.size_a[a], side="right")
-        last = np.searchsorted(end_b - self.size_b[b], end_a, side="left")
-        n = last - first
-        links = np.repeat(a, n) << 32
-        links |= b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-        bounds_a, bounds_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-        of_group = np.concatenate([[0], np.cumsum(np.diff(np.searchsorted(cut_a, bounds_a, side="right")))])
-        of_links = np.concatenate([[0], np.cumsum(n)])[bounds_a]
-        told_a, told_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [",".join(told_a[i:j]) + "|" + ",".join(told_b[k:m])
-                  for (i, j), (k, m) in zip(pairwise([0, *cut_a.tolist()]), pairwise([0, *cut_b.tolist()]))]
-        at, need = len(self.texts), len(self.texts) + len(words)
-        while len(self.facts) < need:
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        while len(self.links) < self.n_links + len(links):
-            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-        self.links[self.n_links:self.n_links + len(links)] = links
-        self.facts[at:need] = np.stack([n_a, n_b, np.diff(of_group), np.diff(of_links), self.n_links + of_links[:-1], n_a == 0], axis=1)
-        self.n_links += len(links)
-        self.texts += [";".join(groups[i:j]) for i, j in pairwise(of_group.tolist())]
-        self.known.update(zip(words, range(at, need)))
-
-    def prepare(self, lists: list[list[str]]) -> None:
-        """Make all words of these texts known."""
+        n = np.searchsorted(end_b - self.size_b[b], end_a, side="left") - first
+        links = (np.repeat(a, n) << 32) | b[_spread(first, n)]
+        bounds_a = _bounds(n_a)
+        of_group, of_links = np.searchsorted(cut_a, bounds_a, side="right"), _bounds(n)[bounds_a]
+        groups = pc.binary_join_element_wise(_grouped(self.names.take(pa.array(a)), np.concatenate([[0], cut_a]), ","),
+                                             _grouped(self.names.take(pa.array(b)), np.concatenate([[0], cut_b]), ","),
+                                             pa.scalar("|", pa.large_string()))
+        facts = np.stack([n_a, n_b, np.diff(of_group), np.diff(of_links), len(self.links) + of_links[:-1], n_a == 0], axis=1)
+        self.known.update(zip(alone + words, range(len(self.texts), len(self.texts) + len(n_a))))
+        self.texts = pa.concat_arrays([self.texts, _grouped(groups, of_group, ";")])
+        self.facts, self.links = np.concatenate([self.facts, facts]), np.concatenate([self.links, links])
+
+    def closed(self, lists: list[list[str]]) -> Closed:
+        """Whole words of several texts. A text of which a word's bytes differ has nothing."""
         if len(self.known) > MAX_WORDS:
             self._clear()
         new = {w for words in lists for w in words if w not in self.known}
         if new:
             self.learn(sorted(new))
-
-    def closed(self, words: list[str]) -> tuple | None:
-        """(counts, groups, links, times) of a run of prepared words; None where bytes differ."""
-        ids = np.array([self.known[w] for w in words], dtype=np.int64)
-        facts = self.facts[ids]
-        if facts[:, 5].any():
-            return None
-        met, times = np.unique(ids, return_counts=True)
-        n, start = self.facts[met, 3], self.facts[met, 4]
-        pairs = self.links[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)]
-        texts = self.texts
-        return facts[:, :4].sum(axis=0), ";".join([texts[i] for i in ids.tolist()]), *_summed(pairs, np.repeat(times, n))
+        known = self.known
+        ids = np.array([known[w] for words in lists for w in words], dtype=np.int64)
+        owner = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
+        differs = np.zeros(len(lists), dtype=bool)
+        differs[owner[self.facts[ids, 5] > 0]] = True
+        ids, owner = ids[~differs[owner]], owner[~differs[owner]]
+        counts = np.zeros((len(lists), 4), dtype=np.int64)
+        np.add.at(counts, owner, self.facts[ids, :4])
+        groups = _grouped(self.texts.take(pa.array(ids)), _bounds(np.bincount(owner, minlength=len(lists))), ";")
+        of, met, times = _summed(owner, ids, np.ones(len(ids), dtype=np.int64))
+        n = self.facts[met, 3]
+        links = self.links[_spread(self.facts[met, 4], n)]
+        return Closed(counts, groups, *_summed(np.repeat(of, n), links, np.repeat(times, n)), differs)
 
 
 _MADE: dict[int, Aligner] = {}
@@ -162,13 +218,6 @@ def _aligner(specs: tuple[str, bytes]) -> Aligner:
     return _MADE[name]
 
 
-def _summed(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(pairs, kind="stable")
-    pairs, times = pairs[order], times[order]
-    first = np.flatnonzero(np.diff(pairs, prepend=-1))
-    return pairs[first], np.add.reduceat(times, first) if len(first) else times
-
-
 _NOTHING = (np.zeros(4, dtype=np.int64), "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
 
@@ -177,11 +226,19 @@ def _joined(parts: list[tuple | None]) -> tuple | None:
     if any(p is None for p in parts):
         return None
     counts = np.sum([p[0] for p in parts], axis=0)
-    return counts, ";".join(p[1] for p in parts if p[1]), *_summed(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
+    return counts, ";".join(p[1] for p in parts if p[1]), *_summed(
+        np.zeros(sum(len(p[2]) for p in parts), dtype=np.int64), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))[1:]
+
+
+def fragment_of(text: str, first: bool, aligner: Aligner) -> tuple:
+    """(prefix, closed, suffix) of a range of a text; ``suffix`` is None where no word starts in it."""
+    runs = _BORDER.split(text)
+    prefix = "" if first else runs.pop(0)
+    return prefix, aligner.closed([[w[1:] for w in runs[:-1]]]).run(), runs[-1] if runs else None
 
 
 def compose(fragments: list[tuple], aligner: Aligner) -> tuple:
-    """One fragment (prefix, closed, suffix) of consecutive ones. ``suffix`` is None where no word starts in the range."""
+    """One fragment of consecutive ones."""
     prefix, runs, suffix = fragments[0][0], [fragments[0][1]], fragments[0][2]
     for before, closed, behind in fragments[1:]:
         if suffix is None:
@@ -190,36 +247,23 @@ def compose(fragments: list[tuple], aligner: Aligner) -> tuple:
         elif behind is None:
             suffix += before
         else:
-            words = words_of(suffix + before)
-            aligner.prepare([words])
-            runs += [aligner.closed(words), closed]
+            runs += [aligner.closed([words_of(suffix + before)]).run(), closed]
             suffix = behind
     return prefix, _joined(runs), suffix
 
 
-def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
-    flat = np.concatenate(values) if values else np.zeros(0, dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat, kind))
-
-
-def _told(results: list[tuple | None]) -> list[pa.Array]:
-    """The columns of ``_TOLD``; a text whose bytes differ tells the same as an empty one."""
-    results = [_NOTHING if r is None else r for r in results]
-    counts = np.array([r[0] for r in results], dtype=np.int64).reshape(len(results), 4)
-    return [*(pa.array(counts[:, k]) for k in range(4)), pa.array([r[1] for r in results], pa.string()),
-            _lists([r[2] >> 32 for r in results], pa.int32()), _lists([r[2] & 0xFFFFFFFF for r in results], pa.int32()),
-            _lists([r[3] for r in results], pa.int64())]
+def _told(run: tuple | None) -> list[pa.Array]:
+    """The columns of ``_TOLD`` of one text; one whose bytes differ tells the same as an empty one."""
+    counts, groups, links, times = run or _NOTHING
+    return Closed(counts.reshape(1, 4), pa.array([groups]), np.zeros(len(links), dtype=np.int64), links, times, np.zeros(1, dtype=bool)).columns()
 
 
 def _short(batches: Iterator[pa.RecordBatch], specs: tuple, step: int = 256) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, step):
-            batch, aligner = whole.slice(at, step), _aligner(specs)
-            lists = [words_of(" " + t) if t else [] for t in batch.column("_text").to_pylist()]
-            aligner.prepare(lists)
-            results = [aligner.closed(words) if words else None for words in lists]
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), *_told(results)], ["_key", *(n for n, _ in _TOLD)])
+            batch = whole.slice(at, step)
+            closed = _aligner(specs).closed([words_of(" " + t) if t else [] for t in batch.column("_text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), *closed.columns()], ["_key", *(n for n, _ in _TOLD)])
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -246,18 +290,13 @@ _FRAGMENT = [("_row", "bigint"), ("_at", "bigint"), ("_prefix", "string"), ("_su
 def _as_row(key: pa.Array, row: int, at: int, fragment: tuple) -> list[pa.Array]:
     prefix, closed, suffix = fragment
     return [key, pa.array([row], pa.int64()), pa.array([at], pa.int64()), pa.array([prefix], pa.string()), pa.array([suffix], pa.string()),
-            pa.array([closed is None]), *_told([closed])]
+            pa.array([closed is None]), *_told(closed)]
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], specs: tuple) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, row in enumerate(batch.drop_columns(["_key"]).to_pylist()):
-            aligner = _aligner(specs)
-            runs = _BORDER.split(row["_bytes"])
-            prefix = "" if row["_at"] == 0 else runs.pop(0)
-            words = [w[1:] for w in runs[:-1]]
-            aligner.prepare([words])
-            fragment = prefix, aligner.closed(words) if words else _NOTHING, runs[-1] if runs else None
+            fragment = fragment_of(row["_bytes"], row["_at"] == 0, _aligner(specs))
             yield pa.RecordBatch.from_arrays(_as_row(batch.column("_key").slice(k, 1), row["_row"], row["_at"], fragment),
                                              ["_key", *(n for n, _ in _FRAGMENT)])
 
@@ -283,7 +322,7 @@ def _ended(batches: Iterator[pa.RecordBatch], specs: tuple) -> Iterator[pa.Recor
     for batch in batches:
         for k, row in enumerate(batch.drop_columns(["_key"]).to_pylist()):
             _, closed, _ = compose([_read(row), ("", _NOTHING, "")], _aligner(specs))
-            yield pa.RecordBatch.from_arrays([batch.column("_key").slice(k, 1), *_told([closed])], ["_key", *(n for n, _ in _TOLD)])
+            yield pa.RecordBatch.from_arrays([batch.column("_key").slice(k, 1), *_told(closed)], ["_key", *(n for n, _ in _TOLD)])
 
 
 def _ddl(fields: list[tuple[str, str]]) -> str:

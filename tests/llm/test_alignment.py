@@ -122,11 +122,7 @@ def test_fragments_compose_associatively(specs):
     text = " " + "".join(rng.choice(["ab", " ", "the", " x", "é "]) for _ in range(80))
 
     def fragment(lo, hi):
-        runs = alignment._BORDER.split(text[lo:hi])
-        prefix = "" if lo == 0 else runs.pop(0)
-        words = [w[1:] for w in runs[:-1]]
-        aligner.prepare([words])
-        return prefix, aligner.closed(words) if words else alignment._NOTHING, runs[-1] if runs else None
+        return alignment.fragment_of(text[lo:hi], lo == 0, aligner)
 
     def told(f):
         return f[0], f[1][0].tolist(), f[1][1], f[1][2].tolist(), f[1][3].tolist(), f[2]
