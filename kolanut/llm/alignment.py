@@ -34,7 +34,7 @@ MAX_WORDS = 200_000
 #: New words that are encoded as one text.
 BLOCK = 512
 #: Link entries of one part, the unit in which documents ask for the counts of their links.
-PART_LINKS = 1 << 22
+PART_LINKS = 1 << 19
 MARK = "▁"
 _BORDER = re.compile(r"(?<=\S)(?= )")
 _UNEVEN = re.compile(r"\s ")
@@ -409,14 +409,14 @@ def supported(aligned: DataFrame) -> DataFrame:
     """The columns of ``aligned`` but its three arrays, with ``n_best`` (links whose pair is the most linked one of its B id in
     the whole frame, ties included) and ``count_sum`` (how often the pairs of its links are linked in the frame, summed over links).
 
-    Documents are packed into parts; a part asks once for each distinct pair it holds, so the pairs shuffled are those of parts, not of
+    The frame is written first, so that aligning and packing do not share a task's memory. Documents are packed into parts; a part asks once for each distinct pair it holds, so the pairs shuffled are those of parts, not of
     documents. Counts are taken over all rows. Columns named ``n_best`` or ``count_sum`` already are replaced.
     """
     kept = [c for c in aligned.columns if c not in ("link_a", "link_b", "link_n", "n_best", "count_sum")]
-    rows = aligned.select(F.struct(*kept).alias("_row"), "link_a", "link_b", "link_n")
+    rows = as_table(aligned.select(F.struct(*kept).alias("_row"), "link_a", "link_b", "link_n"), "aligned")
     row_type = rows.schema["_row"].dataType.simpleString()
     parts = as_table(rows.mapInArrow(_packed, f"part bigint, pairs array<bigint>, total array<bigint>, rows array<{row_type}>, "
-                                     "sizes array<int>, number array<int>, times array<bigint>"), "alignment")
+                                     "sizes array<int>, number array<int>, times array<bigint>"), "parts")
     asked = parts.select("part", F.explode(F.arrays_zip("pairs", "total")).alias("_ask")).select("part", "_ask.pairs", "_ask.total")
     counted = written(asked.groupBy("pairs").agg(F.sum("total").alias("n")))
     b = F.col("pairs").bitwiseAND(0xFFFFFFFF)
