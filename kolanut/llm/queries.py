@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kolanut.llm import alignment, decontamination, jaccard, language, manifest, mixing, nearest, quotes, sharding, substrings, token_counts, toxicity
+from kolanut.llm import alignment, decontamination, extraction, jaccard, language, manifest, mixing, nearest, quotes, sharding, substrings, token_counts, toxicity
 
 TOKENIZER, BYTE_TOKENIZER = "piece_bpe_32k.model", "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
@@ -89,6 +89,13 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.supported(aligned.withColumn("groups_sha256", digest).drop("groups"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    out = extraction.extract(pages, extraction.train(pages))
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document; a fifth of them are tampered with before their proof is folded."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -102,7 +109,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-_QUERIES = (op1_token_counts, op2_nearest, op3_mixing, op4_substring_dedup, op5_sharding, op6_quotation_links, op7_jaccard_join, op8_decontamination, op9_toxicity, op10_language_id, op11_tokenizer_alignment, op13_merkle_manifest)
+_QUERIES = (op1_token_counts, op2_nearest, op3_mixing, op4_substring_dedup, op5_sharding, op6_quotation_links, op7_jaccard_join, op8_decontamination, op9_toxicity, op10_language_id, op11_tokenizer_alignment, op12_html_extraction, op13_merkle_manifest)
 QUERIES = {f.__name__: f for f in _QUERIES}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
