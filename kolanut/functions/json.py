@@ -68,10 +68,40 @@ def json_literals(text: Column) -> Column:
             array_distinct(transform(r, x -> x.k)), k -> element_at(filter(r, x -> x.k = k), -1).v))))""")
 
 
+# JSON text cut into strings, numbers that the parser wrote with an exponent, and everything between
+_TOKENS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9.]+E[+-]?[0-9]+|[^"0-9-]+|.'
+_EXPONENT = "^-?[0-9.]+E[+-]?[0-9]+$"
+# a number by its significant digits and its exponent: plain from 1e-4 up to 1e16, else with a signed exponent of two digits or more
+_PLAIN_FROM, _PLAIN_TO = -4, 16
+_NUMBER = f"""get(transform(array(named_struct(
+    'sign', IF(startswith(p, '-'), '-', ''), 'd', trim(TRAILING '0' FROM translate(regexp_extract(p, '([0-9.]+)E', 1), '.', '')),
+    'e', CAST(regexp_extract(p, 'E([+-]?[0-9]+)$', 1) AS INT))), n -> concat(n.sign, CASE
+        WHEN n.e >= {_PLAIN_TO} OR n.e < {_PLAIN_FROM} THEN concat(left(n.d, 1), IF(length(n.d) > 1, concat('.', substring(n.d, 2)), ''), 'e',
+            IF(n.e < 0, '-', '+'), IF(abs(n.e) < 10, '0', ''), CAST(abs(n.e) AS STRING))
+        WHEN n.e < 0 THEN concat('0.', repeat('0', -n.e - 1), n.d)
+        WHEN length(n.d) <= n.e + 1 THEN concat(rpad(n.d, n.e + 1, '0'), '.0')
+        ELSE concat(left(n.d, n.e + 1), '.', substring(n.d, n.e + 2)) END)), 0)"""
+
+
+def _lower_escapes(string: str) -> str:
+    """A control character's escape has its one hexadecimal letter in lower case."""
+    for letter in "ABCDEF":
+        string = "regexp_replace(" + string + r", r'(?<!\\)((?:\\\\)*)\\u00([01])" + letter + r"', r'$1\\u00$2" + letter.lower() + "')"
+    return string
+
+
+def as_written(text: Column) -> Column:
+    """JSON text whose numbers and escapes are in their usual shortest form; the parser writes 1.0E-5 for 1e-05."""
+    spelled = rf"""CASE WHEN p RLIKE r'{_EXPONENT}' THEN {_NUMBER}
+        WHEN startswith(p, '"') AND contains(p, r'\u00') THEN {_lower_escapes('p')} ELSE p END"""
+    return let(text, rf"""s -> CASE WHEN s RLIKE r'[0-9]E[+-]?[0-9]|\\u00[01][A-F]'
+        THEN array_join(transform(regexp_extract_all(s, r'{_TOKENS}', 0), p -> {spelled}), '') ELSE s END""")
+
+
 def render_object(literals: Column) -> Column:
     """MAP key -> literal back into compact JSON text."""
-    return let(literals, f"""m -> concat('{{', array_join(transform(map_entries(m),
-        e -> concat({_QUOTED.format('e.key')}, ':', e.value)), ','), '}}')""")
+    return as_written(let(literals, f"""m -> concat('{{', array_join(transform(map_entries(m),
+        e -> concat({_QUOTED.format('e.key')}, ':', e.value)), ','), '}}')"""))
 
 
 def compact_json(text: Column) -> Column:

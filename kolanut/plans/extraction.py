@@ -45,8 +45,14 @@ def first_json_events(spark, sf):
                     F.col("o")["arguments"].alias("arguments"), F.col("o")["rate"].alias("rate"))
 
 
+# numbers on both sides of the exponent's borders, and a control character, as a model may write them
+_FORMS = ("1.50,\"small\":' || (event_id + 1) || 'e-07,\"large\":' || (event_id + 1) || 'E+13,\"exact\":[' || event_id || "
+          "'00.125],\"end\":\"1.0E-5' || chr(92) || 'u001F\",")
+_WRITTEN = _TEXT.replace("1.50,", _FORMS)
+
+
 def compact_json_events(spark, sf):
-    e = texts(spark, sf, "events", "event_id").select("event_id", F.expr(_TEXT).alias("text"))
+    e = texts(spark, sf, "events", "event_id").select("event_id", F.expr(_WRITTEN).alias("text"))
     return e.select("event_id", compact_json(F.split("text", "<reserved_5>", 2)[0]).alias("body"))
 
 
@@ -64,9 +70,14 @@ QUERIES = {
     "none_words": none_words,
 }
 
-_BODY = f"string_split({_TEXT}, '<reserved_5>')[1]"
-_OBJ = f"(SELECT event_id, CASE WHEN strpos(s, '{{') > 0 THEN substr(s, strpos(s, '{{')) END AS j FROM (SELECT event_id, {_BODY} AS s FROM events))"
-_VALID = f"(SELECT event_id, CASE WHEN json_valid(j) THEN j END AS j FROM {_OBJ})"
+def _valid_sql(text: str) -> str:
+    body = f"(SELECT event_id, string_split({text}, '<reserved_5>')[1] AS s FROM events)"
+    return f"""(SELECT event_id, CASE WHEN json_valid(j) THEN j END AS j FROM
+        (SELECT event_id, CASE WHEN strpos(s, '{{') > 0 THEN substr(s, strpos(s, '{{')) END AS j FROM {body}))"""
+
+
+_VALID = _valid_sql(_TEXT)
+_shortest = lambda number: f"CAST(CAST({number} AS DOUBLE) AS VARCHAR)"
 ORACLE = {
     "block_parse": f"WITH {records_sql(('toolcall_api', 'tooldisambig'))}, {blocks_sql()} SELECT * FROM blk",
     "video_block_parse": f"WITH {records_sql(('tooldisambig',))}, {blocks_sql(labels=('USER', 'CALL', 'RESULT', 'ANSWER'))} SELECT * FROM blk",
@@ -77,7 +88,9 @@ ORACLE = {
         CASE WHEN j IS NOT NULL THEN '1.5' END AS rate FROM {_VALID}""",
     "compact_json": f"""SELECT event_id, CASE WHEN j IS NOT NULL THEN '{{"name":"' || (j->>'$.name') || '","arguments":'
         || CAST(json(CAST(json_extract(j, '$.arguments') AS VARCHAR)) AS VARCHAR)
-        || ',"note":null,"rate":1.5,"tags":[1,"a"]}}' END AS body FROM {_VALID}""",
+        || ',"note":null,"rate":1.5,"small":' || {_shortest("j->>'$.small'")} || ',"large":' || {_shortest("j->>'$.large'")}
+        || ',"exact":[' || {_shortest("j->>'$.exact[0]'")} || '],"end":"' || (chr(49) || '.0E-5') || chr(92) || 'u001f'
+        || '","tags":[1,"a"]}}' END AS body FROM {_valid_sql(_WRITTEN)}""",
     "none_words": """SELECT event_type, count(*) FILTER (event_type <> 'purchase') AS wide,
         count(*) FILTER (event_type IN ('click', 'error', 'signup')) AS narrow FROM events GROUP BY event_type""",
 }

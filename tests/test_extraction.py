@@ -1,5 +1,6 @@
 """Planted cases for the text and JSON expressions."""
 
+import json
 import re
 
 import pytest
@@ -60,6 +61,15 @@ def test_first_json_stops_at_a_marker(spark):
     assert got == [{"a": "1"}, None, None, {"a": "1"}]
 
 
+def test_compact_json_writes_numbers_and_escapes_in_their_usual_form(spark):
+    texts = ['{"a":1e-05}', '{"a":1E+22,"b":1e16}', '{"a":123456789.125,"b":-0.00001234}', '{"a":"\\u001f \\u000B x \\\\u001F 1.0E-5"}',
+             '{"a":[1e-05,{"b":1e16,"c":"1.0E22"}],"d":12345678.0}', '{"a":1e15,"b":9.999e-5,"c":0.0001,"d":1e100,"e":-1e-10,"f":1e8}',
+             '{"k\\u001F":1,"x":"E5","y":"\\u00e9\\"q"}', '{"n":1.50,"m":1e2,"o":10000000.5,"z":12345678901234567890}',
+             '{"a":"' + "x\\n" * 20_000 + '","b":1e-7}']
+    want = [json.dumps(json.loads(x), separators=(",", ":"), ensure_ascii=False) for x in texts]
+    assert many(spark, texts, compact_json) == want
+
+
 def test_compact_json_keeps_literals_and_order(spark):
     texts = ['{ "b" : 1.0, "a": "5", "c": 5, "d": null, "e": [1, "x"], "f": {"k": true} , "g":1e5}',
              '{"a":"q\\"uo\\nte","é":"ñ"}', '{"a":1,"b":2,"a":3}', '{"a":NaN}', "nothing", '{"n":{"x":1,"x":2},"s":"t"}']
