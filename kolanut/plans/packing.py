@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kolanut import tables as t
 from kolanut.functions.draws import draw
-from kolanut.operators import packing, sampling
+from kolanut.operators import merges, packing, sampling
 from kolanut.operators.aggregates import corpus_stats
 from kolanut.operators.frames import running_total
 from kolanut.operators.rendering import render, renderable
@@ -82,6 +82,19 @@ def encode_mask(spark, sf):
     return coded.select("example_id", "n_tokens", "n_trained", joined("ids").alias("ids"), joined("mask").alias("mask"))
 
 
+# a lexicon whose words are merged from their left ends: the tokens of the query, which no data decides
+LEXICON = (" the and ing tion er en ed on in of to is that  de  la  que  el  los  und  der  die  das  ein  le  les  des  une"
+           " ción  está ñ über für ß é è à ou an or re ti st nd th he at es as ar").replace("  ", " _").split()
+MERGES = merges.chained(w.replace("_", " ") for w in LEXICON)
+
+
+def encode_merges(spark, sf):
+    """Sub-word ids of every message of every conversation."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.array(F.struct("text", (F.col("role") == "assistant").alias("train"))).alias("segments"))
+    coded = packing.with_counts(merges.encode_merges(said, merges.merge_vocab(spark, MERGES), ["conv_id", "turn"]))
+    return coded.select("conv_id", "turn", "n_tokens", "n_trained", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids"))
+
+
 def _sized(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.length("source").alias("n_trained"))
     return packing.assign_shards(docs, "n_chars", "doc_id", CAP)
@@ -123,7 +136,7 @@ def quality_gate_row(spark, sf):
 QUERIES = {
     "holdout_split": holdout_split, "shuffle_positions": shuffle_positions, "shuffle_first": shuffle_first,
     "cap_per_group": cap_per_group, "stratified_sample": stratified_sample, "upsample": upsample, "mixture": mixture,
-    "build_vocab": build_vocab, "encode_mask": encode_mask, "pack_shards": pack_shards, "shard_manifest": shard_manifest,
+    "build_vocab": build_vocab, "encode_mask": encode_mask, "encode_merges": encode_merges, "pack_shards": pack_shards, "shard_manifest": shard_manifest,
     "corpus_stats": corpus_statistics, "quality_gate": quality_gate_row,
 }
 
@@ -156,6 +169,9 @@ cnt AS (SELECT id, sum(len(regexp_extract_all(substr(part, 2), '{_RX}'))) + 1 AS
   coalesce(sum(len(regexp_extract_all(substr(part, 2), '{_RX}'))) FILTER (left(part, 1) = '1'), 0) + 1 AS n_trained FROM seg GROUP BY id),
 st AS (SELECT count(*) AS examples, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_trained) AS BIGINT) AS trained,
   round(CAST(sum(n_trained) AS DOUBLE) / sum(n_tokens), 4) AS response_frac FROM cnt)""")
+_HEX = [(a.hex().upper(), b.hex().upper()) for a, b in MERGES]
+_MERGE_LIST = ", ".join(f"'{a}|{b}'" for a, b in _HEX)
+_MERGED_LIST = ", ".join(f"'{a}{b}'" for a, b in _HEX)
 ORACLE = {
     "holdout_split": f"""WITH x AS (SELECT doc_id, 't6-sd-' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS id FROM documents),
         r AS (SELECT *, row_number() OVER (ORDER BY {d('id', "'holdout'")}, id) AS rn FROM x)
@@ -183,6 +199,17 @@ ORACLE = {
         SELECT id AS example_id, CAST(count(*) + 1 AS INTEGER) AS n_tokens, CAST(count(*) FILTER (m = '1') + 1 AS INTEGER) AS n_trained,
         md5(string_agg(CAST(pid AS VARCHAR), ' ' ORDER BY si, pi, bi) || ' {t.EOS_ID}') AS ids,
         md5(string_agg(m, ' ' ORDER BY si, pi, bi) || ' 1') AS mask FROM c GROUP BY id""",
+    "encode_merges": f"""WITH ws AS (SELECT conv_id, turn, role, regexp_extract_all(text, '{merges.WORDS}') AS ws FROM conversations),
+        one AS (SELECT conv_id, turn, role, generate_subscripts(ws, 1) AS wi, unnest(ws) AS word FROM ws),
+        dw AS (SELECT word, regexp_replace(hex(encode(word)), '(..)', chr(2) || '\\1' || chr(3), 'g') AS s FROM (SELECT DISTINCT word FROM one)),
+        mg AS (SELECT word, list_reduce([s] || [{_MERGE_LIST}], lambda acc, m: replace(acc, chr(2) || split_part(m, '|', 1) || chr(3) || chr(2)
+          || split_part(m, '|', 2) || chr(3), chr(2) || replace(m, '|', '') || chr(3))) AS s FROM dw),
+        ids AS (SELECT word, list_transform(string_split(s[2:-2], chr(3) || chr(2)), lambda p: CASE WHEN length(p) = 2
+          THEN CAST('0x' || p AS BIGINT) + {packing.BYTE_ID} ELSE list_position([{_MERGED_LIST}], p) + {packing.FIRST_ID - 1} END) AS ids FROM mg),
+        cat AS (SELECT conv_id, turn, role, flatten(list(ids ORDER BY wi)) AS ids FROM one JOIN ids USING (word) GROUP BY ALL),
+        al AS (SELECT c.conv_id, c.turn, c.role, coalesce(cat.ids, []) AS ids FROM conversations c LEFT JOIN cat USING (conv_id, turn))
+        SELECT conv_id, turn, CAST(len(ids) + 1 AS INTEGER) AS n_tokens, CAST(CASE role WHEN 'assistant' THEN len(ids) ELSE 0 END + 1 AS INTEGER) AS n_trained,
+        md5(array_to_string(ids || [{t.EOS_ID}], ' ')) AS ids FROM al""",
     "pack_shards": f"SELECT doc_id, shard_id FROM ({_PLACED})",
     "shard_manifest": f"""SELECT shard_id, count(*) AS examples, CAST(sum(n_chars) AS BIGINT) AS n_tokens,
         CAST(sum(n_trained) AS BIGINT) AS n_trained FROM ({_PLACED}) GROUP BY 1""",

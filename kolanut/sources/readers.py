@@ -6,6 +6,7 @@ by ``_pos``, files by name, and the given paths by their position in the list.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kolanut import schemas
 from kolanut.operators.frames import union_all
+from kolanut.operators.merges import TOKENS
 
 
 def _placed(df: DataFrame, wave: int = 0) -> DataFrame:
@@ -119,3 +121,26 @@ def read_grammar(spark: SparkSession, path: str) -> DataFrame:
     terms = df.select(F.explode("vocab").alias("grp", "m")).select("grp", F.explode("m").alias("term", "n"))
     pairs = df.select(F.lit("pair").alias("grp"), F.explode("pairs").alias("term", "n"))
     return terms.unionByName(pairs)
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in byte-level vocabularies, by letter."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """A byte-level tokenizer file (JSON) as the token table that ``merges.encode_merges`` reads.
+
+    The file is one document of a few megabytes, read through Spark from wherever it lies. Added tokens are markers.
+    """
+    spec = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    letters = _byte_letters()
+    as_bytes = lambda entry: bytes(letters[c] for c in entry)
+    markers = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    made = {a + b: (rank, as_bytes(a), as_bytes(b)) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+    rows = [(i, entry.encode(), None, None, None, True) for entry, i in markers.items()]
+    rows += [(i, as_bytes(entry), *made.get(entry, (None, None, None)), False) for entry, i in spec["model"]["vocab"].items() if entry not in markers]
+    return spark.createDataFrame(rows, TOKENS)
