@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,18 @@ def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
     return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_keep")).drop("_keep")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A frame that is read several times, computed once: a reliable checkpoint where the cluster names a folder for them in
+    ``spark.checkpoint.dir``, else kept in memory and on disk with its lineage."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and spark.sparkContext.getCheckpointDir() is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def position_chunk(order: Column, rows: int = CHUNK) -> Column:
     """A coarser, still ordered version of an integer position."""
     return F.floor(order / F.lit(rows))

@@ -157,7 +157,11 @@ _MARKED = ", ".join(f"('{m}', {packing.MARKER_ID + i})" for i, m in enumerate(pa
 _VOCAB = (f"SELECT piece, row_number() OVER (ORDER BY n DESC, piece) + {packing.FIRST_ID - 1} AS id FROM "
           f"(SELECT piece, count(*) AS n FROM tok WHERE piece NOT IN (SELECT piece FROM (VALUES {_MARKED}) AS m(piece, id)) "
           f"GROUP BY 1 ORDER BY n DESC, piece LIMIT {VOCAB - packing.FIRST_ID}) UNION ALL SELECT * FROM (VALUES {_MARKED}) AS m(piece, id)")
-_PLACED = f"""SELECT doc_id, n_chars, length(source) AS n_trained, CAST((sum(n_chars) OVER (ORDER BY {d('doc_id', "'shuffle'", 18)}, doc_id) - n_chars) // {CAP} AS BIGINT) AS shard_id FROM documents"""
+_PLACED = f"""WITH RECURSIVE p AS (SELECT doc_id, n_chars, length(source) AS n_trained,
+      CAST(sum(coalesce(n_chars, 0)) OVER (ORDER BY {d('doc_id', "'shuffle'", 18)}, doc_id) AS BIGINT) AS e FROM documents),
+    cuts(z) AS (SELECT CAST(0 AS BIGINT) UNION ALL SELECT min(p.e) FROM cuts, p WHERE p.e >= cuts.z + {CAP} HAVING min(p.e) IS NOT NULL),
+    c AS (SELECT list(z) AS ends FROM cuts WHERE z > 0)
+    SELECT doc_id, n_chars, n_trained, CAST(len(list_filter(coalesce(ends, []), lambda x: x <= e - coalesce(n_chars, 0))) AS BIGINT) AS shard_id FROM p, c"""
 _MIXED = lambda name: (f"CAST('0x' || substr(md5('18:{name}:' || CAST(id AS VARCHAR) || ':mix'), 1, 8) AS BIGINT) < "
                        f"least(1.0, CAST(b AS DOUBLE) * {t.MIX_WEIGHTS[name]} / 100 / have) * 4294967296")
 _COUNTED = """cnt AS (SELECT id, count(*) + 1 AS n_tokens, count(*) FILTER (m = '1') + 1 AS n_trained FROM tok GROUP BY id)"""

@@ -164,10 +164,12 @@ def test_shards(spark, tmp_path):
     df = spark.range(500).select("id", ((F.col("id") * 37) % 50 + 1).cast("int").alias("n"))
     for parts in (1, 64):
         got = {r["id"]: r["shard_id"] for r in packing.assign_shards(df.repartition(parts), "n", "id", 1000).collect()}
-        total, want = 0, {}
+        held, shard, want = 0, 0, {}
         for i in sorted(range(500), key=lambda i: (h(18, i, "shuffle"), i)):
-            want[i] = total // 1000
-            total += i * 37 % 50 + 1
+            want[i] = shard
+            held += i * 37 % 50 + 1
+            if held >= 1000:
+                held, shard = 0, shard + 1
         assert got == want
     coded = spark.range(300).select(F.col("id").alias("example_id"), F.array_repeat(F.lit(7), 9).alias("ids"),
                                     F.array_repeat(F.lit(1).cast("tinyint"), 9).alias("mask"))
