@@ -13,6 +13,7 @@ from kolanut.operators.scoring import quality_gate
 from kolanut.plans.base import blocks_sql, records, records_sql, table, texts
 from kolanut.plans.rendering import _FLAT, _flat_sql
 from kolanut.plans.seeding import SEED, d
+from kolanut.sources import binary
 
 KINDS = ("toolcall_api", "toolpatch", "toolrefuse", "tooldisambig")
 VOCAB = 900
@@ -109,6 +110,11 @@ def shard_manifest(spark, sf):
     return packing.manifest(_sized(spark, sf), "n_chars", "n_trained")
 
 
+def shard_index(spark, sf):
+    """The index rows of the packed shards as flat files."""
+    return binary.index_rows(_sized(spark, sf).withColumnRenamed("n_chars", "n_tokens"))
+
+
 def _trained(spark, sf):
     r = renderable(render(records(spark, sf)))
     return packing.drop_untrained(packing.with_pieces(r.select(F.col("id").alias("example_id"), "segments")))
@@ -136,7 +142,7 @@ def quality_gate_row(spark, sf):
 QUERIES = {
     "holdout_split": holdout_split, "shuffle_positions": shuffle_positions, "shuffle_first": shuffle_first,
     "cap_per_group": cap_per_group, "stratified_sample": stratified_sample, "upsample": upsample, "mixture": mixture,
-    "build_vocab": build_vocab, "encode_mask": encode_mask, "encode_merges": encode_merges, "pack_shards": pack_shards, "shard_manifest": shard_manifest,
+    "build_vocab": build_vocab, "encode_mask": encode_mask, "encode_merges": encode_merges, "pack_shards": pack_shards, "shard_manifest": shard_manifest, "shard_index": shard_index,
     "corpus_stats": corpus_statistics, "quality_gate": quality_gate_row,
 }
 
@@ -217,6 +223,9 @@ ORACLE = {
     "pack_shards": f"SELECT doc_id, shard_id FROM ({_PLACED})",
     "shard_manifest": f"""SELECT shard_id, count(*) AS examples, CAST(sum(n_chars) AS BIGINT) AS n_tokens,
         CAST(sum(n_trained) AS BIGINT) AS n_trained FROM ({_PLACED}) GROUP BY 1""",
+    "shard_index": f"""SELECT shard_id, format('shard_{{:05d}}.bin', shard_id) AS file, format('mask_{{:05d}}.bin', shard_id) AS mask, count(*) AS examples,
+        CAST(sum(n_chars) AS BIGINT) AS n_tokens, CAST(sum(n_trained) AS BIGINT) AS n_trained,
+        round(CAST(sum(n_trained) AS DOUBLE) / greatest(sum(n_chars), 1), 4) AS response_frac FROM ({_PLACED}) GROUP BY 1""",
     "corpus_stats": f"{_ALL_TOK} SELECT * FROM st",
     "quality_gate": f"{_ALL_TOK}, tok AS (SELECT unnest(regexp_extract_all(substr(part, 2), '{_RX}')) AS piece FROM seg), vocab AS ({_VOCAB}) "
         f"SELECT (SELECT max(id) + 1 = {VOCAB} FROM vocab) AS vocab_ok, true AS eos_ok, response_frac > 0.05 AND response_frac < 0.60 AS response_frac_ok FROM st",
