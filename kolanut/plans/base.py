@@ -1,8 +1,9 @@
 """Tool-call records derived from the given tables, as Spark frames and as SQL for the check.
 
-The tables hold no tool calls, so each record is put together from a user turn, the assistant turn
-after it and one event; every eleventh of them carries a planted fault per rule. ``SOURCE`` is plain
-SQL that both engines read alike, so both sides start from the same rows.
+The tables hold no tool calls, so each event makes a record, put together with a user turn and the assistant
+turn after it; a turn that nobody answered leaves the reply empty, and every eleventh event
+carries a planted fault per rule. The texts are plain SQL that both engines read alike, so both sides start
+from the same rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kolanut.operators.frames import position_chunk, running_total
+
 MENU_SPARK = (
     "array(named_struct('name', event_type, 'description', 'Record the event', 'arguments', map('k', 'number')), "
     "named_struct('name', concat(event_type, '_note'), 'description', 'Add a note', "
@@ -79,24 +82,26 @@ ASK = (f"CASE {_F} WHEN 0 THEN '' WHEN 1 THEN 'ASK: Which one? This one?' || {_N
        f"WHEN 2 THEN 'ASK: Tell me.' || {_NL} ELSE 'ASK: Which ' || event_type || '?' || {_NL} END")
 
 _USER = f"'USER: ' || utext || {_NL} || "
+_REPLY = "coalesce(atext, '')"
 OUTPUTS = {
-    "toolcall_api": f"{_USER}'CALL: ' || {_CUT} || {_RESULT} || CASE WHEN {_F} = 0 THEN '' ELSE {_NL} || 'ANSWER: ' || atext END",
-    "toolact": f"{_USER}'CALL: ' || {_CUT} || {_RESULT} || CASE WHEN {_F} = 0 THEN '' ELSE {_NL} || 'ANSWER: ' || atext END"
+    "toolcall_api": f"{_USER}'CALL: ' || {_CUT} || {_RESULT} || CASE WHEN {_F} = 0 THEN '' ELSE {_NL} || 'ANSWER: ' || {_REPLY} END",
+    "toolact": f"{_USER}'CALL: ' || {_CUT} || {_RESULT} || CASE WHEN {_F} = 0 THEN '' ELSE {_NL} || 'ANSWER: ' || {_REPLY} END"
                f" || CASE WHEN {_F} = 6 THEN {_NL} || 'Anything else?' ELSE '' END",
-    "seedance": f"{_USER}'CALL: ' || {VIDEO_CALL} || {_NL} || 'ANSWER: ' || atext",
-    "toolpatch": f"{_USER}'PATCH: ' || {PATCH} || {_NL} || 'ANSWER: ' || atext",
-    "toolrefuse": f"{_USER}'DECISION: ' || {DECISION} || CASE WHEN {_F} = 2 THEN '' ELSE {_NL} || 'ANSWER: ' || atext END",
-    "tooldisambig": f"{_USER}{ASK} || 'USER2: ' || atext || {_NL} || 'CALL: ' || "
+    "seedance": f"{_USER}'CALL: ' || {VIDEO_CALL} || {_NL} || 'ANSWER: ' || {_REPLY}",
+    "toolpatch": f"{_USER}'PATCH: ' || {PATCH} || {_NL} || 'ANSWER: ' || {_REPLY}",
+    "toolrefuse": f"{_USER}'DECISION: ' || {DECISION} || CASE WHEN {_F} = 2 THEN '' ELSE {_NL} || 'ANSWER: ' || {_REPLY} END",
+    "tooldisambig": f"{_USER}{ASK} || 'USER2: ' || {_REPLY} || {_NL} || 'CALL: ' || "
                     f"CASE WHEN {_F} = 4 THEN '{{\"name\":\"\"}}' ELSE {_CALL} END",
     "toolsession": (
         f"CASE WHEN {_F} = 4 THEN 'T3_USER: late' || {_NL} || 'T3_ACT: none' || {_NL} || 'T3_ANSWER: last' || {_NL} ELSE '' END || "
         f"'T1_USER: ' || utext || {_NL} || 'T1_ACT: ' || CASE {_F} WHEN 2 THEN 'NONE' WHEN 6 THEN 'N/A' ELSE {_CALL} END || {_NL} || "
-        f"'T1_RESULT: {{\"status\": \"ok\"}}' || CASE WHEN {_F} = 1 THEN '' ELSE {_NL} || 'T1_ANSWER: ' || atext END || {_NL} || "
+        f"'T1_RESULT: {{\"status\": \"ok\"}}' || CASE WHEN {_F} = 1 THEN '' ELSE {_NL} || 'T1_ANSWER: ' || {_REPLY} END || {_NL} || "
         f"'T2_USER: and then' || {_NL} || 'T2_ACT: ' || CASE WHEN {_F} = 3 THEN {_CALL} ELSE 'NONE' END || {_NL} || "
         f"'T2_ANSWER: done ' || event_type || {_NL} || CASE WHEN {_F} = 5 THEN 'T2_USER: again' || {_NL} ELSE '' END || "
         f"CASE WHEN {_F} IN (0, 4) THEN '' ELSE 'T3_USER: thanks' || {_NL} || 'T3_ACT: ' || {_CALL} || {_NL} || "
-        f"'T3_RESULT: none' || {_NL} || 'T3_ANSWER: ' || atext END"),
+        f"'T3_RESULT: none' || {_NL} || 'T3_ANSWER: ' || {_REPLY} END"),
 }
+UNKNOWN = "toolchat"  # a type that no rule covers
 TARGETS = {
     "toolcall_api": f"CASE WHEN {_F} = 2 THEN event_type || '_x' WHEN {_F} = 5 THEN NULL ELSE event_type END",
     "toolact": f"CASE WHEN {_F} = 2 THEN event_type || '_x' ELSE event_type END",
@@ -116,32 +121,43 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn with the assistant turn after it and one event.
+    """Every event with a user turn, and the assistant turn after it where there is one.
 
-    The join keys hold the turn, so one long conversation spreads over all tasks.
+    An event's number picks the conversation, and within it the user turns in order, over and over. The last join goes by
+    conversation and turn, so one long conversation spreads over all tasks, and an event without a turn stays with an empty text.
     """
     c = table(spark, sf_dir, "conversations")
-    u = texts(spark, sf_dir, "conversations", "conv_id", "turn").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("utext"))
-    a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("atext"))
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props", "value", "user_id")
-    return (u.join(a, ["conv_id", "turn"])
-            .withColumn("event_id", F.col("conv_id") * 16 + F.col("turn")).join(e, "event_id"))
+    asked = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("utext"))
+    said = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("atext"))
+    numbered = running_total(asked, ["conv_id"], ["turn"], F.lit(1), position_chunk(F.col("turn")), "nth")
+    turns = numbered.join(said, ["conv_id", "turn"], "left")
+    convs = (c.agg(F.max("conv_id")).first()[0] or 0) + 1
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props", "value", "user_id",
+                                              (F.col("event_id") % convs).alias("conv_id"), F.expr(f"event_id div {convs}").alias("_lap"))
+    sizes = asked.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"))
+    e = e.join(sizes, "conv_id", "left").withColumn("nth", F.col("_lap") % F.col("_n")).drop("_lap", "_n")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, as small rows that are heavy to work on would be put together
+    return (e.repartition(spread, "conv_id", "nth").join(turns, ["conv_id", "nth"], "left").drop("nth")
+            .withColumns({"turn": F.coalesce("turn", F.lit(0)), "utext": F.coalesce("utext", F.lit(""))}))
 
 
 PAIRS_SQL = """
+asked AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth,
+  count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'user'),
+placed AS (SELECT e.*, event_id % c.convs AS conv_id, event_id // c.convs AS lap
+  FROM events e CROSS JOIN (SELECT max(conv_id) + 1 AS convs FROM conversations) c),
 pairs AS (
-  SELECT u.conv_id, u.turn, u.text AS utext, a.text AS atext, e.event_id, e.event_type, e.props, e.value, e.user_id
-  FROM conversations u
-  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-  JOIN events e ON e.event_id = u.conv_id * 16 + u.turn
-  WHERE u.role = 'user')"""
+  SELECT e.conv_id, coalesce(u.turn, 0) AS turn, coalesce(u.text, '') AS utext, a.text AS atext,
+    e.event_id, e.event_type, e.props, e.value, e.user_id
+  FROM placed e LEFT JOIN asked u ON u.conv_id = e.conv_id AND u.nth = e.lap % u.n
+  LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant')"""
 
 
 def _record(kind: str) -> str:
     """One record of a type from a pair, with its menu, as a SQL struct."""
     menu = VIDEO_MENU_SPARK if kind == "seedance" else MENU_SPARK
     current = CURRENT if kind == "toolpatch" else "CAST(NULL AS STRING)"
-    return _spark(f"""named_struct('id', '{kind}-' || event_id, 'type', '{kind}', 'lang', {LANG}, 'output', {OUTPUTS[kind]},
+    return _spark(f"""named_struct('id', '{kind}-' || event_id, 'type', '{kind}', 'lang', {LANG}, 'output', {OUTPUTS.get(kind, OUTPUTS['toolcall_api'])},
         'input', named_struct('target', {TARGETS.get(kind, 'CAST(NULL AS STRING)')}, 'current', {current}, 'brief', {BRIEF}, 'shots', {SHOTS}),
         'menu', {menu})""")
 
@@ -152,20 +168,24 @@ def _spark(sql: str) -> str:
 
 
 def records(spark: SparkSession, sf_dir: str, kinds=tuple(OUTPUTS)) -> DataFrame:
-    """A record of each type per pair: one scan and one join, then one row per type."""
-    return pairs(spark, sf_dir).select(F.expr(f"explode(array({', '.join(map(_record, kinds))}))").alias("r")).select("r.*")
+    """A record per event, of the type that its number picks among ``kinds``."""
+    made = " ".join(f"WHEN {i} THEN {_record(k)}" for i, k in enumerate(kinds))
+    one = f"CASE event_id div 11 % {len(kinds)} {made} END"
+    return pairs(spark, sf_dir).select(F.expr(f"explode(array({one}))").alias("r")).select("r.*")
 
 
-def records_sql(kinds=tuple(OUTPUTS)) -> str:
-    """CTEs ``pairs`` and ``recs`` (id, type, lang, output, target, current, menu, event columns)."""
+def records_sql(kinds=tuple(OUTPUTS), of=None) -> str:
+    """CTEs ``pairs`` and ``recs`` (id, type, lang, output, target, current, menu, event columns): the records of ``kinds``
+    among those of ``of``."""
+    of = kinds if of is None else of
     parts = []
     for k in kinds:
         menu = VIDEO_MENU_SQL if k == "seedance" else MENU_SQL
         current = CURRENT if k == "toolpatch" else "CAST(NULL AS VARCHAR)"
         parts.append(
-            f"SELECT '{k}-' || event_id AS id, '{k}' AS type, {LANG} AS lang, {OUTPUTS[k]} AS output, "
+            f"SELECT '{k}-' || event_id AS id, '{k}' AS type, {LANG} AS lang, {OUTPUTS.get(k, OUTPUTS['toolcall_api'])} AS output, "
             f"{TARGETS.get(k, 'CAST(NULL AS VARCHAR)')} AS target, {current} AS current, {menu} AS menu, "
-            f"{BRIEF} AS brief, {SHOTS} AS shots, event_type FROM pairs")
+            f"{BRIEF} AS brief, {SHOTS} AS shots, event_type FROM pairs WHERE event_id // 11 % {len(of)} = {of.index(k)}")
     return f"{PAIRS_SQL},\nrecs AS ({' UNION ALL '.join(parts)})"
 
 

@@ -10,7 +10,7 @@ from kolanut.operators.aggregates import corpus_stats
 from kolanut.operators.frames import running_total
 from kolanut.operators.rendering import render, renderable
 from kolanut.operators.scoring import quality_gate
-from kolanut.plans.base import blocks_sql, records, records_sql, table, texts
+from kolanut.plans.base import OUTPUTS, blocks_sql, records, records_sql, table, texts
 from kolanut.plans.rendering import _FLAT, _flat_sql
 from kolanut.plans.seeding import SEED, d
 from kolanut.sources import binary
@@ -172,7 +172,7 @@ _MIXED = lambda name: (f"CAST('0x' || substr(md5('18:{name}:' || CAST(id AS VARC
                        f"least(1.0, CAST(b AS DOUBLE) * {t.MIX_WEIGHTS[name]} / 100 / have) * 4294967296")
 _COUNTED = """cnt AS (SELECT id, count(*) + 1 AS n_tokens, count(*) FILTER (m = '1') + 1 AS n_trained FROM tok GROUP BY id)"""
 # sessions are cut from their own flat text, so the statistics cover every type
-_ALL_TOK = ("WITH " + "flat AS (" + " UNION ALL ".join(f"SELECT id, flat FROM ({_flat_sql(k)})" for k in t.TYPES) + "), " +
+_ALL_TOK = ("WITH " + "flat AS (" + " UNION ALL ".join(f"SELECT id, flat FROM ({_flat_sql(k, tuple(OUTPUTS))})" for k in t.TYPES) + "), " +
             f"""cut AS (SELECT id, string_split(replace(replace(flat, '<0>', chr(1) || '0'), '<1>', chr(1) || '1'), chr(1))[2:] AS parts FROM flat WHERE flat IS NOT NULL),
 seg AS (SELECT id, unnest(parts) AS part FROM cut),
 cnt AS (SELECT id, sum(len(regexp_extract_all(substr(part, 2), '{_RX}'))) + 1 AS n_tokens,

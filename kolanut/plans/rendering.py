@@ -99,15 +99,15 @@ _SESSION = f"""SELECT id, type, lang, CASE WHEN count(n) >= 3 AND bool_and({_HAS
   GROUP BY id, type, lang"""
 
 
-def _flat_sql(kind):
+def _flat_sql(kind, of=None):
     if kind == "toolsession":
-        return f"WITH {records_sql((kind,))}, {turns_sql()} {_SESSION}"
-    return f"WITH {records_sql((kind,))}, {blocks_sql()} SELECT id, type, lang, {_FLAT[kind]} AS flat FROM recs JOIN blk USING (id)"
+        return f"WITH {records_sql((kind,), of)}, {turns_sql()} {_SESSION}"
+    return f"WITH {records_sql((kind,), of)}, {blocks_sql()} SELECT id, type, lang, {_FLAT[kind]} AS flat FROM recs JOIN blk USING (id)"
 
 
 _N = "CAST((length(flat) - length(replace(replace(flat, '<0>', ''), '<1>', ''))) // 3 AS INTEGER)"
-_ALL = " UNION ALL ".join(f"SELECT * FROM ({_flat_sql(k)})" for k in OUTPUTS)
-_pick = lambda *kinds: " UNION ALL ".join(f"SELECT id, {_N} AS n, flat FROM ({_flat_sql(k)})" for k in kinds)
+_ALL = " UNION ALL ".join(f"SELECT * FROM ({_flat_sql(k, tuple(OUTPUTS))})" for k in OUTPUTS)
+_pick = lambda *kinds: " UNION ALL ".join(f"SELECT id, {_N} AS n, flat FROM ({_flat_sql(k, kinds)})" for k in kinds)
 _shown = lambda mark, body: (f"'{mark}' || replace(CASE WHEN length({body}) < 300 THEN {body} ELSE left({body}, 120) || {_NL} || '   ...[' || "
                              f"(length({body}) - 240) || ' chars]...' || {_NL} || right({body}, 120) END, {_NL}, {_NL} || '{mark}')")
 ORACLE = {

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from kolanut.operators.validation import unflagged, keep_rate, kept, reject_report, validate
-from kolanut.plans.base import OUTPUTS, blocks_sql, records, records_sql, turns_sql
+from kolanut.plans.base import OUTPUTS, UNKNOWN, blocks_sql, records, records_sql, turns_sql
+
+KINDS = (*OUTPUTS, UNKNOWN)
 
 
 def _reasons(kind):
@@ -13,15 +15,15 @@ def _reasons(kind):
 
 
 def reject_histogram(spark, sf):
-    return reject_report(validate(records(spark, sf)))
+    return reject_report(validate(records(spark, sf, KINDS)))
 
 
 def keep_rate_all(spark, sf):
-    return keep_rate(validate(records(spark, sf)))
+    return keep_rate(validate(records(spark, sf, KINDS)))
 
 
 def kept_records(spark, sf):
-    return kept(validate(records(spark, sf))).select("id", "type", "output")
+    return kept(validate(records(spark, sf, KINDS))).select("id", "type", "output")
 
 
 def skip_flagged(spark, sf):
@@ -84,6 +86,7 @@ _CASES = {
   WHEN coalesce(c->>'$.name', '') = '' THEN 'no_call'
   WHEN {_UNDECLARED} THEN 'undeclared_args' END AS reason
   FROM (SELECT *, {_CALL} AS c FROM recs JOIN blk USING (id))""",
+    UNKNOWN: "SELECT id, type, 'unknown_type' AS reason FROM recs",
     "toolsession": """SELECT id, type, CASE
   WHEN n_turns < 3 THEN 'too_few_turns'
   WHEN coalesce(u1, '') = '' OR coalesce(ans1, '') = '' THEN 'missing_block'
@@ -94,12 +97,12 @@ _CASES = {
 }
 
 
-def _ctes(kind):
+def _ctes(kind, of=None):
     extra = turns_sql(multiline=False) if kind == "toolsession" else blocks_sql()
-    return f"WITH {records_sql((kind,))}, {extra} {_CASES[kind]}"
+    return f"WITH {records_sql((kind,), of)}, {extra} {_CASES[kind]}"
 
 
-_ALL = " UNION ALL ".join(f"SELECT * FROM ({_ctes(k)})" for k in OUTPUTS)
+_ALL = " UNION ALL ".join(f"SELECT * FROM ({_ctes(k, KINDS)})" for k in KINDS)
 ORACLE = {
     name: f"SELECT id, reason FROM ({_ctes(kind)})" for name, kind in {
         "validate_call": "toolcall_api", "validate_act": "toolact", "validate_video": "seedance",
@@ -110,7 +113,7 @@ ORACLE |= {
     "reject_histogram": f"SELECT type, reason, count(*) AS n FROM ({_ALL}) GROUP BY type, reason",
     "keep_rate": f"""SELECT count(*) FILTER (reason IS NULL) AS kept, count(*) AS total,
         100.0::DOUBLE * count(*) FILTER (reason IS NULL) / count(*) AS kept_pct FROM ({_ALL})""",
-    "kept_records": f"WITH {records_sql()}, bad AS (SELECT id, reason FROM ({_ALL})) "
+    "kept_records": f"WITH {records_sql(KINDS)}, bad AS (SELECT id, reason FROM ({_ALL})) "
                     "SELECT recs.id, type, output FROM recs JOIN bad USING (id) WHERE reason IS NULL",
     "skip_flagged": f"""WITH {records_sql(('toolrefuse',))} SELECT type, lang, count(*) AS total,
         nullif(count(*) FILTER (NOT contains(output, 'reason":"because') AND NOT contains(output, 'none')), 0) AS left_n
