@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kolanut.operators.frames import position_chunk, running_total
+
 
 class GuardError(RuntimeError):
     """An input that must not reach training or scoring."""
@@ -90,6 +92,26 @@ def with_completions(cases: DataFrame, completions: DataFrame, keys: Sequence[st
     return completions.join(cases, list(keys), "inner")
 
 
+def zip_completions(cases: DataFrame, completions: DataFrame, case_order: str, completion_order: str) -> DataFrame:
+    """The n-th completion goes with the n-th case, for completions written without a key.
+
+    Both orders are unique integer positions, with gaps or not. Rows are numbered chunk by chunk and meet by number; a number that
+    only one side has (inputs of unequal length) raises where ``place`` is read. Columns of both sides stay, and must differ by name.
+    """
+    def numbered(df: DataFrame, order: str, side: str) -> DataFrame:
+        rows = running_total(df, [], [order], F.lit(1), position_chunk(F.col(order)), "_place")
+        return rows.withColumn(side, F.lit(True))
+
+    clash = set(cases.columns) & set(completions.columns)
+    if clash:
+        raise GuardError(f"columns on both sides: {sorted(clash)}")
+    both = numbered(cases, case_order, "_case").join(numbered(completions, completion_order, "_completion"), "_place", "full")
+    whole = F.coalesce(F.col("_case") & F.col("_completion"), F.lit(False))
+    uneven = F.raise_error(F.concat(F.lit("cases and completions differ in number from row "), F.col("_place").cast("string")))
+    checked = both.withColumn("place", F.when(whole, F.col("_place")).otherwise(uneven.cast("bigint")))
+    return checked.select("place", *cases.columns, *completions.columns)
+
+
 def leaked(df: DataFrame, holdout: DataFrame, key: str = "id") -> DataFrame:
     """Held-out keys that occur in the training input, with how often.
 

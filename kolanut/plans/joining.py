@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kolanut.operators.joins import (
-    attach_menu, first_copy, group_counts, join_report, joined, last_wave, leaked, missing, with_completions,
+    attach_menu, first_copy, group_counts, join_report, joined, last_wave, leaked, missing, with_completions, zip_completions,
 )
 from kolanut.plans.base import table, texts
 
@@ -72,6 +72,14 @@ def cases_completions(spark, sf):
     return with_completions(cases, comps).groupBy("model", "expect").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cases_by_place(spark, sf):
+    """Cases are the orders that have lines, completions their lines' sums, which meet by place alone."""
+    li = table(spark, sf, "lineitem")
+    cases = table(spark, sf, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_orderpriority")
+    sums = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.max("l_partkey").alias("part"))
+    return zip_completions(cases, sums, "o_orderkey", "l_orderkey").select("place", "o_orderkey", "o_orderpriority", "lines", "part")
+
+
 def holdout_guard(spark, sf):
     """Parts of one brand are held out; which of them do the order lines use, and how often."""
     hold = table(spark, sf, "part").filter("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("id"))
@@ -85,7 +93,7 @@ def missing_keys(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    last_wave_wins, first_wins_dedupe, record_seed_join, join_counters, join_groups, cases_completions,
+    last_wave_wins, first_wins_dedupe, record_seed_join, join_counters, join_groups, cases_completions, cases_by_place,
     holdout_guard, missing_keys)}
 
 _CTE = f"""WITH rec AS (
@@ -111,6 +119,10 @@ ORACLE = {
     "join_groups": f"{_CTE} SELECT type, coalesce(lang, 'eng') AS lang, count(*) AS n FROM att WHERE ok GROUP BY 1, 2",
     "cases_completions": """SELECT l_returnflag AS model, o_orderpriority AS expect, count(*) AS n
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+    "cases_by_place": """WITH a AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders
+          WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+        b AS (SELECT count(*) AS lines, max(l_partkey) AS part, row_number() OVER (ORDER BY l_orderkey) - 1 AS place FROM lineitem GROUP BY l_orderkey)
+        SELECT place, o_orderkey, o_orderpriority, lines, part FROM a JOIN b USING (place)""",
     "holdout_guard": """SELECT l_partkey AS id, count(*) AS n FROM lineitem
         WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1') GROUP BY 1""",
     "missing_keys": """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",

@@ -147,3 +147,22 @@ def test_values_of_another_type_are_read(spark, tmp_path):
                                                                         F.lit(None).cast("string").alias("current"))
     kept = joins.first_copy(records)
     assert {r["id"]: r["_rest"] for r in kept.collect()}["a"]["score"] == "0.5" and seeds.count() == 1
+
+
+@pytest.mark.parametrize("parts", (1, 5))
+def test_completions_meet_cases_by_place(spark, parts):
+    at = lambda i: i * 40_000 - 100_000  # several chunks, gaps, negative positions
+    cases = spark.createDataFrame([(at(i), f"c{i}") for i in range(9)], "pos LONG, ask STRING").repartition(parts)
+    said = spark.createDataFrame([(i, None if i == 4 else f"s{i}") for i in range(9)], "line LONG, said STRING").repartition(parts)
+    got = joins.zip_completions(cases, said, "pos", "line").orderBy("place").collect()
+    assert [(r.place, r.ask, r.said) for r in got] == [(i, f"c{i}", None if i == 4 else f"s{i}") for i in range(9)]
+    assert joins.zip_completions(cases.limit(0), said.limit(0), "pos", "line").count() == 0
+
+
+def test_unequal_lengths_raise(spark):
+    cases = spark.range(5).select(F.col("id").alias("pos"))
+    for n in (4, 6):
+        with pytest.raises(Exception, match="differ in number"):
+            joins.zip_completions(cases, spark.range(n).select(F.col("id").alias("line")), "pos", "line").collect()
+    with pytest.raises(joins.GuardError):
+        joins.zip_completions(cases, cases, "pos", "pos")
