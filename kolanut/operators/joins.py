@@ -6,9 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from kolanut.operators.frames import position_chunk, running_total
 
+#: A block of the holdout's Bloom filter, the bits set for a key, and the keys up to which the filter (2 bytes each) is broadcast.
+BLOOM_BITS, BLOOM_PROBES, BLOOM_KEYS = 1 << 15, 4, 1 << 25
+
 
 class GuardError(RuntimeError):
     """An input that must not reach training or scoring."""
@@ -112,12 +116,44 @@ def zip_completions(cases: DataFrame, completions: DataFrame, case_order: str, c
     return checked.select("place", *cases.columns, *completions.columns)
 
 
+def _probes(key: Column, blocks: int) -> tuple[Column, list[Column]]:
+    """The block of a key in a Bloom filter, and its bits there, numbered from 0."""
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return block, [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOOM_BITS)) for i in range(BLOOM_PROBES)]
+
+
+def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    """A Bloom filter as a table: ``_block`` and its bitmap of ``BLOOM_BITS`` bits."""
+    block, bits = _probes(F.col(key), blocks)
+    return keys.select(block.alias("_block"), F.explode(F.array(*bits)).alias("_bit")).groupBy("_block").agg(
+        F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def maybe_in(df: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
+    """Rows whose key may be in the filter, all that are in it among them; nothing but the filter is moved."""
+    block, bits = _probes(F.col(key), blocks)
+    met = df.withColumn("_block", block).join(F.broadcast(bloom), "_block")
+    for bit in bits:
+        byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        met = met.filter(F.bit_get(byte, (bit % 8).cast("int")) == 1)
+    return met.drop("_block", "_bits")
+
+
 def leaked(df: DataFrame, holdout: DataFrame, key: str = "id") -> DataFrame:
     """Held-out keys that occur in the training input, with how often.
 
-    Counted before the join, so copies of one key meet the holdout as one row.
+    Training keys are tried against a Bloom filter of the holdout where they are read (16 bits a held-out key, in tables of 4 KB that
+    are broadcast up to ``BLOOM_KEYS`` keys), so only held-out keys and some few others are exchanged; those are joined exactly. A larger
+    holdout is joined without the filter. Counted before the join, so copies of one key meet the holdout as one row. Null keys are
+    in no holdout.
     """
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(holdout.select(key).distinct(), key, "left_semi")
+    held = holdout.select(key).filter(F.col(key).isNotNull())
+    rows, n = df.select(key), held.count()
+    alike = df.schema[key].dataType == holdout.schema[key].dataType and not isinstance(df.schema[key].dataType, FractionalType)
+    if alike and n <= BLOOM_KEYS:  # equal keys have equal hashes only in one type
+        blocks = max(1, -(-n * 16 // BLOOM_BITS))
+        rows = maybe_in(rows, key, bloom_filter(held, key, blocks), blocks)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(held.distinct(), key, "left_semi")
 
 
 def assert_no_leak(df: DataFrame, holdout: DataFrame, key: str = "id") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kolanut import tables as t
 from kolanut.functions.draws import RANGE, draw
-from kolanut.operators.frames import first_k, position_chunk, union_all
+from kolanut.operators.frames import CHUNK, first_k, position_chunk, running_total, union_all
 from kolanut.operators.joins import GuardError
 
 DRAW_CHUNK = 1 << 16  # 65,536 chunks of the draw's range
@@ -91,6 +92,17 @@ def upsample(df: DataFrame, factors: Mapping[str, int] = t.DUP, key: str = "type
         F.array(*[F.lit(i) for i in range(1, max([default, *factors.values()]) + 1)]), F.lit(1), factor)))
 
 
+def _held(sources: Mapping[str, DataFrame], size: str, required: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """Total size and rows of every source, one pair per source; a required one without any size stops the build."""
+    sums = union_all([df.agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("have"), F.count(F.lit(1)).alias("rows"))
+                      .select(F.lit(name).alias("source"), "have", "rows") for name, df in sources.items()])
+    have = {r["source"]: (r["have"], r["rows"]) for r in sums.collect()}
+    empty = [s for s in required if not have.get(s, (0, 0))[0]]
+    if empty:
+        raise GuardError(f"required sources are missing or empty: {empty}")
+    return have
+
+
 def mix(sources: Mapping[str, DataFrame], weights: Mapping[str, int], size: str, key: str,
         budget: int | None = None, required: Sequence[str] | None = None, seed: int = 18) -> DataFrame:
     """T5: a union in which every source holds its weight's share of the ``size`` total.
@@ -99,12 +111,7 @@ def mix(sources: Mapping[str, DataFrame], weights: Mapping[str, int], size: str,
     largest one every source can fill is used. A required source with no rows stops the build.
     """
     total = sum(weights.values())
-    sums = union_all([df.agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("have"))
-                      .select(F.lit(name).alias("source"), "have") for name, df in sources.items()])
-    have = {r["source"]: r["have"] for r in sums.collect()}  # one number per source
-    empty = [s for s in (weights if required is None else required) if not have.get(s)]
-    if empty:
-        raise GuardError(f"required sources are missing or empty: {empty}")
+    have = {s: n for s, (n, _) in _held(sources, size, list(weights) if required is None else required).items()}
     if budget is None:
         budget = min(have[s] * total // w for s, w in weights.items())
     parts = []
@@ -113,3 +120,36 @@ def mix(sources: Mapping[str, DataFrame], weights: Mapping[str, int], size: str,
         parts.append(df.withColumn("source", F.lit(name)).filter(
             draw(seed, F.concat_ws(":", F.lit(name), F.col(key).cast("string")), "mix") < rate * RANGE))
     return union_all(parts)
+
+
+def interleave(sources: Mapping[str, DataFrame], weights: Mapping[str, int], size: str, key: str,
+               budget: int | None = None, required: Sequence[str] | None = None, seed: int = 18) -> DataFrame:
+    """T5: the mixture as a sequence, ``position`` from 0: every beginning of it holds the weights, within one row of each source.
+
+    A source's rows stand in keyed order, and a row's time is the size of the rows before it in its source, over the source's weight;
+    rows go by their times. So when the sequence has come to a time, each source has given out that time's weight in size, but for
+    the row that it is in. Times are whole numbers (multiples of one over the weights' least common multiple).
+
+    The sequence ends where the first source does, or with ``budget`` in size; a source without a weight takes no part, and
+    weights are positive. Null sizes count as 0, and given columns ``source``, ``position``, ``_time``, ``_draw`` and ``_size`` are replaced. Sums along a source and along the sequence are taken in two levels, so a source with nearly all rows is spread.
+    """
+    if min(weights.values()) <= 0:
+        raise ValueError(f"weights are positive: {dict(weights)}")
+    have = _held({s: df for s, df in sources.items() if s in weights}, size, list(weights) if required is None else required)
+    have = {s: x for s, x in have.items() if x[0]}
+    unit = math.lcm(*[weights[s] for s in have])
+    end = min((have[s][0] * (unit // weights[s]) for s in have), default=0)
+    if budget is not None:
+        end = min(end, -(-budget * unit // sum(weights[s] for s in have)))
+    lined = [running_total(
+        sources[s].withColumns({"source": F.lit(s), "_size": F.coalesce(F.col(size), F.lit(0)).cast("bigint"),
+                                "_draw": draw(seed, F.concat_ws(":", F.lit(s), F.col(key).cast("string")), "line")}),
+        [], ["_draw", key, "_size", size], F.col("_size"), _draw_chunk(), "_time").withColumn("_time", F.col("_time") * (unit // weights[s])) for s in have]
+    if not lined:
+        some = next(iter(sources.values()))
+        return some.withColumns({"source": F.lit(""), "position": F.lit(0).cast("bigint")}).limit(0)
+    rows = union_all(lined).filter(F.col("_time") < end)
+    step = max(1, end * CHUNK // max(1, sum(n for _, n in have.values())))
+    # a row of no size shares its time with the row behind it: the order goes on by source and place in the line
+    return running_total(rows, [], ["_time", "source", "_draw", key, "_size", size], F.lit(1), F.floor(F.col("_time") / F.lit(step)), "position").drop(
+        "_time", "_draw", "_size")

@@ -64,6 +64,14 @@ def mixture(spark, sf):
     return mixed.select("source", "id", "n_chars")
 
 
+def mixture_order(spark, sf):
+    """T5: the same two sources as a sequence whose every beginning holds 70 to 30."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    chat = table(spark, sf, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"),
+                                                    F.length("text").cast("bigint").alias("n_chars"))
+    return sampling.interleave({"tools": docs, "replay": chat}, t.MIX_WEIGHTS, "n_chars", "id").select("position", "source", "id", "n_chars")
+
+
 def _examples(spark, sf):
     r = renderable(render(records(spark, sf, KINDS)))
     return packing.with_pieces(r.select(F.col("id").alias("example_id"), "segments"))
@@ -141,7 +149,7 @@ def quality_gate_row(spark, sf):
 
 QUERIES = {
     "holdout_split": holdout_split, "shuffle_positions": shuffle_positions, "shuffle_first": shuffle_first,
-    "cap_per_group": cap_per_group, "stratified_sample": stratified_sample, "upsample": upsample, "mixture": mixture,
+    "cap_per_group": cap_per_group, "stratified_sample": stratified_sample, "upsample": upsample, "mixture": mixture, "mixture_order": mixture_order,
     "build_vocab": build_vocab, "encode_mask": encode_mask, "encode_merges": encode_merges, "pack_shards": pack_shards, "shard_manifest": shard_manifest, "shard_index": shard_index,
     "corpus_stats": corpus_statistics, "quality_gate": quality_gate_row,
 }
@@ -200,6 +208,13 @@ ORACLE = {
         h AS (SELECT (SELECT sum(n_chars) FROM a) AS ha, (SELECT sum(n_chars) FROM c) AS hc), bb AS (SELECT *, least(ha * 100 // 70, hc * 100 // 30) AS b FROM h)
         SELECT 'tools' AS source, id, n_chars FROM (SELECT *, ha AS have FROM a, bb) WHERE {_MIXED('tools')}
         UNION ALL SELECT 'replay', id, n_chars FROM (SELECT *, hc AS have FROM c, bb) WHERE {_MIXED('replay')}""",
+    "mixture_order": f"""WITH u AS (SELECT 'tools' AS source, doc_id AS id, n_chars FROM documents UNION ALL
+          SELECT 'replay', conv_id * 100000 + turn, length(text) FROM conversations),
+        x AS (SELECT *, {d("source || ':' || id", "'line'", 18)} AS dr FROM u),
+        p AS (SELECT *, CASE source WHEN 'tools' THEN {t.MIX_WEIGHTS['replay']} ELSE {t.MIX_WEIGHTS['tools']} END *
+          (sum(coalesce(n_chars, 0)) OVER (PARTITION BY source ORDER BY dr, id, n_chars) - coalesce(n_chars, 0)) AS tm FROM x),
+        e AS (SELECT min(z) AS z FROM (SELECT CASE source WHEN 'tools' THEN {t.MIX_WEIGHTS['replay']} ELSE {t.MIX_WEIGHTS['tools']} END * sum(n_chars) AS z FROM u GROUP BY source))
+        SELECT row_number() OVER (ORDER BY tm, source, dr, id) - 1 AS position, source, id, n_chars FROM p, e WHERE tm < z""",
     "build_vocab": f"WITH tok AS (SELECT unnest(regexp_extract_all(text, '{_RX}')) AS piece FROM documents) {_VOCAB}",
     "encode_mask": f"""WITH {_segments(KINDS)}, vocab AS ({_VOCAB}),
         h AS (SELECT t.id, si, pi, m, v.id AS vid, hex(encode(piece)) AS hx FROM tok t LEFT JOIN vocab v USING (piece)),

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from kolanut import tables as t
 from kolanut.functions.json import compact_json
 from kolanut.functions.text import turns
+from kolanut.operators import histories
 from kolanut.operators.rendering import (
     history, menu_json, patch_prompt, preview, probe_prompt, render, render_report, renderable, renderable_rate,
 )
 from kolanut.operators.sampling import exhibit
-from kolanut.plans.base import MENU_SPARK, MENU_SQL, OUTPUTS, PAIRS_SQL, blocks_sql, pairs, records, records_sql, turns_sql
+from kolanut.plans.base import MENU_SPARK, MENU_SQL, OUTPUTS, PAIRS_SQL, blocks_sql, pairs, records, records_sql, table, turns_sql
 
 
 def _flat(segments):
@@ -54,6 +55,12 @@ def history_prompt(spark, sf):
     return r.select("id", F.posexplode(history(menu_json(F.col("menu")), ts)).alias("turn", "prompt"))
 
 
+def history_turns(spark, sf):
+    """The prompt of every user turn of every conversation, from the turn table."""
+    said = table(spark, sf, "conversations")
+    return histories.turn_history(said, "conv_id", "turn", histories.said(), F.col("role") == "user", f"{t.USER}\n{t.TOOLS}[]")
+
+
 def exhibit_records(spark, sf):
     """One record per type, two patches, in event order."""
     r = records(spark, sf).withColumn("pos", F.regexp_extract("id", r"-(\d+)$", 1).cast("bigint"))
@@ -65,7 +72,7 @@ QUERIES = {
     "render_patch": _rendered("toolpatch"), "render_refuse": _rendered("toolrefuse"),
     "render_disambig": _rendered("tooldisambig"), "render_session": _rendered("toolsession"),
     "render_report": render_counts, "renderable_rate": render_rate, "preview": preview_refusals,
-    "probe_prompts": probe_prompts, "history_prompt": history_prompt, "exhibit": exhibit_records,
+    "probe_prompts": probe_prompts, "history_prompt": history_prompt, "history_turns": history_turns, "exhibit": exhibit_records,
 }
 
 _NL = "chr(10)"
@@ -132,6 +139,9 @@ ORACLE = {
         SELECT id, CAST(row_number() OVER w - 1 AS INTEGER) AS turn, '{t.USER}' || {_NL} || '{t.TOOLS}' || menu ||
           coalesce(string_agg(done, '') OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ||
           {_NL} || u || {_NL} || '{t.ASSISTANT}' AS prompt FROM x WINDOW w AS (PARTITION BY id ORDER BY n)""",
+    "history_turns": f"""SELECT conv_id, turn, prompt FROM (SELECT conv_id, turn, role, '{t.USER}' || {_NL} || '{t.TOOLS}[]' || string_agg({_NL} || coalesce(text, '') ||
+        CASE WHEN role = 'user' THEN {_NL} || '{t.ASSISTANT}' ELSE '{t.USER}' END, '') OVER (PARTITION BY conv_id ORDER BY turn) AS prompt FROM conversations)
+        WHERE role = 'user'""",
     "exhibit": f"""WITH {records_sql()} SELECT type, id, rank FROM (SELECT type, id, row_number() OVER (PARTITION BY type
         ORDER BY CAST(regexp_extract(id, '-([0-9]+)$', 1) AS BIGINT)) AS rank FROM recs)
         WHERE rank <= CASE WHEN type = 'toolpatch' THEN 2 ELSE 1 END""",

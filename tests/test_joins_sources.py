@@ -166,3 +166,25 @@ def test_unequal_lengths_raise(spark):
             joins.zip_completions(cases, spark.range(n).select(F.col("id").alias("line")), "pos", "line").collect()
     with pytest.raises(joins.GuardError):
         joins.zip_completions(cases, cases, "pos", "pos")
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "int", "double", "date"])
+def test_leaks_through_the_bloom_filter(spark, kind):
+    """Every held-out key that occurs is found, with its count; null keys and other types included."""
+    as_kind = lambda c: F.date_add(F.lit("2000-01-01").cast("date"), c.cast("int")) if kind == "date" else c.cast(kind)
+    train = spark.range(6000).select(as_kind(F.col("id") % 1500).alias("id")).unionAll(spark.range(3).select(F.lit(None).cast(kind).alias("id")))
+    hold = spark.range(1400, 9000).select(as_kind(F.col("id")).alias("id")).unionAll(spark.range(2).select(F.lit(None).cast(kind).alias("id")))
+    found = joins.leaked(train, hold)
+    assert {r["n"] for r in found.collect()} == {4} and found.count() == 100
+    assert joins.leaked(train, hold.limit(0)).count() == 0 and joins.leaked(train.limit(0), hold).count() == 0
+    if kind == "int":
+        assert joins.leaked(train, hold.select(F.col("id").cast("bigint").alias("id"))).count() == 100
+
+
+def test_the_bloom_filter_lets_few_others_through(spark):
+    held = spark.range(50_000).select(F.concat(F.lit("k"), "id").alias("id"))
+    blocks = -(-50_000 * 16 // joins.BLOOM_BITS)
+    bloom = joins.bloom_filter(held, "id", blocks)
+    assert joins.maybe_in(held, "id", bloom, blocks).count() == 50_000
+    others = spark.range(50_000, 250_000).select(F.concat(F.lit("k"), "id").alias("id"))
+    assert joins.maybe_in(others, "id", bloom, blocks).count() < 2000

@@ -32,3 +32,19 @@ def test_rendered_text_is_computed_once(spark):
     from kolanut.plans.base import records
     df = renderable(render(records(spark, SF, ("toolrefuse",))))
     assert _plan(df).count("(USER2|USER|CALL") == 1
+
+
+def test_the_large_side_meets_the_bloom_filter_before_any_exchange(spark):
+    """Order lines are filtered where they are read; what is exchanged are the counts of the survivors."""
+    df = QUERIES["holdout_guard"](spark, SF)
+    lines = _plan(df).splitlines()
+    scan = next(i for i, x in enumerate(lines) if "l_partkey" in x and "Scan parquet" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above, at = [], depth(lines[scan])
+    for x in reversed(lines[:scan]):
+        if depth(x) < at:
+            above.append(x)
+            at = depth(x)
+    joined = next(i for i, x in enumerate(above) if "BroadcastHashJoin" in x and "_block" in x)
+    assert not [x for x in above[:joined] if "Exchange" in x]
+    assert [x for x in above[joined:] if "Exchange hashpartitioning" in x]

@@ -26,7 +26,7 @@ def duck():
 # the only single-partition steps: aggregates of one row, top-k, and windows over bucket sums
 BOUNDED = {"holdout_split", "shuffle_positions", "pack_shards", "shard_manifest", "shard_index", "stratified_sample",
            "keep_rate", "join_counters", "sentence_count", "corpus_stats", "quality_gate", "build_vocab", "encode_mask",
-           "weighted_draw", "weighted_draw_wide", "pair_draw", "video_jobs", "video_sequences", "distinct_menus", "cases_by_place"}
+           "weighted_draw", "weighted_draw_wide", "pair_draw", "video_jobs", "video_sequences", "distinct_menus", "cases_by_place", "mixture_order"}
 BANNED = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct",
           "BroadcastNestedLoopJoin")
 

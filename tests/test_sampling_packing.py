@@ -109,6 +109,43 @@ def test_mixture_share_and_guard(spark):
         sampling.mix({"tools": a, "replay": b.filter("id < 0")}, t.MIX_WEIGHTS, "n", "id")
 
 
+def _check_order(got, weights, have, budget=None):
+    """Each beginning holds the weights but for the row that each source is in, and the sequence ends where it should."""
+    assert [r["position"] for r in got] == list(range(len(got)))
+    taken, whole = dict.fromkeys(weights, 0), sum(weights.values())
+    for r in got:
+        for s, w in weights.items():  # time that each source has come to: none is a row behind or ahead of the time of this row
+            assert taken[s] * weights[r["source"]] <= taken[r["source"]] * w + 50 * whole * weights[r["source"]]
+            assert (taken[s] + 50) * weights[r["source"]] >= taken[r["source"]] * w
+        taken[r["source"]] += r["n"] or 0
+    end = min(have[s] / w for s, w in weights.items()) if budget is None else budget / whole
+    assert all(end * w <= taken[s] + 1 and taken[s] <= end * w + 50 for s, w in weights.items())
+
+
+def test_interleaved_mixture(spark):
+    """Sources with rows of 0 to 50, null sizes, null and repeated keys, under several partitionings."""
+    a = spark.range(4000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 900).alias("id"), F.when(F.col("id") % 9 > 0, F.col("id") % 51).alias("n"), F.lit("x").alias("_time"))
+    b = spark.range(900).select("id", F.lit(7).cast("bigint").alias("n"), F.lit("y").alias("position"))
+    c = spark.range(700).select("id", (F.col("id") % 13).alias("n"))
+    weights, sources = {"a": 5, "b": 2, "c": 1}, {"a": a, "b": b, "c": c, "unweighted": c}
+    have = {s: sources[s].agg(F.sum("n")).first()[0] for s in weights}
+    runs = []
+    for parts in (1, 6):
+        df = sampling.interleave({s: x.repartition(parts) for s, x in sources.items()}, weights, "n", "id")
+        runs.append([(r["position"], r["source"], r["id"], r["n"]) for r in df.orderBy("position").collect()])
+        _check_order(df.orderBy("position").collect(), weights, have)
+    assert runs[0] == runs[1]
+    cut = sampling.interleave(sources, weights, "n", "id", budget=4000).orderBy("position").collect()
+    _check_order(cut, weights, have, 4000)
+    assert [(r["position"], r["source"], r["id"], r["n"]) for r in cut] == runs[0][:len(cut)]
+    with pytest.raises(GuardError, match="b"):
+        sampling.interleave({"a": a, "b": b.limit(0), "c": c}, weights, "n", "id")
+    with pytest.raises(ValueError, match="positive"):
+        sampling.interleave(sources, {"a": 1, "b": 0}, "n", "id")
+    none = sampling.interleave({"a": a.limit(0)}, {"a": 1}, "n", "id", required=())
+    assert none.count() == 0 and {"source", "position"} <= set(none.columns)
+
+
 def _examples(spark):
     segs = [[("<reserved_0>\nabc 12", False), ("<reserved_3>{\"é\"}", True)], [("zz", False)], [("abc abc", True)]]
     return packing.with_pieces(spark.createDataFrame(list(enumerate(segs)), "example_id INT, segments ARRAY<STRUCT<text: STRING, train: BOOLEAN>>"))
