@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kolanut import schemas
 from kolanut.operators.frames import union_all
 from kolanut.operators.merges import TOKENS
+from kolanut.sources.arrays import RANGE, read_array
 
 
 def _placed(df: DataFrame, wave: int = 0) -> DataFrame:
@@ -23,9 +24,17 @@ def _placed(df: DataFrame, wave: int = 0) -> DataFrame:
     return df.select("*", F.lit(wave).alias("_wave"), F.col("_metadata.file_path").alias("_file"), pos.alias("_pos"))
 
 
-def read_seeds(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """JSON-array seed files, one wave per path; ``joins.last_wave`` picks the winner per id."""
-    waves = [_placed(spark.read.schema(schemas.SEEDS).option("multiLine", True).json(p), i) for i, p in enumerate(paths)]
+def read_seeds(spark: SparkSession, paths: Sequence[str], span: int = RANGE) -> DataFrame:
+    """JSON-array seed files, one wave per path; ``joins.last_wave`` picks the winner per id.
+
+    A file is cut at element borders, so its size does not bound the tasks. An element that is no object has null fields.
+    """
+    waves = []
+    for i, p in enumerate(paths):
+        rows = read_array(spark, p, span).select(
+            F.from_json("value", schemas.SEEDS).alias("_seed"), F.lit(i).alias("_wave"), "_file",
+            F.struct(F.col("_at").alias("block"), F.lit(0).cast("bigint").alias("row")).alias("_pos"))
+        waves.append(rows.select("_seed.*", "_wave", "_file", "_pos"))
     return union_all(waves)
 
 
