@@ -9,6 +9,7 @@ by their counts, exchanged, and put in random order again inside their shard.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,15 +68,43 @@ def split_counts(rows: np.ndarray, places: np.ndarray, rng: np.random.Generator)
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """The generator takes at most 10^9 of either kind; larger draws are split in two halves of the draws."""
+    """An exact draw at any size; the generator itself takes fewer than 10^9 of either kind."""
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n)) if n else 0
-    if n <= 1:
-        return int(n and rng.random() < good / (good + bad))
-    # beyond that, the normal limit, held to the range that is possible
-    p = good / (good + bad)
-    sd = (n * p * (1 - p) * (good + bad - n) / (good + bad - 1)) ** 0.5
-    return int(min(max(round(rng.normal(n * p, sd)), n - bad, 0), good, n))
+    return _rejected(rng, good, bad, n)
+
+
+def _grown(x: int, d: int) -> float:
+    """log gamma(x + d) - log gamma(x), without the cancellation that two large logarithms suffer."""
+    if min(x, x + d) < 1000:
+        return math.lgamma(x + d) - math.lgamma(x)
+    y = x + d
+    return (y - 0.5) * math.log1p(d / x) + d * (math.log(x) - 1) + (1 / y - 1 / x) / 12 - (1 / y**3 - 1 / x**3) / 360
+
+
+def _rejected(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw by rejection from a flat middle with exponential tails.
+
+    The law is log-concave: with probability p at the mode, the one d places off is at most min(1, e^(1 - p |d|)) times p. Any smaller p
+    bounds it too. At least 3/4 of the law lies within two deviations of the mean (Chebyshev), so the mode holds 3/4 over the
+    number of places there, or more. Some eight tries give a draw, whatever the sizes.
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    deviation = math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1)))
+    p = 0.75 / (4 * deviation + 1)
+    flat = 1 / p + 0.5
+    while True:
+        x = rng.random() * (flat + 1 / p)
+        x = x if x < flat else flat + rng.exponential(1 / p)
+        d = math.floor(x + 0.5) * (1 if rng.random() < 0.5 else -1)
+        if low <= mode + d <= high:
+            fall = (_grown(mode + 1, d) + _grown(good - mode + 1, -d) + _grown(n - mode + 1, -d) + _grown(bad - n + mode + 1, d))
+            if math.log(1 - rng.random()) + min(0.0, 1 - p * (x - 0.5)) <= -fall:
+                return mode + d
 
 
 def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:

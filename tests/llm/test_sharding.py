@@ -1,8 +1,10 @@
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from frames import documents, odd_rows, prose
 
 from kolanut.llm import sharding
@@ -75,3 +77,37 @@ def test_empty_and_clashing_columns(spark):
     docs = documents(spark, [(1, "a")]).selectExpr("*", "1 AS shard", "2 AS slot", "3 AS _rank")
     assert [(r.size, r.slot) for r in sharding.shard_documents(docs).collect()] == [(9, 0)]
     assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("good,bad,n", [(30, 50, 20), (5, 3, 6), (1, 40, 7), (400, 300, 350), (12, 2000, 900)])
+def test_rejection_draws_the_exact_law(good, bad, n):
+    """Against the law from binomial coefficients, by a chi-square over the places that expect five draws or more."""
+    rng, draws = np.random.Generator(np.random.PCG64(3)), 20_000
+    got = np.bincount([sharding._rejected(rng, good, bad, n) for _ in range(draws)], minlength=good + 2)
+    law = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) if 0 <= n - k <= bad else 0.0 for k in range(good + 1)]
+    often = [k for k in range(good + 1) if law[k] * draws >= 5]
+    assert not [k for k in range(good + 1) if law[k] == 0 and got[k]]
+    assert sum((got[k] - law[k] * draws) ** 2 / (law[k] * draws) for k in often) < len(often) + 4.5 * math.sqrt(2 * len(often))
+
+
+@pytest.mark.parametrize("total", [10**10, 10**13])
+def test_draws_beyond_the_generator(total):
+    """Mean, deviation and tails at sizes that the generator refuses; matrices keep their sums."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    good, n = total // 24, total // 64
+    got = np.array([sharding._hypergeometric(rng, good, total - good, n) for _ in range(4000)], float)
+    p = good / total
+    deviation = math.sqrt(n * p * (1 - p) * (total - n) / (total - 1))
+    z = (got - n * p) / deviation
+    assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.06 and abs((np.abs(z) > 1.96).mean() - 0.05) < 0.015
+    assert [sharding._hypergeometric(rng, 0, total, n), sharding._hypergeometric(rng, total, 0, n), sharding._hypergeometric(rng, good, total - good, 0)] == [0, n, 0]
+    rows = np.full(8, total // 8)
+    cut = sharding.split_counts(rows, sharding.shard_sizes(int(rows.sum()), 24), rng)
+    assert (cut.sum(axis=1) == rows).all() and (cut.sum(axis=0) == sharding.shard_sizes(int(rows.sum()), 24)).all() and (cut >= 0).all()
+
+
+def test_large_terms_keep_their_digits():
+    """Growth of the log gamma function at 10^13 against the sum of logarithms."""
+    for x, d in ((10**13, 400), (10**13, -400), (5000, 37), (1500, -400)):
+        terms = math.fsum(math.log(x + i) for i in range(d)) if d > 0 else -math.fsum(math.log(x - i) for i in range(1, -d + 1))
+        assert abs(sharding._grown(x, d) - terms) < 1e-8
