@@ -140,12 +140,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def find(rows: DataFrame, reader: Callable[[], Any], keys: Callable[[pa.RecordBatch, Any], Iterator[tuple[np.ndarray, ...]]],
-         rule: str, text: str | None = "text", widths: tuple[int, int] = (8, 8)) -> DataFrame:
+         rule: str, text: str | None = "text", widths: tuple[int, int] = (8, 8), flush: int = FLUSH_KEYS) -> DataFrame:
     """``owner`` and ``found`` (its packed 64-bit keys, distinct) for rows with keys that the rule finds.
 
     ``keys`` yields, per slice of a batch (cut by its column ``text``, if named) and with the task's own ``reader()``, the
     owner, low and high half of each key (an empty high half: 64-bit keys). ``widths`` are the bytes in use of either half; the others must be
-    zero. The number of buckets, and of the groups of owners that answers are gathered in, is the session's number of
+    zero. ``flush`` keys are gathered before a batch is packed. The number of buckets, and of the groups of owners that answers are gathered in, is the session's number of
     shuffle partitions; a bucket is worked in one task.
     """
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -157,18 +157,22 @@ def find(rows: DataFrame, reader: Callable[[], Any], keys: Callable[[pa.RecordBa
                 for owner, lo, hi in keys(piece, own):
                     parts.append((owner, lo, hi))
                     held += len(lo)
-                if held >= FLUSH_KEYS:
+                if held >= flush:
                     if (packed := _flushed(parts, buckets, rule, widths)) is not None:
                         yield packed
                     parts, held = [], 0
         if parts and (packed := _flushed(parts, buckets, rule, widths)) is not None:
             yield packed
+        del parts
+        pa.default_memory_pool().release_unused()  # workers serve many stages: what one took for a moment goes back
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _answered(batches, rule, buckets, widths)
+        pa.default_memory_pool().release_unused()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _gathered(batches)
+        pa.default_memory_pool().release_unused()
 
     found = rows.mapInArrow(ask, _DDL).groupBy("bucket").applyInArrow(answer, "part int, owners binary, keys binary")
     return found.groupBy("part").applyInArrow(gather, "owner bigint, found binary")
