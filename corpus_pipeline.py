@@ -19,9 +19,13 @@ BROADCAST_IDS = 1 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a language that the labelled rows teach; texts unlike all of them, or without letters, go. If nothing is labelled, all rows stay."""
-    known = language.train_likeness(docs, language.remainder(F.col("doc_id"), 4) != 2)
-    return docs if known is None else language.in_known_language(docs, known)
+    """Rows whose language the kernel model of op10 finds, taught by the labelled rows; texts unlike every learned language, or without
+    letters, are in none and go. If nothing is labelled, all rows stay."""
+    found = language.train_known(docs, language.remainder(F.col("doc_id"), 4) != 2)
+    if found is None:
+        return docs
+    model, known = found
+    return language.predict(docs, model, known=known).filter(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
 
 
 def _sent(ids: DataFrame) -> DataFrame:

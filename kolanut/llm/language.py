@@ -158,35 +158,29 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     return fit(*found) if found else None
 
 
-def train_likeness(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
-                   per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Likeness | None:
-    """The likeness to the languages of the same learned rows, by their letters; None without any."""
+def train_known(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
+                per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> tuple[Model, Likeness] | None:
+    """The kernel model and the likeness of the same learned rows, both by their letters; None without any."""
     found = _learned(docs.withColumn(text, letters(text)), learn, key, text, lang, per_language, sample)
-    return fit_likeness(*found) if found else None
+    return (fit(*found), fit_likeness(*found)) if found else None
 
 
-def in_known_language(docs: DataFrame, known: Likeness, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose letters are like one of the learned languages; rows without a letter go."""
-    read = docs.withColumn("_letters", letters(text)).filter(F.col(text).rlike(r"\p{L}"))
-    names = docs.columns
+def _judge(seen: np.ndarray, model: Model, known: Likeness | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores per language, and whether a text is like any of them."""
+    got = model.scores(seen)
+    return got, np.full(len(got), True) if known is None else known.of(seen) >= known.limit
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "_letters"):
-                like = np.concatenate([known.of(seen) for seen in bit_rows(piece.column("_letters"))])
-                yield piece.filter(pa.array(like >= known.limit)).select(names)
-
-    return read.mapInArrow(judged, docs.schema)
 
-
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", known: Likeness | None = None) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` (0 to 1).
 
+    With ``known`` (both of ``train_known``) texts are read by their letters, and one unlike all learned languages is ``und`` too.
+
     ``und`` with score 0 where the text is null or empty or holds no letter, or nothing was learned. Ties go to the
     language that comes first. Repeated rows are judged each; nothing is shuffled, texts are read whole.
     """
     kept = docs.drop("lang_pred", "score")
-    read = kept.withColumn("_text", F.when(F.col(text).rlike(r"\p{L}"), F.col(text)))
+    read = kept.withColumn("_text", F.when(F.col(text).rlike(r"\p{L}"), F.col(text) if known is None else letters(text)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +189,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 texts = piece.column("_text")
                 langs, scores = [UNKNOWN] * len(piece), np.zeros(len(piece))
                 if model is not None and texts.null_count < len(texts):
-                    got = np.concatenate([model.scores(seen) for seen in bit_rows(texts)])
+                    got, like = (np.concatenate(x) for x in zip(*(_judge(seen, model, known) for seen in bit_rows(texts)), strict=True))
                     best = got.argmax(1)
-                    able = texts.is_valid().to_numpy(zero_copy_only=False)
+                    able = texts.is_valid().to_numpy(zero_copy_only=False) & like
                     langs = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, able, strict=True)]
                     scores = np.where(able, np.clip((got.max(1).astype(float) + 1) / 2, 0, 1), 0)
                 names = [c for c in piece.schema.names if c != "_text"]

@@ -115,3 +115,17 @@ def test_toxicity_rows_of_every_kind(spark):
     none = toxicity.train(docs.limit(0), marks.limit(0), F.lit(True))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_the_pipeline_finds_languages_by_the_kernel_model(spark, monkeypatch):
+    """The stage keeps the rows for which op10's operator finds a language; a text unlike all learned ones is in none."""
+    import corpus_pipeline
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, lang, 40), lang) for i in range(240) for lang in [sorted(SYLLABLES)[i % len(SYLLABLES)]]]
+    docs = documents(spark, [*rows, (900, "12 34 !!", "aa"), (901, None, None), (902, "Все люди рождаются свободными и равными", None)])
+    predict, judged = language.predict, []
+    monkeypatch.setattr(language, "predict", lambda *a, **k: judged.append(predict(*a, **k)) or judged[-1])
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [r[0] for r in rows]
+    found = {r.doc_id: r.lang_pred for r in judged[0].collect()}
+    assert found == {d: lang for d, _, lang in rows} | {900: "und", 901: "und", 902: "und"}
