@@ -19,7 +19,7 @@ def spaced(text: Column) -> Column:
 
 def squeezed(padded: Column) -> Column:
     """A run of one word counts every other time, as counting ' word ' without overlap does."""
-    return F.regexp_replace(padded, r" ([^ ]+) \1(?= )", " $1")
+    return F.regexp_replace(padded, r" ([^ ]++) \1(?= )", " $1")
 
 
 def _one_of(words: Iterable[str]) -> str:
