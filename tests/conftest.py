@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
+_HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(_HERE), _HERE, os.path.join(_HERE, "llm")]
 
 from kolanut.session import local_session  # noqa: E402
 
