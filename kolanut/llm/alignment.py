@@ -33,8 +33,12 @@ FAN = 8
 MAX_WORDS = 200_000
 #: New words that are encoded as one text.
 BLOCK = 512
+#: Bytes of short texts that a task works on at once, whatever rows a batch holds.
+STEP_BYTES = 1 << 20
 #: Link entries of one part, the unit in which documents ask for the counts of their links.
 PART_LINKS = 1 << 19
+#: Encoded bytes of a row group of written links; a reader's column vectors hold a row group's rows, up to thousands, at once.
+GROUP_BYTES = 1 << 24
 MARK = "▁"
 _BORDER = re.compile(r"(?<=\S)(?= )")
 _UNEVEN = re.compile(r"\s ")
@@ -258,17 +262,43 @@ def _told(run: tuple | None) -> list[pa.Array]:
     return Closed(counts.reshape(1, 4), pa.array([groups]), np.zeros(len(links), dtype=np.int64), links, times, np.zeros(1, dtype=bool)).columns()
 
 
-def _short(batches: Iterator[pa.RecordBatch], specs: tuple, step: int = 256) -> Iterator[pa.RecordBatch]:
+def _steps(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows, from and to, whose sizes add up to ``most`` at most; a larger row is by itself."""
+    ends, lo = np.cumsum(sizes, dtype=np.int64), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _lean(batches: Iterator[pa.RecordBatch], sizes, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into steps. What Arrow took for a step goes back after it, and a batch before the next one is read."""
     for whole in batches:
-        for at in range(0, whole.num_rows, step):
-            batch = whole.slice(at, step)
-            closed = _aligner(specs).closed([words_of(" " + t) if t else [] for t in batch.column("_text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), *closed.columns()], ["_key", *(n for n, _ in _TOLD)])
+        for lo, hi in _steps(sizes(whole), most):
+            yield whole.slice(lo, hi - lo)
+            pa.default_memory_pool().release_unused()
+        del whole
+
+
+def _lengths(column: str):
+    """The sizes of a column's texts or lists, with one for the row; a null is empty."""
+    def sizes(batch: pa.RecordBatch) -> np.ndarray:
+        values = batch.column(column)
+        long = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        return pc.fill_null(long, 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    return sizes
+
+
+def _short(batches: Iterator[pa.RecordBatch], specs: tuple) -> Iterator[pa.RecordBatch]:
+    for batch in _lean(batches, _lengths("_text"), STEP_BYTES):
+        closed = _aligner(specs).closed([words_of(" " + t) if t else [] for t in batch.column("_text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("_key"), *closed.columns()], ["_key", *(n for n, _ in _TOLD)])
+        del batch, closed
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """Byte ranges of long texts, cut between letters."""
-    for batch in batches:
+    for batch in _lean(batches, _lengths("_text"), STEP_BYTES):
         for k in range(batch.num_rows):
             own = batch.slice(k, 1)
             data = (" " + own.column("_text")[0].as_py()).encode()
@@ -294,7 +324,7 @@ def _as_row(key: pa.Array, row: int, at: int, fragment: tuple) -> list[pa.Array]
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], specs: tuple) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _lean(batches, _lengths("_bytes"), STEP_BYTES):
         for k, row in enumerate(batch.drop_columns(["_key"]).to_pylist()):
             fragment = fragment_of(row["_bytes"], row["_at"] == 0, _aligner(specs))
             yield pa.RecordBatch.from_arrays(_as_row(batch.column("_key").slice(k, 1), row["_row"], row["_at"], fragment),
@@ -302,26 +332,27 @@ def _fragments(batches: Iterator[pa.RecordBatch], specs: tuple) -> Iterator[pa.R
 
 
 def _composed(table: pa.Table, specs: tuple) -> pa.Table:
-    rows = sorted(table.drop_columns(["_key"]).to_pylist(), key=lambda r: r["_at"])
-    parts = [_read(r) for r in rows]
+    rows = table.sort_by("_at")
+    parts = [_read(rows, k) for k in range(rows.num_rows)]
     out = parts[0] if len(parts) == 1 else compose(parts, _aligner(specs))
     key = table.column("_key").combine_chunks().slice(0, 1)
-    return pa.Table.from_arrays(_as_row(key, rows[0]["_row"], rows[0]["_at"] // FAN, out), ["_key", *(n for n, _ in _FRAGMENT)])
+    return pa.Table.from_arrays(_as_row(key, rows["_row"][0].as_py(), rows["_at"][0].as_py() // FAN, out), ["_key", *(n for n, _ in _FRAGMENT)])
 
 
-def _read(row: dict) -> tuple:
-    if row["_differs"]:
-        return row["_prefix"], None, row["_suffix"]
-    pairs = (np.array(row["link_a"], dtype=np.int64) << 32) | np.array(row["link_b"], dtype=np.int64)
-    counts = np.array([row[c] for c in _COUNTS], dtype=np.int64)
-    return row["_prefix"], (counts, row["groups"], pairs, np.array(row["link_n"], dtype=np.int64)), row["_suffix"]
+def _read(rows: pa.RecordBatch | pa.Table, k: int) -> tuple:
+    """A row as a fragment; its lists are read as arrays, as a number for each entry would take many times their memory."""
+    prefix, suffix, groups = (rows[c][k].as_py() for c in ("_prefix", "_suffix", "groups"))
+    if rows["_differs"][k].as_py():
+        return prefix, None, suffix
+    a, b, n = (rows[c][k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b", "link_n"))
+    return prefix, (np.array([rows[c][k].as_py() for c in _COUNTS], dtype=np.int64), groups, (a << 32) | b, n), suffix
 
 
 def _ended(batches: Iterator[pa.RecordBatch], specs: tuple) -> Iterator[pa.RecordBatch]:
     """Whole texts: the last word ends with the text."""
-    for batch in batches:
-        for k, row in enumerate(batch.drop_columns(["_key"]).to_pylist()):
-            _, closed, _ = compose([_read(row), ("", _NOTHING, "")], _aligner(specs))
+    for batch in _lean(batches, _lengths("groups"), STEP_BYTES):
+        for k in range(batch.num_rows):
+            _, closed, _ = compose([_read(batch, k), ("", _NOTHING, "")], _aligner(specs))
             yield pa.RecordBatch.from_arrays([batch.column("_key").slice(k, 1), *_told(closed)], ["_key", *(n for n, _ in _TOLD)])
 
 
@@ -368,29 +399,24 @@ def align(docs: DataFrame, specs: tuple[str, bytes], key: str = "doc_id", text:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts: rows with their links as numbers into one list of distinct pairs, each with its times over the part."""
     part = TaskContext.get().partitionId() << 32
-    for whole in batches:
-        ends = np.cumsum(np.diff(whole.column("link_n").offsets.to_numpy()))
-        at = 0
-        while at < whole.num_rows:
-            before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + PART_LINKS, side="right")))
-            batch, at = whole.slice(at, to - at), to
-            a, b, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b", "link_n"))
-            pairs, number = np.unique((a << 32) | b, return_inverse=True)
-            total = np.zeros(len(pairs), dtype=np.int64)
-            np.add.at(total, number, n)
-            sizes = np.diff(batch.column("link_n").offsets.to_numpy())
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), one(pairs, pa.int64()), one(total, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("_row")),
-                 one(sizes.astype(np.int32), pa.int32()), one(number.astype(np.int32), pa.int32()), one(n, pa.int64())],
-                ["part", "pairs", "total", "rows", "sizes", "number", "times"])
-            part += 1
+    one = lambda values, kind: pa.array([values], pa.list_(kind))
+    for batch in _lean(batches, lambda whole: _lengths("link_n")(whole) - 1, PART_LINKS):
+        a, b, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b", "link_n"))
+        pairs, number = np.unique((a << 32) | b, return_inverse=True)
+        total = np.zeros(len(pairs), dtype=np.int64)
+        np.add.at(total, number, n)
+        sizes = np.diff(batch.column("link_n").offsets.to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int64()), one(pairs, pa.int64()), one(total, pa.int64()),
+             pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("_row")),
+             one(sizes.astype(np.int32), pa.int32()), one(number.astype(np.int32), pa.int32()), one(n, pa.int64())],
+            ["part", "pairs", "total", "rows", "sizes", "number", "times"])
+        part += 1
+        del batch, a, b, n, pairs, number, total, sizes
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _lean(batches, _lengths("number"), PART_LINKS):
         for k in range(batch.num_rows):
             rows = batch.column("rows")[k].values
             told = batch.column("answers")[k].values
@@ -413,10 +439,10 @@ def supported(aligned: DataFrame) -> DataFrame:
     documents. Counts are taken over all rows. Columns named ``n_best`` or ``count_sum`` already are replaced.
     """
     kept = [c for c in aligned.columns if c not in ("link_a", "link_b", "link_n", "n_best", "count_sum")]
-    rows = as_table(aligned.select(F.struct(*kept).alias("_row"), "link_a", "link_b", "link_n"), "aligned")
+    rows = as_table(aligned.select(F.struct(*kept).alias("_row"), "link_a", "link_b", "link_n"), "aligned", GROUP_BYTES)
     row_type = rows.schema["_row"].dataType.simpleString()
     parts = as_table(rows.mapInArrow(_packed, f"part bigint, pairs array<bigint>, total array<bigint>, rows array<{row_type}>, "
-                                     "sizes array<int>, number array<int>, times array<bigint>"), "parts")
+                                     "sizes array<int>, number array<int>, times array<bigint>"), "parts", GROUP_BYTES)
     asked = parts.select("part", F.explode(F.arrays_zip("pairs", "total")).alias("_ask")).select("part", "_ask.pairs", "_ask.total")
     counted = written(asked.groupBy("pairs").agg(F.sum("total").alias("n")))
     b = F.col("pairs").bitwiseAND(0xFFFFFFFF)

@@ -3,13 +3,17 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from frames import documents, odd_rows, prose
 from kolanut.llm import alignment
+from kolanut.llm.shared import as_table
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -133,3 +137,24 @@ def test_fragments_compose_associatively(specs):
         left = alignment.compose([alignment.compose(parts[:2], aligner), *parts[2:]], aligner)
         right = alignment.compose([parts[0], alignment.compose(parts[1:], aligner)], aligner)
         assert told(left) == told(right)
+
+
+def test_short_texts_are_aligned_in_steps(specs, monkeypatch):
+    """However many rows a batch holds, a bounded number of bytes is worked on at once, with the same result."""
+    rng = random.Random(5)
+    texts = [None, "", *(prose(rng, rng.randint(1, 30)) for _ in range(60)), "long " * 100, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["_key", "_text"])
+    told = lambda: [r for out in alignment._short(iter([batch]), specs) for r in out.to_pylist()]
+    whole, met = told(), []
+    closed = alignment.Aligner.closed
+    monkeypatch.setattr(alignment.Aligner, "closed", lambda self, lists: met.append(sum(len(w) + 1 for words in lists for w in words)) or closed(self, lists))
+    monkeypatch.setattr(alignment, "STEP_BYTES", 300)
+    assert told() == whole and len(whole) == len(texts)
+    assert sorted(met)[-2] <= 300 < sorted(met)[-1] == 501
+
+
+def test_large_rows_are_written_in_small_row_groups(spark):
+    rows = spark.range(40, numPartitions=1).select("id", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.xxhash64("id", i)).alias("x"))
+    table = as_table(rows, "large", 1 << 20)
+    file = pq.ParquetFile(table.inputFiles()[0].removeprefix("file:"))
+    assert file.num_row_groups >= 5 and table.select("id", "x").exceptAll(rows).count() == 0 and table.count() == 40
