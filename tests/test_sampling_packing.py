@@ -11,6 +11,7 @@ from kolanut.functions.draws import choice, draw, scaled, weighted_of, wide_draw
 from kolanut.operators import packing, sampling, seeding
 from kolanut.operators.frames import first_k, keep_rows, lang_switches, position_chunk, previous_value, running_total
 from kolanut.operators.joins import GuardError
+from kolanut.plans.packing import QUERIES
 from kolanut.sources import writers
 
 
@@ -197,6 +198,46 @@ def test_encode_with_a_tokenizer(spark):
     assert got[1] == ([195, 99, 100, 2], [0, 0, 1, 1]) and got[2] == ([195, 199, 2], [0, 1, 1])
 
 
+def test_encode_works_in_steps(spark, monkeypatch):
+    """One large batch is encoded a bounded number of pieces at once, with the same ids; a larger example is by itself."""
+    monkeypatch.setattr(packing, "STEP_PIECES", 20)
+    met = []
+    index_in = packing.pc.index_in
+    monkeypatch.setattr(packing.pc, "index_in", lambda flat, **more: met.append(len(flat)) or index_in(flat, **more))
+    rows = [(i, [f"p{j}" for j in range(n)], [j % 2 for j in range(n)]) for i, n in enumerate([0, 7, 7, 7, 50, 0, 20, 1, 19, 1, 0])]
+    batch = packing.pa.RecordBatch.from_arrays([packing.pa.array([r[0] for r in rows]), packing.pa.array([r[1] for r in rows]),
+                                                packing.pa.array([r[2] for r in rows], packing.pa.list_(packing.pa.int8()))], ["example_id", "pieces", "mask"])
+
+    class Frame:
+        schema = spark.createDataFrame([], "example_id BIGINT").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, coded, told):
+            return list(coded(iter([batch])))
+
+    vocab = spark.createDataFrame([("p1", 900), ("p2", 901)], "piece STRING, id INT")
+    got = [r for out in packing.encode(Frame(), vocab) for r in out.to_pylist()]
+    ids = {"p1": [900], "p2": [901]}
+    spell = lambda p: ids.get(p, [packing.BYTE_ID + b for b in p.encode()])
+    want = [{"example_id": i, "ids": [x for p in ps for x in spell(p)] + [t.EOS_ID], "mask": [m for p, m in zip(ps, ms) for _ in spell(p)] + [1]} for i, ps, ms in rows]
+    assert got == want
+    assert max(m for m in met if m != 50) <= 20 and len(met) > 4
+
+
+@pytest.mark.parametrize("query", ["encode_mask"])
+def test_encoding_keeps_no_examples(spark, tmp_path, query):
+    """The examples are many times the tables, so none are kept in the executors' memory or on their disks."""
+    spark.range(40).selectExpr("id AS event_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value", "'{\"k\": 1}' AS props",
+                               "id AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(20).selectExpr("id div 4 AS conv_id", "id % 4 AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role",
+                               "concat('said ', id) AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert QUERIES[query](spark, str(tmp_path)).count() > 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_shards(spark, tmp_path):
     df = spark.range(500).select("id", ((F.col("id") * 37) % 50 + 1).cast("int").alias("n"))
     for parts in (1, 64):
