@@ -226,7 +226,7 @@ def test_encode_works_in_steps(spark, monkeypatch):
     assert max(m for m in met if m != 50) <= 20 and len(met) > 4
 
 
-@pytest.mark.parametrize("query", ["encode_mask"])
+@pytest.mark.parametrize("query", ["encode_mask", "quality_gate"])
 def test_encoding_keeps_no_examples(spark, tmp_path, query):
     """The examples are many times the tables, so none are kept in the executors' memory or on their disks."""
     spark.range(40).selectExpr("id AS event_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value", "'{\"k\": 1}' AS props",
